@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import mixing, sharding
+from matchloom.llm import mixing, pivot_search, quality, sharding, tokens, toxicity
 from matchloom.llm.common import read_table
 
 
+def op2_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+#: Where the public vocabulary files lie on every machine.
+TOKENIZER_FOLDER = "/opt/tokenizers"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(read_table(spark, sf_dir, "documents"), f"{TOKENIZER_FOLDER}/byte_bpe_50k.json")
+
+
+def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.embedding_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_prefixes(read_table(spark, sf_dir, "documents"))
 
@@ -18,11 +35,20 @@ def op9_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxic_severity": op2_toxic_severity,
+    "op4_token_counts": op4_token_counts,
+    "op6_pivot_top_k": op6_pivot_top_k,
     "op7_mix_sources": op7_mix_sources,
     "op9_hash_ring_shards": op9_hash_ring_shards,
+    "op10_boosted_quality": op10_boosted_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_pivot_top_k": pivot_search.SQL,
     "op7_mix_sources": mixing.mixed_sql(),
 }
