@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import mixing, pivot_search, quality, sharding, tokens, toxicity
+from matchloom.llm import decontamination, licenses, mixing, pii, pivot_search, quality, sharding, tokens, toxicity
 from matchloom.llm.common import read_table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents"))
+
+
 def op2_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 #: Where the public vocabulary files lie on every machine.
 TOKENIZER_FOLDER = "/opt/tokenizers"
 
@@ -23,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(read_table(spark, sf_dir, "documents"), f"{TOKENIZER_FOLDER}/byte_bpe_50k.json")
 
 
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.embedding_neighbours(read_table(spark, sf_dir, "embeddings"))
 
@@ -40,8 +52,11 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_toxic_severity": op2_toxic_severity,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_token_counts": op4_token_counts,
+    "op5_license_digests": op5_license_digests,
     "op6_pivot_top_k": op6_pivot_top_k,
     "op7_mix_sources": op7_mix_sources,
     "op9_hash_ring_shards": op9_hash_ring_shards,
@@ -49,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_license_digests": licenses.scan_sql(),
     "op6_pivot_top_k": pivot_search.SQL,
     "op7_mix_sources": mixing.mixed_sql(),
 }
