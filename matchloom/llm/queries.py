@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontamination, licenses, mixing, pii, pivot_search, quality, sharding, tokens, toxicity
+from matchloom.llm import decontamination, licenses, mixing, ngram_join, pii, pivot_search, quality, sharding, tokens, toxicity
 from matchloom.llm.common import read_table
 
 
@@ -43,6 +43,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select_prefixes(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_digests": op5_license_digests,
     "op6_pivot_top_k": op6_pivot_top_k,
     "op7_mix_sources": op7_mix_sources,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_hash_ring_shards": op9_hash_ring_shards,
     "op10_boosted_quality": op10_boosted_quality,
 }
@@ -67,4 +72,5 @@ ORACLES: dict[str, str] = {
     "op5_license_digests": licenses.scan_sql(),
     "op6_pivot_top_k": pivot_search.SQL,
     "op7_mix_sources": mixing.mixed_sql(),
+    "op8_ngram_jaccard": ngram_join.SQL,
 }
