@@ -80,7 +80,7 @@ class Shingler:
             self.known.clear()
         h = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
         width = min(self.words, len(h))
-        mixed = np.full(len(h) - width + 1, np.uint64(width) * _MULTIPLIERS[7])
+        mixed = np.full(len(h) - width + 1, _MULTIPLIERS[7] ^ np.uint64(width))
         for i in range(width):
             mixed += (h[i : len(h) - width + 1 + i] ^ (h[i : len(h) - width + 1 + i] >> np.uint64(29))) * _MULTIPLIERS[i % 7] * np.uint64(2 * (i // 7) + 1)
         mixed ^= mixed >> np.uint64(31)

@@ -129,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Fores
             packed = [statistics(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], ["label", "packed"])
 
-    sample = sample_rows(docs, labels, "quality", fit_rows, ~held_out()).select("label", "text")
-    found = sorted((r["label"], bytes(r["packed"])) for r in sample.mapInArrow(measured, "label int, packed binary").collect())
+    sample, _ = sample_rows(docs, labels, "quality", fit_rows, ~held_out())
+    found = sorted((r["label"], bytes(r["packed"])) for r in sample.select("label", "text").mapInArrow(measured, "label int, packed binary").collect())
     if not found:
         return Forest(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 0.0)
     return fit_forest(np.stack([np.frombuffer(b) for _, b in found]), np.array([y for y, _ in found], float))

@@ -3,7 +3,8 @@
 P(grade >= g) = sigmoid(s - threshold_g): one weight vector gives s for every threshold. Features are
 the distinct words of a text and their prefixes (PREFIXES characters), hashed to 2**HASH_BITS. Weights
 and thresholds are fitted by proximal gradient steps with an L1 penalty, so that most weights are 0, on
-a bounded sample of the labelled rows (FIT_ROWS); every whole text is scored in Arrow batches.
+a bounded sample of the labelled rows (FIT_ROWS, at most half of each label; the thresholds are then
+moved to the labels' true shares); every whole text is scored in Arrow batches.
 
 The labels say toxic or not, so the grade of a toxic row is set by how many of its words carry a feature
 that marks toxic rows: GRADE_HITS are the least counts of grades 2 and 3; any toxic row has grade 1.
@@ -25,9 +26,9 @@ from matchloom.llm.common import materialize
 
 HASH_BITS = 18
 PREFIXES = (3, 4, 5, 6, 7)
-FIT_ROWS = 8000
+FIT_ROWS = 5000
 GRADES = 4
-GRADE_HITS = (3, 6)
+GRADE_HITS = (12, 24)
 L1 = 2e-4
 STEPS = 150
 MIN_ROWS = 4
@@ -65,13 +66,12 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, grade
     n, width = len(grades), 1 << HASH_BITS
     thresholds = np.log(np.array([(max((grades < g).sum(), 0.5)) / max((grades >= g).sum(), 0.5) for g in range(1, grades_n)], float))
     thresholds += np.arange(grades_n - 1) * 1e-3
-    weights, previous, momentum = np.zeros(width), np.zeros(width), 1.0
     used = np.flatnonzero(np.bincount(columns, minlength=width))
-    at = np.searchsorted(used, columns)
+    at = np.searchsorted(used, columns).astype(np.int32)
     # each coordinate's curvature is at most (its rows' lengths) / 4; diagonal steps keep common features slow
     lengths = np.bincount(rows, minlength=n)
     curvature = np.bincount(at, weights=lengths[rows], minlength=len(used)) / (4 * n) + 1e-8
-    weights, previous = np.zeros(len(used)), np.zeros(len(used))
+    weights, previous, momentum = np.zeros(len(used)), np.zeros(len(used)), 1.0
     for _ in range(steps):
         scores = np.bincount(rows, weights=weights[at], minlength=n)
         edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
@@ -92,29 +92,36 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, grade
     return OrdinalModel(full, thresholds)
 
 
-def set_grades(rows: np.ndarray, columns: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades from 0/1 labels and the number of feature hits that mark toxic rows."""
-    width, n = 1 << HASH_BITS, np.array([(toxic == 0).sum(), (toxic == 1).sum()])
-    pairs = np.unique(rows.astype(np.int64) * width + columns)
-    r, c = pairs // width, pairs % width
-    seen = [np.bincount(c[toxic[r] == y], minlength=width) for y in (0, 1)]
+def set_grades(lists: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Grades from 0/1 labels and the number of feature hits that mark toxic rows; lists: each row's features."""
+    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    seen = np.zeros((2, 1 << HASH_BITS), np.int32)
+    for features, y in zip(lists, toxic, strict=True):
+        seen[y][np.unique(features)] += 1
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     marks = (odds > 3) & (seen[1] >= MIN_ROWS)
-    hits = np.bincount(r, weights=marks[c], minlength=len(toxic))
+    hits = np.array([marks[np.unique(features)].sum() for features in lists])
     return np.where(toxic == 1, 1 + sum((hits >= least).astype(int) for least in GRADE_HITS), 0).astype(np.int64)
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, extra=None) -> DataFrame:
-    """About `rows` labelled documents (id, text, label), chosen by the hash of the id; every one if there are fewer."""
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, extra=None, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """About `rows` labelled documents (doc_id, text, label), chosen by the hash of the id, and the number of rows of each label.
+
+    Every labelled row if there are fewer; balanced: at most half of them of each label. A repeated id
+    takes its largest label; labels other than 0 and 1 and null ids are left out.
+    """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     if extra is not None:
         known = known.where(extra)
-    total = known.count()
-    share = int(min(1.0, rows / max(total, 1)) * 1_000_000)
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    wanted = {y: (rows / 2 / n if balanced else rows / sum(totals.values())) for y, n in totals.items()}
+    share = F.lit(0)
+    for y, part in wanted.items():
+        share = F.when(F.col("label") == y, int(min(1.0, part) * 1_000_000)).otherwise(share)
     known = materialize(known.where(F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1_000_000)) < share), "sample")
     # at most about `rows` ids, so their broadcast is bounded
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), totals
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
@@ -125,18 +132,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
             packed = [np.array([i for w in distinct_words(t.as_py()) for i in word_features(w)], np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "packed"])
 
-    sample = sample_rows(docs, labels, "toxic", fit_rows).withColumn("doc_id", F.col("doc_id").cast("string"))
+    sample, totals = sample_rows(docs, labels, "toxic", fit_rows, balanced=True)
+    sample = sample.withColumn("doc_id", F.col("doc_id").cast("string"))
     found = sorted(sample.mapInArrow(featured, "doc_id string, label int, packed binary").collect(), key=lambda r: (r["doc_id"], bytes(r["packed"])))
     toxic = np.array([r["label"] for r in found], np.int64)
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel(np.zeros(1 << HASH_BITS), np.full(GRADES - 1, 50.0))
     lists = [np.frombuffer(r["packed"], np.int32) for r in found]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    columns = np.concatenate(lists).astype(np.int64)
-    frequent = np.bincount(columns, minlength=1 << HASH_BITS) >= MIN_ROWS
-    keep = frequent[columns]
-    rows, columns = rows[keep], columns[keep]
-    return fit_ordinal(rows, columns, set_grades(rows, columns, toxic))
+    frequent = np.bincount(np.concatenate([np.unique(x) for x in lists]), minlength=1 << HASH_BITS) >= MIN_ROWS
+    lists = [x[frequent[x]] for x in lists]
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    model = fit_ordinal(rows, np.concatenate(lists), set_grades(lists, toxic))
+    model.thresholds += np.log((toxic == 1).sum() / (toxic == 0).sum()) - np.log(totals[1] / totals[0])
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
