@@ -11,12 +11,15 @@ Jaccard similarity is at least PERCENT / 100; classes are the connected componen
    heap, long ones probed by binary search, and sets with the overlap T that their sizes ask for are
    linked. Sets that are already in one class are not compared again, so a group of copies costs a
    few comparisons for each copy.
-3. What could still be missing are links between different classes. Shared fingerprints that occur
-   in one class only are dropped; sets that still have enough of the others meet once more, under
-   every fingerprint of their prefix, in the same search. Then no link can be missing.
-
-A fingerprint under which more than HOT_SETS sets meet is split into blocks: in step 2 the blocks are
-searched by themselves and their class roots together in a second round; in step 3 all pairs of blocks meet.
+3. What could still be missing are links between different classes. Of each whole set the
+   fingerprints that sets of other classes have too are counted; a set needs 0.8 n of them. Ordered
+   from the rarest, such a set shares one of its first m - 0.8 n + 1 of m with any set it links to, so
+   the connected components of these keys hold every missing link. Each component meets in one cell,
+   for the same search.
+
+A key or component with more sets than fit a cell is split into blocks: in step 2 the blocks are
+searched by themselves and their class roots together in a second round; in step 3 all pairs of
+blocks meet.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize, parallelism
+from matchloom.llm.common import discard, materialize, parallelism
 from matchloom.llm.components import connected_components
 
 WORDS = 5
@@ -40,10 +43,12 @@ PERCENT = 80
 EXTRA_PERCENT = 10
 MU = 0.01
 CELL_BYTES = 16 << 20
-HOT_SETS = 4000
+BLOCK_SETS = 4000
 BROADCAST_IDS = 1_000_000
 WORD_CACHE = 1 << 20
 PROBED_ROOTS = 4
+#: Entries of short lists up to which a heap merges them; numpy's run-merging sort takes over beyond.
+HEAP_ENTRIES = 400
 
 # Odd multipliers of the shingle fingerprint (fractional parts of the square roots of the first primes).
 _MULTIPLIERS = np.array(
@@ -125,13 +130,17 @@ def _unpacked(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nd
     return [np.concatenate(p) if p else np.empty(0, np.uint64) for p in parts]
 
 
-def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str) -> DataFrame:
-    """owner, shared: those of each owner's fingerprints that owners of two groups or more have.
+def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, least: Column, rare_first: bool = False) -> DataFrame:
+    """owner, shared: the fingerprints of each owner that owners of two groups or more have, if there are `least` or more.
 
-    Two shuffles of packed rows, first by fingerprint and then by owner; owner and group are longs.
+    rare_first: only the m - least + 1 rarest of the m. Two shuffles of packed rows, first by fingerprint
+    and then by owner; owner and group are longs. Neighbouring entries of a packed row have one owner, so
+    that what travels is little more than the fingerprints.
     """
     count = parallelism(rows.sparkSession)
-    names = ["hashes", "owners"] + ["groups"] * (group != owner)
+    same = group == owner
+    names = ["hashes", "owners", "leasts"] + ["groups"] * (not same)
+    back = ["hashes", "owners", "leasts", "holders"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,40 +148,49 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str) ->
             if not lists:
                 continue
             flat, sizes = np.concatenate(lists), [len(x) for x in lists]
-            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes) for c in ("owner", "group")[: len(names) - 1]]
+            columns = ("owner", "least") if same else ("owner", "least", "group")
+            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes) for c in columns]
             # packed thousands to a row, so that rows stay few however many fingerprints there are
             yield from _packed((flat >> np.uint64(20)) % np.uint64(count), [flat, *ids], count, ["bucket", *names])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _unpacked(batches, names)
         order = np.argsort(columns[0], kind="stable")
-        flat, owners, groups = columns[0][order], columns[1][order], columns[-1][order]
+        flat, owners, leasts, groups = columns[0][order], columns[1][order], columns[2][order], columns[1 if same else 3][order]
         if not len(flat):
             return
         starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        differ = np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts)
-        keep = np.repeat(differ, np.diff(np.r_[starts, len(flat)]))
-        flat, owners = flat[keep], owners[keep]
-        yield from _packed((owners ^ (owners >> np.uint64(33))) % np.uint64(count), [flat, owners], count, ["bucket", "hashes", "owners"])
+        sizes = np.diff(np.r_[starts, len(flat)])
+        keep = np.repeat(np.minimum.reduceat(groups, starts) != np.maximum.reduceat(groups, starts), sizes)
+        holders = np.repeat(sizes, sizes).astype(np.uint64)
+        by_owner = np.argsort(owners[keep], kind="stable")
+        flat, owners, leasts, holders = (c[keep][by_owner] for c in (flat, owners, leasts, holders))
+        yield from _packed((owners ^ (owners >> np.uint64(33))) % np.uint64(count), [flat, owners, leasts, holders], count, ["bucket", *back])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, owners = _unpacked(batches, ["hashes", "owners"])
+        flat, owners, leasts, holders = _unpacked(batches, back)
         if not len(flat):
             return
         order = np.lexsort((flat, owners))
-        flat, owners = flat[order], owners[order]
+        flat, owners, leasts, holders = (c[order] for c in (flat, owners, leasts, holders))
         fresh = np.r_[True, (flat[1:] != flat[:-1]) | (owners[1:] != owners[:-1])]
-        flat, owners = flat[fresh], owners[fresh]
+        flat, owners, leasts, holders = (c[fresh] for c in (flat, owners, leasts, holders))
         starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
         ends = np.r_[starts[1:], len(owners)]
-        for i in range(0, len(starts), 2000):
-            pieces = [flat[a:b].tobytes() for a, b in zip(starts[i : i + 2000], ends[i : i + 2000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(owners[starts[i : i + 2000]].view(np.int64)), pa.array(pieces, pa.binary())], [owner, "shared"])
-
-    source = rows.select(F.col(owner).alias("owner"), F.col(group).alias("group"), F.col(hashes).alias("hashes"))
-    schema = "bucket int, " + ", ".join(f"{n} binary" for n in names)
-    first = source.mapInArrow(dealt, schema).repartition(count, "bucket")
-    second = first.mapInArrow(met, "bucket int, hashes binary, owners binary").repartition(count, "bucket")
+        enough = ends - starts >= leasts[starts].astype(np.int64)
+        ids, pieces = [], []
+        for a, b in zip(starts[enough], ends[enough], strict=True):
+            own = flat[a:b]
+            if rare_first:
+                own = own[np.argsort(holders[a:b], kind="stable")][: b - a - int(leasts[a]) + 1]
+            ids.append(owners[a])
+            pieces.append(own.tobytes())
+        for i in range(0, len(ids), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[i : i + 2000], np.uint64).view(np.int64)), pa.array(pieces[i : i + 2000], pa.binary())], [owner, "shared"])
+
+    source = rows.select(F.col(owner).alias("owner"), least.cast("long").alias("least"), F.col(group).alias("group"), F.col(hashes).alias("hashes"))
+    first = source.mapInArrow(dealt, "bucket int, " + ", ".join(f"{n} binary" for n in names)).repartition(count, "bucket")
+    second = first.mapInArrow(met, "bucket int, " + ", ".join(f"{n} binary" for n in back)).repartition(count, "bucket")
     return second.mapInArrow(gathered, f"{owner} long, shared binary")
 
 
@@ -237,36 +255,21 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
         open_ = (merged >= lowest) & (root[merged] != root[q])
         if not open_.any():
             continue
-        which = np.repeat(np.arange(len(short)), sizes_short)[open_]
-        merged = merged[open_]
-        cuts = np.flatnonzero(which[1:] != which[:-1]) + 1
-        runs = [r.tolist() for r in np.split(merged, cuts)]
-        for other, hits in groupby(heapq.merge(*runs)):
-            seen = sum(1 for _ in hits)
+        which, merged = np.repeat(np.arange(len(short)), sizes_short)[open_], merged[open_]
+        if len(merged) <= HEAP_ENTRIES:
+            runs = [r.tolist() for r in np.split(merged, np.flatnonzero(which[1:] != which[:-1]) + 1)]
+            counted = [(other, sum(1 for _ in hits)) for other, hits in groupby(heapq.merge(*runs))]
+        else:
+            counted = list(zip(*(x.tolist() for x in np.unique(np.sort(merged, kind="stable"), return_counts=True)), strict=True))
+        for other, seen in counted:
             if seen >= least - long_n and root[other] != root[q] and similar(q, other, seen + overlap(long, other)):
                 join(q, other)
     return links
 
 
-def search_cells(sets: DataFrame, keys: DataFrame, percent: int, all_pairs: bool) -> tuple[DataFrame, bool]:
-    """Links (a, b) found where sets (node, class, full) meet by keys (node, key); whether a key was split into blocks."""
-    crowds = keys.groupBy("key").count().where(F.col("count") > HOT_SETS)
-    crowds = materialize(crowds.select("key", F.ceil(F.col("count") / HOT_SETS).cast("int").alias("blocks")), "crowds")
-    split = bool(crowds.head(1))
-    placed = keys.join(crowds, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    others: Column = F.sequence(F.lit(0), F.col("blocks") - 1) if all_pairs else F.array("i")
-    if split:
-        placed = placed.withColumn("j", F.explode(others))
-    else:
-        placed = placed.withColumn("j", F.col("i"))
-    # every meeting carries its set along; cells are counted so that one holds CELL_BYTES on average at most
-    meetings = keys.groupBy("node").count().join(sets.select("node", "full"), "node")
-    carried = meetings.agg(F.sum(F.col("count") * F.length("full"))).first()[0] or 0
-    cells = max(1, -(-carried // CELL_BYTES))
-    cell = F.pmod(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")), F.lit(cells)).cast("int")
-    placed = placed.select("node", cell.alias("cell")).distinct()
-    rows = placed.join(sets.select("node", F.col("class").alias("own_class"), "full"), "node").repartition(cells, "cell")
+def search_cells(sets: DataFrame, placed: DataFrame, cells: int, percent: int) -> DataFrame:
+    """Links (a, b) found where sets (sig, node, class, full) meet in cells (sig, cell)."""
+    rows = placed.join(sets.select("sig", "node", F.col("class").alias("own_class"), "full"), "sig").repartition(cells, "cell")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -279,29 +282,56 @@ def search_cells(sets: DataFrame, keys: DataFrame, percent: int, all_pairs: bool
                 links = search_cell(np.array(nodes, np.int64), np.array(classes, np.int64), list(full), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return materialize(rows.mapInArrow(searched, "a long, b long"), "links"), split
+    return materialize(rows.mapInArrow(searched, "a long, b long"), "links")
+
 
+def _cells(meetings: DataFrame) -> int:
+    """Cells for meetings (sig, size) so that one holds CELL_BYTES on average at most."""
+    return max(1, -(-(meetings.agg(F.sum("size")).first()[0] or 0) * 8 // CELL_BYTES))
 
-def _keys(sets: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """node, key: shared fingerprints in the set's own first n - need + 1, the first `most` of them or all."""
+
+def listed_keys(sets: DataFrame, column: str, most: int | None) -> DataFrame:
+    """sig, size, key: the fingerprints packed in a column, the first `most` of them or all."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
-            for node, shared, full in zip(*[batch.column(c) for c in ("node", "shared", "full")], strict=True):
-                s, f = np.frombuffer(shared.as_py(), np.uint64), np.frombuffer(full.as_py(), np.uint64)
-                own = s[s <= f[len(f) - need(len(f), percent)]][:most]
-                nodes.append(np.full(len(own), node.as_py(), np.int64))
-                keys.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (nodes, keys)], ["node", "key"])
-
-    return sets.select("node", "shared", "full").mapInArrow(listed, "node long, key long")
+            keys = [np.frombuffer(x.as_py(), np.int64)[:most] for x in batch.column(2)]
+            repeat = [len(k) for k in keys]
+            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), repeat) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["sig", "size", "key"])
+
+    return sets.select("sig", F.col("n").alias("size"), column).mapInArrow(listed, "sig long, size long, key long")
+
+
+def meet_by_keys(sets: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Cells of each set by its two least shared fingerprints; their number; whether a key was split into blocks."""
+    keys = listed_keys(sets, "shared", 2)
+    crowds = keys.groupBy("key").count().where(F.col("count") > BLOCK_SETS)
+    crowds = materialize(crowds.select("key", F.ceil(F.col("count") / BLOCK_SETS).alias("blocks")), "crowds")
+    placed = keys.join(crowds, "key", "left").withColumn("block", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1).cast("long"))))
+    cells = _cells(keys)
+    cell = F.pmod(F.xxhash64("key", "block"), F.lit(cells)).cast("int")
+    return placed.select("sig", cell.alias("cell")).distinct(), cells, bool(crowds.head(1))
+
+
+def meet_by_components(keys: DataFrame) -> tuple[DataFrame, int]:
+    """Cells of each set by the connected component of its keys (sig, size, key); their number."""
+    first = keys.groupBy("key").agg(F.min("sig").alias("b"), F.count("*").alias("holders")).where("holders > 1")
+    edges = keys.join(first, "key").select(F.col("sig").alias("a"), "b").distinct()
+    members = connected_components(edges).select(F.col("node").alias("sig"), "component")
+    members = materialize(members.join(keys.select("sig", "size").distinct(), "sig"), "members")
+    blocks = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("sizes"))
+    needed = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("sizes") * 8 / (CELL_BYTES / 2)))
+    placed = members.join(blocks.select("component", needed.alias("blocks")), "component")
+    placed = placed.withColumn("i", F.pmod(F.xxhash64("sig"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = materialize(placed.select("sig", "size", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")), "places")
+    cells = _cells(placed)
+    return placed.select("sig", F.pmod(F.xxhash64("component", "i", "j"), F.lit(cells)).cast("int").alias("cell")).distinct(), cells
 
 
 def enough_shared(n: Column, percent: int) -> Column:
     """Fingerprints that the prefixes of a set of size n and of any set it links to have in common at least."""
-    least = F.ceil(n * percent / 100)
-    return F.greatest(F.lit(1), F.floor(least * EXTRA_PERCENT / 100))
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) * EXTRA_PERCENT / 100))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -311,15 +341,16 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     one id are one document, whose links add up. A null id has no component; an empty table gives no rows.
     """
     sets = materialize(shingle_sets(docs.select("doc_id", "text"), words, percent), "sets")
-    nodes = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
-    nodes = materialize(nodes, "nodes")
-    shared = shared_fingerprints(sets.where("n > 0 and doc_id is not null"), "sig", "sig", "prefix")
-    kept = shared.join(nodes, "sig").where(F.length("shared") / 8 >= enough_shared(F.col("n"), percent))
-    kept = materialize(kept.select("sig", "node", "n", "shared"), "candidates")
+    usable = sets.where("n > 0 and doc_id is not null")
+    nodes = materialize(usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "nodes")
+    shared = shared_fingerprints(usable, "sig", "sig", "prefix", enough_shared(F.col("n"), percent))
+    kept = materialize(shared.join(nodes, "sig").select("sig", "node", "n", "shared"), "candidates")
+    named_sets = materialize(sets.drop("prefix"), "named-sets")
+    discard(sets)
     links = class_links(docs, kept, words, percent)
     classes = connected_components(links)
     named = nodes.join(classes, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
+    out = named_sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id"))
 
@@ -339,20 +370,20 @@ def class_links(docs: DataFrame, kept: DataFrame, words: int, percent: int) -> D
 
     full = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(whole, "sig long, full binary").dropDuplicates(["sig"])
     sets = materialize(kept.join(full, "sig").withColumn("class", F.col("node")), "full-sets")
-    links, split = search_cells(sets, _keys(sets, percent, 2), percent, all_pairs=False)
+    placed, cells, split = meet_by_keys(sets)
+    links = search_cells(sets, placed, cells, percent)
     classes = materialize(connected_components(links), "classes")
     if split:
         roots = sets.join(classes.where("node <> component"), "node", "left_anti")
-        more, _ = search_cells(roots, _keys(roots, percent, 2), percent, all_pairs=False)
-        links = links.unionByName(more)
+        placed, cells, _ = meet_by_keys(roots)
+        links = links.unionByName(search_cells(roots, placed, cells, percent))
         classes = materialize(connected_components(links), "classes")
-    classed = sets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    mixed = shared_fingerprints(classed.select("sig", "class", "shared"), "sig", "class", "shared")
-    rest = classed.drop("shared").join(mixed, "sig").where(F.length("shared") / 8 >= enough_shared(F.col("n"), percent))
-    rest = materialize(rest, "mixed-sets")
-    if rest.head(1):
-        last, _ = search_cells(rest, _keys(rest, percent, None), percent, all_pairs=True)
-        links = links.unionByName(last)
+    classed = sets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    rare = shared_fingerprints(classed, "sig", "class", "full", F.ceil(F.col("n") * percent / 100), rare_first=True)
+    keys = materialize(listed_keys(rare.join(kept.select("sig", "n"), "sig"), "shared", None), "rare-keys")
+    if keys.head(1):
+        placed, cells = meet_by_components(keys)
+        links = links.unionByName(search_cells(classed, placed, cells, percent))
     return links
 
 
