@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_
             sums = []
             for text in batch.column(1):
                 words = distinct_words(text.as_py())
-                for w in words - known.keys():
+                for w in [w for w in words if w not in known]:
                     known[w] = float(weights[word_features(w)].sum())
                 sums.append(sum(sorted(map(known.__getitem__, words))))
                 if len(known) > WORD_CACHE:
@@ -187,7 +187,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             keep = []
             for text in batch.column("text"):
                 words = distinct_words(text.as_py())
-                for w in words - known.keys():
+                for w in [w for w in words if w not in known]:
                     known[w] = float(weights[word_features(w)].sum())
                 keep.append(sum(sorted(map(known.__getitem__, words))) < limit)
                 if len(known) > WORD_CACHE:
