@@ -45,7 +45,9 @@ MU = 0.01
 CELL_BYTES = 16 << 20
 BLOCK_SETS = 4000
 BROADCAST_IDS = 1_000_000
-WORD_CACHE = 1 << 20
+WORD_CACHE = 1 << 18
+#: Rows of an Arrow batch that are held as arrays at a time.
+SLICE_ROWS = 1000
 PROBED_ROOTS = 4
 #: Entries of short lists up to which a heap merges them; numpy's run-merging sort takes over beyond.
 HEAP_ENTRIES = 400
@@ -94,12 +96,19 @@ class Shingler:
         return np.unique(mixed)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a bounded number of rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n (set size), sig (hash of the set, 0 for the empty one), prefix (its first fingerprints)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler.set_of(t.as_py()) for t in batch.column(1)]
             sizes = [len(s) for s in sets]
             sigs = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in sets]
@@ -143,10 +152,8 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, le
     back = ["hashes", "owners", "leasts", "holders"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2 * SLICE_ROWS):
             lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
-            if not lists:
-                continue
             flat, sizes = np.concatenate(lists), [len(x) for x in lists]
             columns = ("owner", "least") if same else ("owner", "least", "group")
             ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes) for c in columns]
@@ -363,7 +370,7 @@ def class_links(docs: DataFrame, kept: DataFrame, words: int, percent: int) -> D
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler.set_of(t.as_py()) for t in batch.column(1)]
             sigs = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "full"])
