@@ -135,7 +135,7 @@ def hybrid_retrieval(nearest: DataFrame, text: DataFrame, pool: int) -> DataFram
     vector = nearest.select("job_id", "resume_id", (KNN_BOOST * (1 + F.col("embedding_cosine")) / 2).alias("vector_score"))
     both = vector.join(text.select("job_id", "resume_id", "clause_score"), ["job_id", "resume_id"], "full_outer")
     total = F.coalesce("vector_score", F.lit(0.0)) + F.coalesce("clause_score", F.lit(0.0))
-    scored = both.withColumn("retrieval_score_raw", F.round(total, DIGITS))
+    scored = both.withColumn("retrieval_score_raw", F.round(total, 8))
     return top_k(scored, pool, "retrieval_score_raw").select("job_id", "resume_id", "retrieval_score_raw", "retrieval_rank")
 
 

@@ -32,7 +32,7 @@ _PAIR_FIELDS = """job_id, resume_id, retrieval_rank, embedding_cosine, cast((res
     ((resume_id * 7 + job_id) % 11) / cast(10 as double) as skill_overlap_ratio, ((resume_id * 3 + job_id) % 5) / cast(4 as double) as title_overlap_ratio,
     cast(resume_id % 15 as double) as resume_years_experience, cast(floor(job_id / 10) % 8 as double) as job_years_required,
     cast(resume_id % 15 as double) - cast(floor(job_id / 10) % 8 as double) as years_gap,
-    case when resume_id % 15 >= floor(job_id / 10) % 8 then 1 else 0 end as experience_match_flag, embedding_cosine as ce_score_raw"""
+    case when resume_id % 15 >= floor(job_id / 10) % 8 then 1 else 0 end as experience_match_flag, cast(1.6 as double) * embedding_cosine + cast(0.0000003 as double) as ce_score_raw"""
 _LABEL = "case when ce_score_raw >= 0 and ce_score_raw < 1.01 then case when ce_score_raw >= 0.65 then 4 when ce_score_raw >= 0.5 then 3 when ce_score_raw >= 0.35 then 2 when ce_score_raw >= 0.25 then 1 else 0 end else 0 end"
 _PRED = "round(0.5 * embedding_cosine + 0.03 * skill_overlap_count + 0.1 * title_overlap_ratio, 2)"
 
@@ -83,14 +83,14 @@ jobs as (select job_id, text, array_to_string(tokens[1:3], ' ') as job_title, li
 rt as (select doc_id as resume_id, text, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents),
 resumes as (select resume_id, text, list_distinct(list_filter(tokens, lambda x: length(x) >= 9)) as resume_skills, [array_to_string(tokens[1:3], ' ')] as resume_titles, (resume_id % 15)::double as resume_years from rt)"""
 
-_CELL = """case p_partkey % 5 when 0 then concat('[''', p_brand, ''', "', p_type, '", ''', upper(p_brand), ''']')
+_CELL = """case p_partkey % 5 when 0 then concat('[', chr(39), p_brand, chr(39), ', "', p_type, '", ', chr(39), upper(p_brand), chr(39), ']')
     when 1 then concat(p_type, '|', p_brand, ';', lower(p_brand), ', ', p_name) when 2 then ' nan ' when 3 then concat('[', p_type, ' ', p_brand, ']')
     else concat('  ', p_name, '/', lower(p_type), '|object-oriented ', p_name, ' using the design of ', p_brand, '|https://x.org/', p_name) end"""
 
 
 def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with a list cell in each of its forms."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", "p_type", "p_brand", "p_size", f"{_CELL} as cell".replace("''", "\\'"))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", "p_type", "p_brand", "p_size", f"{_CELL} as cell")
 
 
 CELL_SQL = f"cells as (select p_partkey, p_name, p_type, p_brand, p_size, {_CELL} as cell from part)"

@@ -81,7 +81,8 @@ def feedback_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOARD_SQL = """entries as (select user_id, run_id, resume_id, first_value(score) over f as score, first_value(final_rank) over f as final_rank,
     case decision when 'accept' then 'screened' when 'interview' then 'interview' when 'reject' then 'rejected' else 'new' end as kanban_status, updated_at
-    from feedback qualify row_number() over (partition by user_id, run_id, resume_id order by updated_at desc, feedback_id desc) = 1 window f as (partition by user_id, run_id, resume_id order by updated_at, feedback_id))"""
+    from feedback window f as (partition by user_id, run_id, resume_id order by updated_at, feedback_id)
+    qualify row_number() over (partition by user_id, run_id, resume_id order by updated_at desc, feedback_id desc) = 1)"""
 
 
 @query("board", f"{H}, {BOARD_SQL} select * from entries")
@@ -196,7 +197,7 @@ def replayed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.replay_hits(saved, 3).select("job_id", "resume_id", "replay_rank", "replay_order")
 
 
-@query("prompts", f"""{H}, c as (select *, printf('Candidate #%d  (score: %.1f%%)', final_rank, 100 - final_rank) || chr(10) || '  Matched skills: sql, spark' || case when resume_id % 2 = 0 then chr(10) || '  Missing skills: go' else '' end as card from candidates where final_rank <= 3)
+@query("prompts", f"""{H}, c as (select *, printf('Candidate #%d  (score: %.1f%%)', final_rank, (100 - final_rank)::double) || chr(10) || '  Matched skills: sql, spark' || case when resume_id % 2 = 0 then chr(10) || '  Missing skills: go' else '' end as card from candidates where final_rank <= 3)
     select run_id, 'Vacancy: v' || run_id || chr(10) || 'Description: about' || chr(10) || chr(10) || 'Top ' || count(*) || ' candidates to compare head-to-head:' || chr(10) || chr(10) || string_agg(card, chr(10) || chr(10) order by final_rank) as head
     from c group by run_id""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

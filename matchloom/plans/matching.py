@@ -62,7 +62,7 @@ vec as (select job_id, resume_id, embedding_cosine from (select *, row_number()
     (select j.vec_id as job_id, r.vec_id as resume_id, round(list_sum(list_transform(list_zip(j.embedding, r.embedding), lambda p: p[1]::double * p[2]::double)), 6) as embedding_cosine
     from embeddings j join embeddings r on j.vec_id < 40 and r.vec_id >= 40)) where k <= 100),
 both_ as (select coalesce(v.job_id, c.job_id) as job_id, coalesce(v.resume_id, c.resume_id) as resume_id,
-    round(coalesce((1 + embedding_cosine) / 2, 0) + coalesce(clause_score, 0), 4) as retrieval_score_raw
+    round(coalesce((1 + embedding_cosine) / 2, 0) + coalesce(clause_score, 0), 8) as retrieval_score_raw
     from vec v full outer join clauses c on v.job_id = c.job_id and v.resume_id = c.resume_id)
 select *, row_number() over (partition by job_id order by retrieval_score_raw desc, resume_id)::int as retrieval_rank from both_ qualify retrieval_rank <= 100"""
 
@@ -78,8 +78,7 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     idf = idf.select(F.col("t").alias("job_title"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("title_idf"))
     text = retrieval.bm25_scores(jobs, resumes).join(jobs.join(idf, "job_title", "left"), "job_id").join(resumes, "resume_id")
     clauses = retrieval.TEXT_BOOST * F.col("text_score") + retrieval.skill_clause(F.col("job_skills"), F.col("resume_skills")) + retrieval.title_clause(F.col("job_title"), F.col("resume_titles"), F.col("title_idf"))
-    pooled = retrieval.hybrid_retrieval(near, text.select("job_id", "resume_id", F.coalesce(clauses, F.lit(0.0)).alias("clause_score")), 100)
-    return pooled.withColumn("retrieval_score_raw", F.round("retrieval_score_raw", 4))
+    return retrieval.hybrid_retrieval(near, text.select("job_id", "resume_id", F.coalesce(clauses, F.lit(0.0)).alias("clause_score")), 100)
 
 
 @query("pool_missing_ids", f"with {fx.COSINE_SQL} select distinct resume_id from nearest where resume_id not in (select doc_id from documents where doc_id % 3 <> 0)")
@@ -131,16 +130,17 @@ def _z(c: str) -> str:
     return f"case when max({c}) over w = min({c}) over w then 0 else coalesce(({c} - avg({c}) over w) / nullif(stddev_samp({c}) over w, 0), 0) end"
 
 
+ENGINEERED = {
+    "ce_score_x_skill": "ce_score * skill_overlap_ratio", "embedding_cosine_norm": "nm", "embedding_cosine_squared": "embedding_cosine * embedding_cosine", "log_retrieval_rank": "ln(1 + retrieval_rank)",
+    "retrieval_rank_inv": "1 / (retrieval_rank + 1)", "is_top5_retrieval": "(retrieval_rank <= 5)::int", "is_top10_retrieval": "(retrieval_rank <= 10)::int", "abs_years_gap": "abs(years_gap)",
+    "years_gap_squared": "years_gap * years_gap", "skill_overlap_x_emb": "skill_overlap_ratio * nm", "experience_x_skill": "experience_match_flag * skill_overlap_ratio", "experience_x_emb": "experience_match_flag * nm",
+    "title_x_emb": "title_overlap_ratio * nm", "skill_x_title": "skill_overlap_ratio * title_overlap_ratio", **{f"{c}_zscore_in_job": _z(c) for c in features.RANKED},
+    "embedding_cosine_rank_in_job": "r1", "skill_overlap_rank_in_job": "r2", "title_overlap_rank_in_job": "r3", "combined_rank_in_job": "(r1 + r2 + r3) / 3",
+}
 ENGINEERED_SQL = f"""with {fx.LABELLED_SQL}, n as (select *, greatest(0, least(1, (embedding_cosine + 1) / 2)) as nm,
     (rank() over (partition by job_id order by embedding_cosine desc))::double as r1, (rank() over (partition by job_id order by skill_overlap_ratio desc))::double as r2,
     (rank() over (partition by job_id order by title_overlap_ratio desc))::double as r3 from labelled)
-select job_id, resume_id, round(ce_score * skill_overlap_ratio, 4) as ce_score_x_skill, round(nm, 4) as embedding_cosine_norm, round(embedding_cosine * embedding_cosine, 4) as embedding_cosine_squared,
-    round(ln(1 + retrieval_rank), 4) as log_retrieval_rank, round(1 / (retrieval_rank + 1), 4) as retrieval_rank_inv, (retrieval_rank <= 5)::int::double as is_top5_retrieval,
-    (retrieval_rank <= 10)::int::double as is_top10_retrieval, abs(years_gap) as abs_years_gap, years_gap * years_gap as years_gap_squared, round(skill_overlap_ratio * nm, 4) as skill_overlap_x_emb,
-    round(experience_match_flag * skill_overlap_ratio, 4) as experience_x_skill, round(experience_match_flag * nm, 4) as experience_x_emb, round(title_overlap_ratio * nm, 4) as title_x_emb,
-    round(skill_overlap_ratio * title_overlap_ratio, 4) as skill_x_title, round({_z("embedding_cosine")}, 3) as embedding_cosine_zscore_in_job, round({_z("skill_overlap_ratio")}, 3) as skill_overlap_ratio_zscore_in_job,
-    round({_z("title_overlap_ratio")}, 3) as title_overlap_ratio_zscore_in_job, r1 as embedding_cosine_rank_in_job, r2 as skill_overlap_rank_in_job, r3 as title_overlap_rank_in_job,
-    round((r1 + r2 + r3) / 3, 3) as combined_rank_in_job from n window w as (partition by job_id)"""
+select job_id, resume_id, {", ".join(f"({sql})::float as {c}" for c, sql in ENGINEERED.items())} from n window w as (partition by job_id)"""
 
 
 def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +149,7 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("engineered_features", ENGINEERED_SQL)
 def engineered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = engineered(spark, sf_dir)
-    places = {c: 3 if "zscore" in c or c == "combined_rank_in_job" else 4 for c in features.ENGINEERED_FEATURES}
-    # one more rounding on the widened float, so that its last bits do not show
-    return wide.select("job_id", "resume_id", *[F.round(F.round(F.col(c).cast("double"), 6), places[c]).alias(c) for c in features.ENGINEERED_FEATURES])
+    return engineered(spark, sf_dir).select("job_id", "resume_id", *features.ENGINEERED_FEATURES)
 
 
 @query("cascade_scores", f"""with {fx.PAIRS_SQL}, g as (select *, row_number() over (partition by job_id order by round(embedding_cosine + 0.5 * skill_overlap_ratio, 6) desc, retrieval_rank, resume_id) as turn from pairs)

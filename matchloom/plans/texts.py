@@ -56,7 +56,7 @@ tk as (select p_partkey, array_to_string(w, ' ') as t from ww where len(w) betwe
     union all select p_partkey, array_to_string(c, ' ') from ww where len(c) between 1 and 3 and c <> w
     union all select p_partkey, t from (select p_partkey, unnest(list_concat(w, c)) as t from ww) where length(t) between 2 and 30 and t not in ({STOP}) and not starts_with(t, 'http')
     union all select p_partkey, w[i] || ' ' || w[i + 1] from (select p_partkey, w, unnest(range(1, len(w))) as i from ww) where length(w[i]) >= 2 and length(w[i + 1]) >= 2 and w[i] not in ({STOP}) and w[i + 1] not in ({STOP})),
-bags as (select l.p_partkey, coalesce(list_sort(list(distinct t) filter (t is not null)), []) as skill_bag from lists l left join tk using (p_partkey) group by l.p_partkey)"""
+bags as (select l.p_partkey, coalesce(list_sort(list(distinct tk.t) filter (tk.t is not null)), []) as skill_bag from lists l left join tk using (p_partkey) group by l.p_partkey)"""
 
 
 @query("skill_bag", f"with {LISTS_SQL}, {BAG_SQL} select * from bags")

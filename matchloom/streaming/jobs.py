@@ -99,7 +99,7 @@ def _decide(frame: pd.DataFrame, log: list[float], limit: int, window: float) ->
 
 
 def _timed(requests: DataFrame) -> DataFrame:
-    return requests.select("user_id", "event_id", (F.unix_micros("ts") / 1e6).alias("moment"))
+    return requests.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("moment"))
 
 
 def limiter_log(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS) -> DataFrame:
