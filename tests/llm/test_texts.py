@@ -1,0 +1,96 @@
+import random
+import re
+
+from matchloom.llm import decontamination, licenses, pii
+
+
+def distance(pattern, text):
+    """Semi-global edit distance by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != c)))
+        row = new
+    return min(row)
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(2, 7))) for _ in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=20)).capitalize() + ".") for i in range(6)] + [(6, None), (7, "?!"), (8, "ab")]
+    docs = []
+    for i in range(40):
+        text = " ".join(rng.choices(words, k=60))
+        if i % 3:
+            passage = list(items[i % 6][1])
+            for _ in range(i % 9):
+                passage[rng.randrange(len(passage))] = rng.choice("abcx ")
+            text = f"{text} {''.join(passage)} {text}"
+        docs.append((i, text, "x"))
+    docs += [(100, None, "x"), (101, "", "x"), (102, items[0][1] * 2, "x"), (102, items[0][1] * 2, "x")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.find_leaks(table, benchmark).collect())
+    expected = []
+    for d, text, _ in docs:
+        for i, item in items:
+            p, t = decontamination.normal_text(item), decontamination.normal_text(text)
+            if p and t and (best := distance(p, t)) <= int(len(p) * decontamination.ERROR_RATE):
+                expected.append((d, i, best))
+    assert got == sorted(expected) and {d for d, i, n in got if n > 0}
+    blocks = decontamination.find_leaks(table, benchmark, block_chars=150).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in blocks) == got
+    left = decontamination.drop_leaks(table, benchmark)
+    assert left.columns == table.columns and {r.doc_id for r in left.collect()} == {d[0] for d in docs} - {g[0] for g in got}
+    assert decontamination.find_leaks(table, benchmark.limit(0)).count() == 0
+
+
+def test_license_forms(spark):
+    mit = licenses.KNOWN[0][1]
+    changed = "Copyright (c) 2020 A. Person\n" + mit.upper().replace("SOFTWARE", "Software  ").replace("sublicense", "sub-licence")
+    rows = [(1, mit), (2, changed), (3, mit + " But."), (4, "text\nReleased under the MIT licence!\nLicensed under CC BY 4.0."), (5, None), (6, ""), (7, "Copyright 2020 X"), (1, mit)]
+    out = licenses.scan_licenses(spark.createDataFrame([(i, t, "y") for i, t in rows], "doc_id long, text string, digest string")).collect()
+    found = {(r.doc_id, r.license_id, r.line_licenses) for r in out}
+    assert found == {(1, "MIT", ""), (2, "MIT", ""), (3, None, ""), (4, None, "CC-BY-4.0,MIT"), (5, None, ""), (6, None, ""), (7, None, "")}
+    assert len(out) == 8 and {r.doc_id for r in out if r.digest is None} == {5, 6, 7}
+
+
+TEXTS = [
+    "Write to Ann.Lee@Mail.example.com or ann.lee@mail.example.com, call +1 (974) 555-3436, host 10.20.30.40.",
+    "Card 4417123456789113 and 4417-1234-5678-9113; not 1234567890123456. token = \"00ff00ff00ff00ff00ff\"",
+    "Frau Schmidt met Mr. John Smith; Mr. John Smith left. Госпожа Иванова ушла. Version 1.2.3.4.5",
+    "IBAN DE89370400440532013000. Call +1 (974) 555-3436.",
+    "nothing private here 12 345", "", None,
+]
+
+
+def test_surrogates(spark):
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(TEXTS)], "doc_id long, text string, kinds string")
+    for limit in (10, -1):
+        out = {r.doc_id: r for r in pii.pseudonymize(docs, broadcast_entities=limit).collect()}
+        assert out[4].text == TEXTS[4] and out[5].text == "" and out[6].text is None and out[6].n_entities == 0
+        mails = re.findall(r"\S+@\S+\w", out[0].text)
+        assert mails[0].lower() == mails[1] and "ann.lee" not in out[0].text.lower() and mails[0][0].isupper()
+        assert not re.search("555-3436|10.20.30.40", out[0].text) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, host \d+\.\d+\.\d+\.\d+\.$", out[0].text)
+        a, b = re.search(r"Card (\d{16}) and (\d{4}-\d{4}-\d{4}-\d{4});", out[1].text).groups()
+        assert a == b.replace("-", "") and a != "4417123456789113" and pii.is_card(a) and "1234567890123456" in out[1].text
+        assert re.search(r'token = "[0-9a-f]{20}"', out[1].text) and "00ff00ff" not in out[1].text
+        names = re.search(r"Frau (\w+) met Mr\. (\w+ \w+); Mr\. (\w+ \w+) left\. Госпожа (\w+ова) ушла", out[2].text).groups()
+        assert names[1] == names[2] != "John Smith" and names[1].split()[0] in pii.GIVEN["latin", "m"] and "1.2.3.4.5" in out[2].text
+        iban, phone = re.search(r"IBAN (\w+)\. Call (.*)\.", out[3].text).groups()
+        assert pii.iban_rest(iban) == 1 and iban != "DE89370400440532013000" and phone in out[0].text
+
+
+def test_no_two_entities_share_a_surrogate(spark):
+    rows = [("ip", f"1.{i}.{j}.9", "") for i in range(40) for j in range(50)] + [("person", f"A{i}", "m") for i in range(2500)]
+    found = spark.createDataFrame(rows, "kind string, value string, hint string")
+    out = pii.assign_surrogates(found.unionByName(found)).collect()
+    made = {(r.kind, r.surrogate) for r in out}
+    assert len(out) == len(made) == len(rows) and not made & {(k, v) for k, v, _ in rows}
+    assert any(r.attempt for r in out)
+
+
+def test_empty(spark):
+    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
