@@ -29,8 +29,9 @@ PREFIXES = (3, 4, 5, 6, 7)
 FIT_ROWS = 5000
 GRADES = 4
 GRADE_HITS = (12, 24)
-L1 = 2e-4
-STEPS = 150
+L1 = 5e-4
+STEPS = 300
+STRETCH = 2
 MIN_ROWS = 4
 REJECT_AT = 0.5
 WORD_CACHE = 1 << 19
@@ -68,9 +69,9 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, grade
     thresholds += np.arange(grades_n - 1) * 1e-3
     used = np.flatnonzero(np.bincount(columns, minlength=width))
     at = np.searchsorted(used, columns).astype(np.int32)
-    # each coordinate's curvature is at most (its rows' lengths) / 4; diagonal steps keep common features slow
+    # a coordinate's curvature is at most (its rows' lengths) / 4; rows rarely reach it, so steps are STRETCH times as long
     lengths = np.bincount(rows, minlength=n)
-    curvature = np.bincount(at, weights=lengths[rows], minlength=len(used)) / (4 * n) + 1e-8
+    curvature = np.bincount(at, weights=lengths[rows], minlength=len(used)) / (4 * n * STRETCH) + 1e-8
     weights, previous, momentum = np.zeros(len(used)), np.zeros(len(used)), 1.0
     for _ in range(steps):
         scores = np.bincount(rows, weights=weights[at], minlength=n)
