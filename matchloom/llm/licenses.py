@@ -101,8 +101,7 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> Data
     table = known_digests(docs.sparkSession, known)
     names = {r["digest"]: r["license_id"] for r in table.collect()}
     by_digest = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
-    longest = max(len(text) for _, text in known) * 4
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, longest))
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     found = F.array_intersect(F.transform(lines, digest), F.array(*map(F.lit, sorted(names))))
     line_licenses = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: by_digest[d]))), ",")
     scanned = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.coalesce(line_licenses, F.lit("")).alias("line_licenses"))
