@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import unit_vector
 
 TOP_K = 50
-QUERY_BLOCK = 1024
+QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
 # Boosts of the clauses, and the constants of the text relevance.
 KNN_BOOST, TEXT_BOOST, SKILL_BOOST, TITLE_BOOST = 1.0, 0.5, 0.5, 0.25
 K1, B = 1.2, 0.75
@@ -39,45 +39,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), DIGITS)
 
 
-def topk_cosine(jobs: DataFrame, resumes: DataFrame, k: int = TOP_K, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows in blocks of about `size` by the hash of their key: block number `name`, array {name}_rows; the number of blocks."""
+    usable = rows.where(F.col(key).isNotNull() & F.col("embedding").isNotNull())
+    blocks = max(1, -(-usable.count() // size))
+    numbered = usable.select(F.struct(F.col(key).alias("id"), "embedding").alias("row"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name))
+    return numbered.groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows")), blocks
+
+
+def topk_cosine(jobs: DataFrame, resumes: DataFrame, k: int = TOP_K, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
     """The k nearest profiles of every opening: job_id, resume_id, embedding_cosine, retrieval_rank.
 
-    Openings are cut into blocks of query_block; every Arrow batch of profiles meets each block in one
-    matrix product and keeps k rows an opening, so neither all pairs nor all openings are ever held.
-    jobs: job_id, embedding; resumes: resume_id, embedding.
+    Openings and profiles are packed into blocks of bounded size; every block of profiles meets every block
+    of openings (an equi-join on the block number) in one matrix product that keeps k rows an opening. Neither
+    all pairs nor a whole table are ever in one task or in the driver.
+    jobs: job_id, embedding; resumes: resume_id, embedding, all of one length. Rows without a vector are left out.
     """
-    count = jobs.count()
-    blocks = max(1, -(-count // query_block))
-    numbered = jobs.select("job_id", "embedding", F.pmod(F.xxhash64("job_id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = numbered.groupBy("block").agg(F.collect_list(F.struct("job_id", "embedding")).alias("openings"))
-    # one block at a time goes to the tasks: its size is bounded by query_block
-    found = None
-    id_type = resumes.schema["resume_id"].dataType.simpleString()
-    job_type = jobs.schema["job_id"].dataType.simpleString()
-    for row in packed.toLocalIterator():
-        ids = [x["job_id"] for x in row["openings"]]
-        queries = np.array([x["embedding"] for x in row["openings"]], np.float64)
-        shared = jobs.sparkSession.sparkContext.broadcast((ids, queries))
-
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                scores = np.round(matrix @ np.array(batch["embedding"].tolist(), np.float64).T, DIGITS)
-                items = batch["resume_id"].to_numpy()
-                by_id = np.argsort(items, kind="stable")
-                best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-                width = best.shape[1]
-                yield pd.DataFrame({
-                    "job_id": np.repeat(np.array(names), width), "resume_id": items[best].ravel(),
-                    "embedding_cosine": np.take_along_axis(scores, best, 1).ravel(),
-                })
-
-        part = resumes.select("resume_id", "embedding").mapInPandas(nearest, f"job_id {job_type}, resume_id {id_type}, embedding_cosine double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = jobs.select("job_id").crossJoin(resumes.select("resume_id").limit(0)).withColumn("embedding_cosine", F.lit(0.0))
+    asked, blocks = _blocks(jobs, "job_id", query_block, "jobs")
+    items, _ = _blocks(resumes, "resume_id", item_block, "items")
+    met = items.withColumn("jobs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "jobs").select("jobs_rows", "items_rows")
+
+    def unpacked(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        rows = cell.values
+        ids = rows.field("id").to_numpy(zero_copy_only=False)
+        vectors = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], vectors[order]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                (names, queries), (ids, vectors) = unpacked(left), unpacked(right)
+                scores = np.round(queries @ vectors.T, DIGITS)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                columns = [np.repeat(names, best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["job_id", "resume_id", "embedding_cosine"])
+
+    kinds = (jobs.schema["job_id"].dataType.simpleString(), resumes.schema["resume_id"].dataType.simpleString())
+    found = met.mapInArrow(nearest, f"job_id {kinds[0]}, resume_id {kinds[1]}, embedding_cosine double")
     return top_k(found, k, "embedding_cosine")
 
 
