@@ -42,15 +42,16 @@ PERCENT = 80
 #: Shingles asked of both prefixes beyond the first, as a percentage of the set; weight of list length in DivideSkip.
 EXTRA_PERCENT = 10
 MU = 0.01
-CELL_BYTES = 16 << 20
+CELL_BYTES = 4 << 20
 BLOCK_SETS = 4000
 BROADCAST_IDS = 1_000_000
 WORD_CACHE = 1 << 18
 #: Rows of an Arrow batch that are held as arrays at a time.
 SLICE_ROWS = 1000
 PROBED_ROOTS = 4
-#: Entries of short lists up to which a heap merges them; numpy's run-merging sort takes over beyond.
-HEAP_ENTRIES = 400
+#: Entries of short lists up to which a heap merges them, and candidates up to which long lists are probed;
+#: beyond, the entries are counted in an array, which is the same count in fewer Python steps.
+HEAP_ENTRIES, PROBED_SETS = 400, 64
 
 # Odd multipliers of the shingle fingerprint (fractional parts of the square roots of the first primes).
 _MULTIPLIERS = np.array(
@@ -228,6 +229,11 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         return int((keys[at] == want).sum())
 
+    def entries(lists: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first entries of lists end to end, and the list that each is from."""
+        starts = list_start[lists] - np.r_[0, np.cumsum(lengths)[:-1]] if len(lists) else lengths
+        return ids[np.repeat(starts, lengths) + np.arange(int(lengths.sum()))], np.repeat(np.arange(len(lists)), lengths)
+
     def similar(q: int, other: int, common: int) -> bool:
         return 100 * common >= percent * (sizes[q] + sizes[other] - common)
 
@@ -254,22 +260,28 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
             if r >= lowest and r < q and root[r] != root[q] and similar(q, r, overlap(lists, r)):
                 join(q, r)
         long_n = min(least - 1, int(least / (MU * np.log2(max(int(lengths[-1]), 2)) + 1)))
-        short, long = lists[: len(lists) - long_n], lists[len(lists) - long_n :]
-        sizes_short = lengths[: len(short)]
-        total = int(sizes_short.sum())
-        spread = np.repeat(list_start[short] - np.r_[0, np.cumsum(sizes_short)[:-1]], sizes_short) + np.arange(total)
-        merged = ids[spread]
+        short = len(lists) - long_n
+        merged, which = entries(lists[:short], lengths[:short])
         open_ = (merged >= lowest) & (root[merged] != root[q])
         if not open_.any():
             continue
-        which, merged = np.repeat(np.arange(len(short)), sizes_short)[open_], merged[open_]
+        merged, which = merged[open_], which[open_]
         if len(merged) <= HEAP_ENTRIES:
             runs = [r.tolist() for r in np.split(merged, np.flatnonzero(which[1:] != which[:-1]) + 1)]
             counted = [(other, sum(1 for _ in hits)) for other, hits in groupby(heapq.merge(*runs))]
+            others, seen = (np.array(x) for x in zip(*counted, strict=True))
+        else:
+            seen = np.bincount(merged)
+            others = np.flatnonzero(seen)
+            seen = seen[others]
+        likely = seen >= least - long_n
+        others, seen = others[likely], seen[likely]
+        if len(others) > PROBED_SETS:
+            common = seen + np.bincount(entries(lists[short:], lengths[short:])[0], minlength=count)[others]
         else:
-            counted = list(zip(*(x.tolist() for x in np.unique(np.sort(merged, kind="stable"), return_counts=True)), strict=True))
-        for other, seen in counted:
-            if seen >= least - long_n and root[other] != root[q] and similar(q, other, seen + overlap(long, other)):
+            common = seen + np.array([overlap(lists[short:], other) for other in others], np.int64)
+        for other in others[100 * common >= percent * (sizes[q] + sizes[others] - common)]:
+            if root[other] != root[q]:
                 join(q, other)
     return links
 
