@@ -26,7 +26,7 @@ from matchloom.llm.common import materialize
 
 HASH_BITS = 18
 PREFIXES = (3, 4, 5, 6, 7)
-FIT_ROWS = 5000
+FIT_ROWS = 4000
 GRADES = 4
 GRADE_HITS = (12, 24)
 L1 = 5e-4
@@ -34,7 +34,8 @@ STEPS = 300
 STRETCH = 2
 MIN_ROWS = 4
 REJECT_AT = 0.5
-WORD_CACHE = 1 << 19
+WORD_CACHE = 1 << 18
+CHUNK = 1 << 20
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -65,16 +66,26 @@ class OrdinalModel:
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, l1: float = L1, steps: int = STEPS) -> OrdinalModel:
     """Fit on a 0/1-count matrix given as (row, column) pairs; grades: one per row. Maximises the cumulative-link likelihood."""
     n, width = len(grades), 1 << HASH_BITS
+
+    def summed(key: np.ndarray, values: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        """Sums of values[of] by key, a chunk of entries at a time so that temporary arrays stay small."""
+        out = np.zeros(size)
+        for i in range(0, len(key), CHUNK):
+            out += np.bincount(key[i : i + CHUNK], weights=values[of[i : i + CHUNK]], minlength=size)
+        return out
+
     thresholds = np.log(np.array([(max((grades < g).sum(), 0.5)) / max((grades >= g).sum(), 0.5) for g in range(1, grades_n)], float))
     thresholds += np.arange(grades_n - 1) * 1e-3
     used = np.flatnonzero(np.bincount(columns, minlength=width))
-    at = np.searchsorted(used, columns).astype(np.int32)
+    place = np.zeros(width, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    at = place[columns]
     # a coordinate's curvature is at most (its rows' lengths) / 4; rows rarely reach it, so steps are STRETCH times as long
     lengths = np.bincount(rows, minlength=n)
-    curvature = np.bincount(at, weights=lengths[rows], minlength=len(used)) / (4 * n * STRETCH) + 1e-8
+    curvature = summed(at, lengths.astype(float), rows, len(used)) / (4 * n * STRETCH) + 1e-8
     weights, previous, momentum = np.zeros(len(used)), np.zeros(len(used)), 1.0
     for _ in range(steps):
-        scores = np.bincount(rows, weights=weights[at], minlength=n)
+        scores = summed(rows, weights, at, n)
         edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
         upper = 1 / (1 + np.exp(-np.clip(scores - edges[grades], -50, 50)))
         lower = 1 / (1 + np.exp(-np.clip(scores - edges[grades + 1], -50, 50)))
@@ -84,7 +95,7 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, grade
         np.add.at(rise, grades, -upper * (1 - upper) / share)
         np.add.at(rise, grades + 1, lower * (1 - lower) / share)
         thresholds = np.maximum.accumulate(thresholds + 1.0 * rise[1:-1] / n + np.r_[0, np.full(grades_n - 2, 1e-6)])
-        moved = weights + np.bincount(at, weights=pull[rows], minlength=len(used)) / curvature
+        moved = weights + summed(at, pull, rows, len(used)) / curvature
         shrunk = np.sign(moved) * np.maximum(np.abs(moved) - l1 / curvature, 0)
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         weights, previous, momentum = shrunk + (momentum - 1) / following * (shrunk - previous), shrunk, following
@@ -142,8 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     lists = [np.frombuffer(r["packed"], np.int32) for r in found]
     frequent = np.bincount(np.concatenate([np.unique(x) for x in lists]), minlength=1 << HASH_BITS) >= MIN_ROWS
     lists = [x[frequent[x]] for x in lists]
+    del found
+    grades = set_grades(lists, toxic)
     rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    model = fit_ordinal(rows, np.concatenate(lists), set_grades(lists, toxic))
+    columns = np.concatenate(lists)
+    del lists
+    model = fit_ordinal(rows, columns, grades)
     model.thresholds += np.log((toxic == 1).sum() / (toxic == 0).sum()) - np.log(totals[1] / totals[0])
     return model
 
