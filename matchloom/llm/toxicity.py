@@ -33,7 +33,7 @@ L1 = 5e-4
 STEPS = 300
 STRETCH = 2
 MIN_ROWS = 4
-REJECT_AT = 0.5
+REJECT_AT = 0.4
 WORD_CACHE = 1 << 18
 CHUNK = 1 << 20
 
@@ -197,7 +197,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, limit = shared.value.weights, shared.value.thresholds[0]
+        weights, limit = shared.value.weights, shared.value.thresholds[0] + np.log(REJECT_AT / (1 - REJECT_AT))
         known: dict[str, float] = {}
         for batch in batches:
             keep = []
