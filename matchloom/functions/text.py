@@ -19,6 +19,7 @@ QUOTED_ITEM = r"'[^']*'|\"[^\"]*\""
 #: Instruction that goes before a text to encode as a query; profiles get none.
 QUERY_PREFIX = "Represent this query for retrieving relevant passages: "
 
+
 def no_items() -> Column:
     return F.array().cast("array<string>")
 
