@@ -45,9 +45,9 @@ MU = 0.01
 CELL_BYTES = 4 << 20
 BLOCK_SETS = 4000
 BROADCAST_IDS = 1_000_000
-WORD_CACHE = 1 << 18
+WORD_CACHE = 1 << 17
 #: Rows of an Arrow batch that are held as arrays at a time.
-SLICE_ROWS = 1000
+SLICE_ROWS = 500
 PROBED_ROOTS = 4
 #: Entries of short lists up to which a heap merges them, and candidates up to which long lists are probed;
 #: beyond, the entries are counted in an array, which is the same count in fewer Python steps.
@@ -147,13 +147,13 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, le
     and then by owner; owner and group are longs. Neighbouring entries of a packed row have one owner, so
     that what travels is little more than the fingerprints.
     """
-    count = parallelism(rows.sparkSession)
+    count = 2 * parallelism(rows.sparkSession)  # small tasks: each holds several copies of its entries as arrays
     same = group == owner
     names = ["hashes", "owners", "leasts"] + ["groups"] * (not same)
     back = ["hashes", "owners", "leasts", "holders"]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2 * SLICE_ROWS):
+        for batch in slices(batches, 4 * SLICE_ROWS):
             lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
             flat, sizes = np.concatenate(lists), [len(x) for x in lists]
             columns = ("owner", "least") if same else ("owner", "least", "group")

@@ -34,7 +34,7 @@ STEPS = 300
 STRETCH = 2
 MIN_ROWS = 4
 REJECT_AT = 0.4
-WORD_CACHE = 1 << 18
+WORD_CACHE = 1 << 17
 CHUNK = 1 << 20
 
 _words = re.compile(r"[^\W\d_]+").findall
