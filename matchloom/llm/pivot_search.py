@@ -77,7 +77,11 @@ def search_block(queries: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k
         order = order[np.argsort(-bound[order], kind="stable")]
         while done < usable:
             if done + step > len(order) and len(order) < len(bound):
-                order = np.argsort(-bound, kind="stable")
+                # equal bounds may come in another order now: what is scored stays, what is left is sorted
+                left = np.ones(len(bound), bool)
+                left[order[:done]] = False
+                left = np.flatnonzero(left)
+                order = np.r_[order[:done], left[np.argsort(-bound[left], kind="stable")]]
             part = order[done : min(done + step, usable)]
             if len(best_scores) == k and best_scores[-1] > bound[part[0]]:
                 break

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from matchloom.llm import pivot_search
 
 
@@ -39,3 +41,16 @@ def test_blocks_do_not_matter(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivot_search.embedding_neighbours(table).count() == 0
+
+
+def test_hundreds_of_equal_vectors_in_one_block():
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        vectors = np.floor(256 * rng.normal(0, 0.1, (2000, 16))).astype(np.int64)
+        query = np.floor(256 * rng.normal(0, 0.3, (1, 16))).astype(np.int64)
+        vectors[rng.choice(2000, 700, replace=False)] = query[0]
+        ids = np.arange(2000)
+        rows, scores = pivot_search.search_block(query, vectors, vectors[:48], 5, np.array([-1]), ids)
+        exact = vectors @ query[0]
+        assert rows[0].tolist() == np.lexsort((ids, -exact))[:5].tolist()
+        assert scores[0].tolist() == exact[rows[0]].tolist()
