@@ -143,6 +143,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nd
 def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, least: Column, rare_first: bool = False) -> DataFrame:
     """owner, shared: the fingerprints of each owner that owners of two groups or more have, if there are `least` or more.
 
+    rows has one row per owner, its hashes distinct: copies would all meet in their owner's task.
     rare_first: only the m - least + 1 rarest of the m. Two shuffles of packed rows, first by fingerprint
     and then by owner; owner and group are longs. Neighbouring entries of a packed row have one owner, so
     that what travels is little more than the fingerprints.
@@ -361,11 +362,12 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     """
     sets = materialize(shingle_sets(docs.select("doc_id", "text"), words, percent), "sets")
     usable = sets.where("n > 0 and doc_id is not null")
-    nodes = materialize(usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "nodes")
-    shared = shared_fingerprints(usable, "sig", "sig", "prefix", enough_shared(F.col("n"), percent))
-    kept = materialize(shared.join(nodes, "sig").select("sig", "node", "n", "shared"), "candidates")
+    # exact copies are one row before any prefix travels
+    nodes = materialize(usable.groupBy("sig").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
     named_sets = materialize(sets.drop("prefix"), "named-sets")
     discard(sets)
+    shared = shared_fingerprints(nodes, "sig", "sig", "prefix", enough_shared(F.col("n"), percent))
+    kept = materialize(shared.join(nodes.drop("prefix"), "sig").select("sig", "node", "n", "shared"), "candidates")
     links = class_links(docs, kept, words, percent)
     classes = connected_components(links)
     named = nodes.join(classes, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))

@@ -98,3 +98,19 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     out = {r["node"]: r["component"] for r in connected_components(links).collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_exact_copies_travel_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(words) for i in range(200)} | {200: " ".join([*words[:-1], "other"]), 201: "something else"}
+    rows_of = []
+    plain = ngram_join.shared_fingerprints
+
+    def counted(rows, owner, *rest, **extra):
+        rows_of.append((rows.count(), rows.select(owner).distinct().count()))
+        return plain(rows, owner, *rest, **extra)
+
+    monkeypatch.setattr(ngram_join, "shared_fingerprints", counted)
+    assert found(spark, texts) == brute_force(texts)
+    assert rows_of[0] == (3, 3)
+    assert all(rows == owners for rows, owners in rows_of)
