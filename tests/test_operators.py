@@ -72,6 +72,25 @@ def test_block_top_k_equals_the_cross_join(spark):
     assert len(near & exact) / len(exact) > 0.5
 
 
+def test_lsh_defaults_find_distant_neighbours(spark):
+    rng = random.Random(5)
+
+    def unit(near=None):
+        v = [rng.gauss(0, 1) + (8 * near[i] if near else 0) for i in range(64)]
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / size for x in v]
+
+    vectors = [unit() for _ in range(20)]
+    jobs = spark.createDataFrame(list(enumerate(vectors)), "job_id long, embedding array<float>")
+    # the first three openings have twelve profiles close by, the others only distant ones
+    close = [unit(v) for v in vectors[:3] for _ in range(12)]
+    resumes = spark.createDataFrame(list(enumerate(close + [unit() for _ in range(300)])), "resume_id long, embedding array<float>")
+    got = [tuple(r) for r in retrieval.topk_lsh(jobs, resumes, 10).select("job_id", "resume_id").collect()]
+    exact = {tuple(r) for r in retrieval.topk_cosine(jobs, resumes, 10).select("job_id", "resume_id").collect()}
+    assert len(got) == len(set(got)) == len(exact) == 200
+    assert len(set(got) & exact) >= 0.9 * len(exact)
+
+
 def test_cascade_of_150_and_151(spark):
     rows = [(f"j{n}", f"r{i:03}", i, i / 200, 0.0) for n in (150, 151) for i in range(n)]
     pairs = spark.createDataFrame(rows, "job_id string, resume_id string, retrieval_rank int, embedding_cosine double, skill_overlap_ratio double")
