@@ -69,10 +69,12 @@ select *, row_number() over (partition by job_id order by retrieval_score_raw de
 
 @query("hybrid_retrieval", HYBRID_SQL)
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors numbered below 40 are openings' (as the passages are), the others profiles'."""
+    """Vectors with the number of a passage are openings', the others profiles'. The SQL takes the numbers below 40, as many as the smallest benchmark has."""
     vectors = fx.table(spark, sf_dir, "embeddings")
     jobs, resumes = fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir)
-    near = retrieval.topk_cosine(vectors.where("vec_id < 40").selectExpr("vec_id as job_id", "embedding"), vectors.where("vec_id >= 40").selectExpr("vec_id as resume_id", "embedding"), 100)
+    passages = jobs.selectExpr("job_id as vec_id")
+    asked, others = vectors.join(passages, "vec_id", "left_semi"), vectors.join(passages, "vec_id", "left_anti")
+    near = retrieval.topk_cosine(asked.selectExpr("vec_id as job_id", "embedding"), others.selectExpr("vec_id as resume_id", "embedding"), 100)
     n = F.broadcast(resumes.agg(F.count("*").alias("n")))
     idf = resumes.select(F.explode("resume_titles").alias("t")).groupBy("t").agg(F.count("*").alias("df")).crossJoin(n)
     idf = idf.select(F.col("t").alias("job_title"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("title_idf"))

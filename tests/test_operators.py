@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import features, feedback, labels, metrics, normalize, ranker, reports, retrieval, shortlist
+from matchloom.plans import matching
 from matchloom.sources import tables
 
 PAIRS = "job_id string, resume_id string, retrieval_rank int, embedding_cosine double, skill_overlap_ratio double, title_overlap_ratio double, years_gap double, experience_match_flag int"
@@ -190,3 +191,13 @@ def test_tables(spark, tmp_path):
     for _ in range(2):
         tables.append_run(spark.createDataFrame([("run",)], "id string"), cards, f"{tmp_path}/runs", f"{tmp_path}/shown")
     assert spark.read.parquet(f"{tmp_path}/shown").count() == 2 and '"a":1' in spark.read.parquet(f"{tmp_path}/shown").first().explanation_json
+
+
+def test_hybrid_openings_are_all_passages(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"passage{i}") for i in range(60)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"document{i}") for i in range(60, 80)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.job_id, r.resume_id) for r in matching.hybrid_retrieval(spark, str(tmp_path)).collect()}
+    assert got == {(job, resume) for job in range(60) for resume in range(60, 80)}
