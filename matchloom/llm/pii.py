@@ -1,32 +1,44 @@
 """Surrogates for personal data: keyed, type-consistent replacements that stay distinct over the corpus.
 
 Detection finds e-mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn and issuer
-checked), IBANs (checksum), secret tokens and titled person names. Equal entities (by canonical value)
-get equal surrogates everywhere; a surrogate keeps type, script, letter case, digit layout, and for names
-the gender of the title. It is drawn from a keyed hash of type, value and attempt.
+checked), IBANs (checksum), secret tokens and titled person names; names without a title, postal
+addresses and birthdays are not looked for. Equal entities (by canonical value) get equal surrogates
+everywhere; a surrogate keeps type, script, letter case, digit layout, and for names the gender of the
+title. It is drawn from a keyed hash of type, value and attempt.
+
+Coreference: case, a possessive ending and a +1 before a ten-digit number make no other entity. A title
+with a surname alone means the one full name with that surname and gender in the same text, and gets its
+surname; without one, or with several, the surname is an entity of its own.
 
 Collision checks: over the distinct entities of the corpus, a surrogate that another entity has drawn,
-or that is itself an entity of the corpus, is drawn again. The few entities that need a later attempt
-travel to the tasks as a broadcast while they are at most BROADCAST_ENTITIES, else by a join.
+or that is itself an entity of the corpus, is drawn again (names are compared by surname); later attempts
+draw from larger spaces. The entities that need a later attempt travel to the tasks as a broadcast while
+they are at most BROADCAST_ENTITIES, else by a join on the hash of the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize
+from matchloom.llm.common import discard, map_batches, materialize
 
-KEY = b"surrogate-key-1"
 BROADCAST_ENTITIES = 100_000
-MAX_ATTEMPTS = 12
-
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Copies of the later attempts of one text in the join, over which the rows with that text are spread.
+SALTS = 32
+#: Attempts after which a form with few values grows.
+GROW_AFTER = 6
+
+LOCAL_CHARS = frozenset(string.ascii_letters + string.digits + "._%+-")
+LOCAL_LENGTH = 64
+DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
 NUMBER = re.compile(
     r"(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d))"
     r"|(?P<card>(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-]*\d))"
@@ -35,8 +47,9 @@ NUMBER = re.compile(
 )
 SECRET = re.compile(r"(?i:token|api[_-]?key|secret|password)\s*[=:]\s*[\"']?(?P<secret>[0-9A-Za-z+/_-]{16,})")
 PERSON = re.compile(
-    r"(?<!\w)(?P<title>Mr\.?|Mrs\.?|Ms\.?|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа) (?P<person>[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'-]+(?: [A-ZÀ-ÖØ-ÞА-ЯЁ][\w'-]+)?)"
+    r"(?<!\w)(?P<title>Mr\.?|Mrs\.?|Ms\.?|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа) (?P<person>[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+(?: [A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+)?)"
 )
+POSSESSIVE = re.compile(r"['’](?:[sS])?(?= |$)")
 
 #: Cheap signs without which the longer patterns cannot match.
 TWO_DIGITS = re.compile(r"\d\.?\d")
@@ -73,16 +86,56 @@ def iban_rest(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
-def entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, type, canonical value, hint) in order, without overlaps; the hint holds a name's gender."""
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Places of e-mail addresses: from every @ a bounded way back and a domain forward."""
+    reached, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > max(reached, at - LOCAL_LENGTH) and text[start - 1] in LOCAL_CHARS:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+            reached = domain.end()
+        at = text.find("@", max(at + 1, reached))
+
+
+class Entity(NamedTuple):
+    """A mention: where it is, its type, canonical value and hint (a name's gender); part: '' or surname, if it names only that."""
+
+    start: int
+    end: int
+    kind: str
+    value: str
+    hint: str
+    part: str = ""
+
+
+def persons(text: str) -> list[Entity]:
+    """Titled names, surnames alone resolved to the full name they mean."""
+    found = []
+    for m in PERSON.finditer(text):
+        gender = "f" if m.group("title").rstrip(".") in FEMALE_TITLES else "m"
+        owner = POSSESSIVE.search(m.group("person"))
+        name = m.group("person")[: owner.start()] if owner else m.group("person")
+        if len(name) > 1:
+            found.append(Entity(m.start("person"), m.start("person") + len(name), "person", name.lower(), gender))
+    full: dict[tuple[str, str], set[str]] = {}
+    for e in found:
+        if " " in e.value:
+            full.setdefault((e.value.split(" ")[1], e.hint), set()).add(e.value)
+    meant = {k: min(names) for k, names in full.items() if len(names) == 1}
+    return [e._replace(value=meant[e.value, e.hint], part="surname") if (e.value, e.hint) in meant else e for e in found]
+
+
+def entities(text: str | None) -> list[Entity]:
+    """The mentions of a text in order, without overlaps."""
     if not text:
         return []
-    found = []
-    if "@" in text:
-        found += [(m.start(), m.end(), "email", m.group().lower(), "") for m in EMAIL.finditer(text)]
+    found = [Entity(a, b, "email", text[a:b].lower(), "") for a, b in addresses(text)]
     low = text.lower()
     for m in SECRET.finditer(text) if any(w in low for w in SECRET_WORDS) else ():
-        found.append((m.start("secret"), m.end("secret"), "secret", m.group("secret").lower(), ""))
+        found.append(Entity(m.start("secret"), m.end("secret"), "secret", m.group("secret"), ""))
     for m in NUMBER.finditer(text) if TWO_DIGITS.search(text) else ():
         kind, raw = m.lastgroup, m.group()
         value = re.sub(r"[^0-9A-Z+]", "", raw)
@@ -95,23 +148,22 @@ def entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
             valid = 15 <= len(value) <= 34 and iban_rest(value) == 1
         else:
             valid = 10 <= len(value.lstrip("+")) <= 15
+            value = value[2:] if value.startswith("+1") and len(value) == 12 else value
         if valid:
-            found.append((m.start(), m.end(), kind, value, ""))
-    for m in PERSON.finditer(text) if any(w in text for w in TITLE_STARTS) else ():
-        gender = "f" if m.group("title").rstrip(".") in FEMALE_TITLES else "m"
-        found.append((m.start("person"), m.end("person"), "person", m.group("person"), gender))
+            found.append(Entity(m.start(), m.end(), kind, value, ""))
+    found += persons(text) if any(w in text for w in TITLE_STARTS) else []
     kept, reached = [], 0
-    for span in sorted(found, key=lambda s: (s[0], -s[1])):
-        if span[0] >= reached:
+    for span in sorted(found, key=lambda e: (e.start, -e.end)):
+        if span.start >= reached:
             kept.append(span)
-            reached = span[1]
+            reached = span.end
     return kept
 
 
 class Draw:
     """A keyed stream of choices for one entity and attempt."""
 
-    def __init__(self, *parts: str, key: bytes = KEY):
+    def __init__(self, *parts: str, key: bytes):
         self.seed, self.key, self.count, self.pool = "\x1f".join(parts).encode("utf-8"), key, 0, 0
 
     def below(self, n: int) -> int:
@@ -136,15 +188,18 @@ def _redrawn(draw: Draw, text: str) -> str:
     return "".join(out)
 
 
-def surrogate_value(kind: str, value: str, hint: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate_value(kind: str, value: str, hint: str, attempt: int, key: bytes) -> str:
     """The surrogate of a canonical value, in canonical form."""
     draw = Draw(kind, hint, value, str(attempt), key=key)
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
-        return f"{_redrawn(draw, local)}@{_redrawn(Draw('domain', domain, str(attempt // 4), key=key), '.'.join(labels))}.{top}"
+        more = "".join(chr(97 + draw.below(26)) for _ in range(attempt // GROW_AFTER))
+        return f"{_redrawn(draw, local)}{more}@{_redrawn(Draw('domain', domain, str(attempt // 4), key=key), '.'.join(labels))}.{top}"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        least, most = {1: 1, 2: 10, 3: 100}, {1: 9, 2: 99, 3: 255}
+        sizes = [len(x) if attempt < GROW_AFTER else 0 for x in value.split(".")]
+        return ".".join(str(least.get(n, 1) + draw.below(most.get(n, 254) - least.get(n, 1) + 1)) for n in sizes)
     if kind == "card":
         body = value[:1] + _redrawn(draw, value[1:-1])
         while not is_card(body + luhn_digit(body)):
@@ -154,15 +209,18 @@ def surrogate_value(kind: str, value: str, hint: str, attempt: int, key: bytes =
         body = value[:2] + "00" + _redrawn(draw, value[4:])
         return f"{body[:2]}{98 - iban_rest(body):02d}{body[4:]}"
     if kind == "phone":
-        keep = 2 if value.startswith("+") else 0
-        return value[:keep] + _redrawn(draw, value[keep:])
+        if value.startswith("+"):
+            return value[:3] + _redrawn(draw, value[3:])
+        # area and exchange codes do not begin with 0 or 1
+        digits = [str(draw.below(10)) if i % 3 or i > 3 else str(2 + draw.below(8)) for i in range(len(value))]
+        return "".join(digits)
     if kind == "secret":
         if re.fullmatch("[0-9a-f]+", value):
             return "".join("0123456789abcdef"[draw.below(16)] for _ in value)
         return _redrawn(draw, value)
-    script = "cyrillic" if re.search("[А-Яа-яЁё]", value) else "latin"
+    script = "cyrillic" if re.search("[а-яё]", value) else "latin"
     syllables = SYLLABLES[script]
-    surname = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + attempt // 3))
+    surname = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + attempt))
     ends = SURNAME_ENDS.get((script, hint)) or SURNAME_ENDS["latin"]
     names = [surname.capitalize() + ends[draw.below(len(ends))]]
     if " " in value:
@@ -174,9 +232,14 @@ def surrogate_value(kind: str, value: str, hint: str, attempt: int, key: bytes =
 def formatted(kind: str, raw: str, surrogate: str) -> str:
     """The surrogate in the layout and letter case of the text it stands in for."""
     if kind in ("card", "phone", "iban"):
-        symbols = iter(surrogate.lstrip("+"))
-        return "".join(next(symbols, "") if c.isalnum() else c for c in raw)
-    if kind in ("email", "secret"):
+        own, new = [c for c in raw if c.isalnum()], surrogate.lstrip("+")
+        symbols = iter([*own[: len(own) - len(new)], *new])  # a country code that is no part of the value stays
+        return "".join(next(symbols) if c.isalnum() else c for c in raw)
+    if kind == "ip":
+        return ".".join(new.zfill(len(old)) for old, new in zip(raw.split("."), surrogate.split("."), strict=True))
+    if kind == "person":
+        return " ".join(new.upper() if old.isupper() else new for old, new in zip(raw.split(" "), surrogate.split(" "), strict=True))
+    if kind == "email":
         if raw.isupper():
             return surrogate.upper()
         if len(raw) == len(surrogate):
@@ -184,68 +247,85 @@ def formatted(kind: str, raw: str, surrogate: str) -> str:
     return surrogate
 
 
-def replaced(text: str | None, attempts: dict[tuple[str, str, str], int], key: bytes = KEY) -> tuple[str | None, list[str]]:
+def replaced(text: str | None, attempts: dict[tuple[str, str, str], int], key: bytes) -> tuple[str | None, list[str]]:
     """The text with its surrogates, and the types that were replaced."""
     found = entities(text)
     if not found:
         return text, []
     out, at = [], 0
-    for start, end, kind, value, hint in found:
+    for start, end, kind, value, hint, part in found:
         surrogate = surrogate_value(kind, value, hint, attempts.get((kind, value, hint), 0), key)
-        out += [text[at:start], formatted(kind, text[start:end], surrogate)]
+        out += [text[at:start], formatted(kind, text[start:end], surrogate.split(" ")[-1] if part else surrogate)]
         at = end
-    return "".join([*out, text[at:]]), [f[2] for f in found]
+    return "".join([*out, text[at:]]), [e.kind for e in found]
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id and kind, value, hint of every entity of every text."""
+def mentions(texts: DataFrame) -> DataFrame:
+    """text_key and kind, value, hint of every mention of every text. texts: text_key (long), text."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *e[2:]) for i, t in enumerate(batch.column(1)) for e in entities(t.as_py())]
-            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[c] for r in rows], pa.string()) for c in (1, 2, 3)]], ["doc_id", "kind", "value", "hint"])
+            rows = [(i, *e[2:5]) for i, t in enumerate(batch.column(1)) for e in entities(t.as_py())]
+            keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array([r[c] for r in rows], pa.string()) for c in (1, 2, 3)]], ["text_key", "kind", "value", "hint"])
+
+    return texts.select("text_key", "text").transform(map_batches, found, "text_key long, kind string, value string, hint string")
 
-    return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kind string, value string, hint string")
 
+def assign_surrogates(found: DataFrame, key: bytes) -> DataFrame:
+    """kind, value, hint, attempt, surrogate of every distinct entity: no two share one, none is itself an entity.
 
-def assign_surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, value, hint, attempt, surrogate of every distinct entity: no two share one, none is itself an entity."""
+    Names are compared by their surnames. Of entities that draw the same, the one with the fewest attempts
+    keeps it, then the smallest; the others draw again until none clashes.
+    """
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate_value(k, v, h, a, key) for k, v, h, a in rows], pa.string())], [*batch.schema.names, "surrogate"])
 
+    def compared(column: str) -> Column:
+        return F.when(F.col("kind") == "person", F.lower(F.substring_index(column, " ", -1))).otherwise(F.col(column))
+
     known = materialize(found.select("kind", "value", "hint").distinct(), "entities")
     table = known.withColumn("attempt", F.lit(0))
     schema = "kind string, value string, hint string, attempt int, surrogate string"
-    first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value", "hint")
-    real = known.select("kind", F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-    for _ in range(MAX_ATTEMPTS):
-        tried = table.mapInArrow(drawn, schema)
-        checked = tried.withColumn("turn", F.row_number().over(first)).join(real, ["kind", "surrogate"], "left")
-        checked = materialize(checked.withColumn("clash", (F.col("turn") > 1) | F.col("real").isNotNull()), "surrogates")
+    first = Window.partitionBy("kind", "mark").orderBy("attempt", "value", "hint")
+    real = known.select("kind", compared("value").alias("mark")).distinct().withColumn("real", F.lit(True))
+    before: DataFrame | None = None
+    while True:
+        tried = table.transform(map_batches, drawn, schema).withColumn("mark", compared("surrogate"))
+        checked = tried.withColumn("turn", F.row_number().over(first)).join(real, ["kind", "mark"], "left")
+        last, checked = before, materialize(checked.withColumn("clash", (F.col("turn") > 1) | F.col("real").isNotNull()), "surrogates")
         if not checked.where("clash").head(1):
             return checked.select("kind", "value", "hint", "attempt", "surrogate")
         table = checked.select("kind", "value", "hint", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
+        before = checked
+        if last is not None:
+            discard(last)
+
 
+def pseudonymize(docs: DataFrame, *, key: bytes, broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
+    """Per row: doc_id, text with surrogates, n_entities (mentions), kinds (sorted, distinct, comma-separated).
 
-def pseudonymize(docs: DataFrame, *, key: bytes = KEY, broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
-    """Per row: doc_id, text with surrogates, n_entities, kinds (sorted, distinct, comma-separated). Null texts stay null."""
-    found = mentions(docs)
+    key: the secret of the keyed hash. Null texts stay null, empty ones empty; null and repeated ids are rows
+    like any other; texts of any length are worked on whole, in time that grows with the length; an empty
+    table gives no rows; other columns are not looked at, whatever their names.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    found = mentions(rows)
     later = materialize(assign_surrogates(found, key).where("attempt > 0"), "later-attempts")
     spark = docs.sparkSession
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_entities int, kinds string"
-    rows = docs.select("doc_id", "text")
     shared = None
     if later.count() <= broadcast_entities:
         shared = spark.sparkContext.broadcast({(r["kind"], r["value"], r["hint"]): r["attempt"] for r in later.collect()})
         rows = rows.withColumn("later", F.lit(None).cast("array<struct<kind:string,value:string,hint:string,attempt:int>>"))
     else:
-        own = found.distinct().join(later, ["kind", "value", "hint"]).groupBy("doc_id")
-        rows = rows.join(own.agg(F.collect_list(F.struct("kind", "value", "hint", "attempt")).alias("later")), "doc_id", "left")
+        # equal texts have equal entities, and texts of one hash may share theirs; a hot text's rows are spread over its copies
+        own = found.distinct().join(later, ["kind", "value", "hint"]).groupBy("text_key").agg(F.collect_list(F.struct("kind", "value", "hint", "attempt")).alias("later"))
+        own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(own, ["text_key", "salt"], "left")
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value if shared else {}
@@ -259,4 +339,4 @@ def pseudonymize(docs: DataFrame, *, key: bytes = KEY, broadcast_entities: int =
             columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(map(len, kinds), pa.int32()), pa.array([",".join(sorted(set(k))) for k in kinds], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_entities", "kinds"])
 
-    return rows.select("doc_id", "text", "later").mapInArrow(changed, out)
+    return rows.select("doc_id", "text", "later").transform(map_batches, changed, out)
