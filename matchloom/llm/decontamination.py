@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import batch_predicate, map_batches
+
 ERROR_RATE = 0.06
 BLOCK_CHARS = 4_000_000
 
@@ -126,7 +128,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_R
     """One row per document and item that it holds: doc_id, item_id, distance, end_char, item_chars.
 
     Positions count characters of the normalised text. Null and empty texts hold nothing; repeated rows
-    and repeated items match one by one; without items there are no rows.
+    and repeated items match one by one; without items, or documents, there are no rows; other columns are
+    not looked at, whatever their names. An item of few letters has no error budget and matches inside words.
     """
     spark = docs.sparkSession
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, end_char long, item_chars int"
@@ -143,19 +146,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_R
                 columns = [ids, pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(end, pa.int64()), pa.array(size, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "distance", "end_char", "item_chars"])
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(searched, out))
+        found = found.unionByName(docs.select("doc_id", "text").transform(map_batches, searched, out))
     return found
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents without a benchmark passage, with their own columns; one pass for each block of items."""
+    """The documents without a benchmark passage, with their own columns, whatever their names; one pass for each block of items."""
     for block in item_blocks(items, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast((block, error_rate))
 
-        def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def kept(columns: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
             matcher = Matcher(*shared.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.matches(normal_text(t.as_py())) for t in batch.column("text")], pa.bool_()))
+            for texts in columns:
+                yield pa.array([not matcher.matches(normal_text(t.as_py())) for t in texts], pa.bool_())
 
-        docs = docs.mapInArrow(kept, docs.schema)
+        docs = docs.where(batch_predicate(docs.sparkSession, kept)("text"))
     return docs

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import map_batches
 from matchloom.llm.toxicity import sample_rows
 
 FIT_ROWS = 20_000
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Fores
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], ["label", "packed"])
 
     sample, _ = sample_rows(docs, labels, "quality", fit_rows, ~held_out())
-    found = sorted((r["label"], bytes(r["packed"])) for r in sample.select("label", "text").mapInArrow(measured, "label int, packed binary").collect())
+    found = sorted((r["label"], bytes(r["packed"])) for r in sample.select("label", "text").transform(map_batches, measured, "label int, packed binary").collect())
     if not found:
         return Forest(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 0.0)
     return fit_forest(np.stack([np.frombuffer(b) for _, b in found]), np.array([y for y, _ in found], float))
@@ -147,8 +148,14 @@ def score(docs: DataFrame, forest: Forest, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scored, f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.transform(map_batches, scored, f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted.
+
+    Null and empty texts count as empty and get the score of zero statistics; null and repeated ids are rows
+    like any other, and equal texts get equal scores; texts of any length are read whole; an empty table gives
+    no rows, and without labels every score is 0.5; other columns are not looked at, whatever their names.
+    """
     return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
