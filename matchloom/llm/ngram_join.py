@@ -13,13 +13,14 @@ Jaccard similarity is at least PERCENT / 100; classes are the connected componen
    few comparisons for each copy.
 3. What could still be missing are links between different classes. Of each whole set the
    fingerprints that sets of other classes have too are counted; a set needs 0.8 n of them. Ordered
-   from the rarest, such a set shares one of its first m - 0.8 n + 1 of m with any set it links to, so
-   the connected components of these keys hold every missing link. Each component meets in one cell,
-   for the same search.
-
-A key or component with more sets than fit a cell is split into blocks: in step 2 the blocks are
-searched by themselves and their class roots together in a second round; in step 3 all pairs of
-blocks meet.
+   from the rarest, such a set shares one of its first m - 0.8 n + 1 of m with any set it links to.
+   The connected components of these keys hold every missing link: a component that fits a cell meets
+   there at once, the sets of larger ones meet key by key.
+
+A key with more sets than fit a cell is split into blocks: in step 2 the blocks are searched by
+themselves and their class roots together in a second round; in step 3 its blocks meet two by two.
+The number of tasks follows from the number of fingerprints. A fingerprint that very many sets hold is
+found on a sample and decided by a pre-aggregated count, so that its holders never meet in one task.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import discard, materialize, parallelism
+from matchloom.llm.common import discard, map_batches, materialize
 from matchloom.llm.components import connected_components
 
 WORDS = 5
@@ -49,9 +50,13 @@ WORD_CACHE = 1 << 17
 #: Rows of an Arrow batch that are held as arrays at a time.
 SLICE_ROWS = 500
 PROBED_ROOTS = 4
-#: Entries of short lists up to which a heap merges them, and candidates up to which long lists are probed;
-#: beyond, the entries are counted in an array, which is the same count in fewer Python steps.
-HEAP_ENTRIES, PROBED_SETS = 400, 64
+#: Entries that the short lists of a set should hold at most: long lists are cut off until they do, as far as the
+#: threshold allows. Candidates that are probed together.
+HEAP_ENTRIES, PROBED_TOGETHER = 400, 256
+#: Fingerprints that one task of the exchange holds on average.
+BUCKET_ENTRIES = 1 << 18
+#: One set in HEAVY_SAMPLE is looked at for fingerprints with HEAVY_HOLDERS holders or more.
+HEAVY_SAMPLE, HEAVY_HOLDERS = 1000, 200_000
 
 # Odd multipliers of the shingle fingerprint (fractional parts of the square roots of the first primes).
 _MULTIPLIERS = np.array(
@@ -98,7 +103,7 @@ class Shingler:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches cut to a bounded number of rows."""
+    """Batches cut to a bounded number of rows; empty ones are left out."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
@@ -118,18 +123,19 @@ def shingle_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "sig", "prefix"]
             )
 
-    return docs.mapInArrow(made, "doc_id long, n long, sig long, prefix binary")
+    return docs.transform(map_batches, made, "doc_id long, n long, sig long, prefix binary")
 
 
-def _packed(buckets: np.ndarray, columns: list[np.ndarray], count: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket: the bytes of each column's entries in it."""
+def _packed(buckets: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row per bucket that has entries: the bytes of each column's entries in it."""
+    if not len(buckets):
+        return
     buckets = buckets.astype(np.int64)
     order = np.argsort(buckets, kind="stable")
-    ends = np.searchsorted(buckets[order], np.arange(count + 1))
-    sorted_columns = [c[order] for c in columns]
-    rows = [b for b in range(count) if ends[b + 1] > ends[b]]
-    arrays = [pa.array([c[ends[b] : ends[b + 1]].tobytes() for b in rows], pa.binary()) for c in sorted_columns]
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *arrays], names)
+    rows, starts = np.unique(buckets[order], return_index=True)
+    ends = np.r_[starts[1:], len(order)]
+    arrays = [pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for c in (c[order] for c in columns)]
+    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *arrays], names)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
@@ -140,6 +146,43 @@ def _unpacked(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nd
     return [np.concatenate(p) if p else np.empty(0, np.uint64) for p in parts]
 
 
+def heavy_fingerprints(source: DataFrame) -> dict[int, tuple[bool, int]]:
+    """Whether groups share it, and its holders, of each fingerprint that very many rows (group, hashes) hold.
+
+    Candidates are the fingerprints that are frequent in a sample; they are then counted exactly, batch by
+    batch before any shuffle. There are at most (fingerprints of all rows) / HEAVY_HOLDERS of them, more or less.
+    """
+    least = max(2, HEAVY_HOLDERS // HEAVY_SAMPLE)
+    sample = source.where(F.pmod(F.xxhash64(F.lit(3), "owner"), F.lit(HEAVY_SAMPLE)) == 0)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in batch.column(0)] or [np.empty(0, np.int64)]))], ["key"])
+
+    likely = sample.select("hashes").transform(map_batches, listed, "key long").groupBy("key").count().where(F.col("count") >= least)
+    keys = np.sort(np.array([r["key"] for r in likely.collect()], np.int64).view(np.uint64))
+    if not len(keys):
+        return {}
+    shared = source.sparkSession.sparkContext.broadcast(keys)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 * SLICE_ROWS):
+            lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
+            flat, groups = np.concatenate(lists), np.repeat(batch.column("group").to_numpy(zero_copy_only=False), [len(x) for x in lists])
+            at = np.minimum(np.searchsorted(shared.value, flat), len(shared.value) - 1)
+            hit = shared.value[at] == flat
+            flat, groups = flat[hit], groups[hit]
+            order = np.argsort(flat, kind="stable")
+            flat, groups = flat[order], groups[order]
+            if len(flat):
+                starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+                columns = [flat[starts].view(np.int64), np.minimum.reduceat(groups, starts), np.maximum.reduceat(groups, starts), np.diff(np.r_[starts, len(flat)])]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "lo", "hi", "n"])
+
+    sums = source.select("group", "hashes").transform(map_batches, counted, "key long, lo long, hi long, n long").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    return {r["key"] % (1 << 64): (r["lo"] != r["hi"], r["n"]) for r in sums.collect()}
+
+
 def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, least: Column, rare_first: bool = False) -> DataFrame:
     """owner, shared: the fingerprints of each owner that owners of two groups or more have, if there are `least` or more.
 
@@ -148,19 +191,45 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, le
     and then by owner; owner and group are longs. Neighbouring entries of a packed row have one owner, so
     that what travels is little more than the fingerprints.
     """
-    count = 2 * parallelism(rows.sparkSession)  # small tasks: each holds several copies of its entries as arrays
     same = group == owner
     names = ["hashes", "owners", "leasts"] + ["groups"] * (not same)
     back = ["hashes", "owners", "leasts", "holders"]
+    source = rows.select(F.col(owner).alias("owner"), least.cast("long").alias("least"), F.col(group).alias("group"), F.col(hashes).alias("hashes"))
+    count = max(1, -(-(source.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // (8 * BUCKET_ENTRIES)))
+    heavy = heavy_fingerprints(source)
+    heavy_keys = np.sort(np.array(list(heavy), np.uint64))
+    heavy_shared = np.array([heavy[int(k)][0] for k in heavy_keys], bool)
+    heavy_holders = np.array([heavy[int(k)][1] for k in heavy_keys], np.uint64)
+    told = rows.sparkSession.sparkContext.broadcast((heavy_keys, heavy_shared, heavy_holders))
+
+    def flat_columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
+        sizes = [len(x) for x in lists]
+        columns = ("owner", "least") if same else ("owner", "least", "group")
+        return [np.concatenate(lists), *[np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes) for c in columns]]
+
+    def heavy_at(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = told.value[0]
+        at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+        return at, keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+
+    def owner_bucket(owners: np.ndarray) -> np.ndarray:
+        return (owners ^ (owners >> np.uint64(33))) % np.uint64(count)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 * SLICE_ROWS):
-            lists = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
-            flat, sizes = np.concatenate(lists), [len(x) for x in lists]
-            columns = ("owner", "least") if same else ("owner", "least", "group")
-            ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), sizes) for c in columns]
+            columns = flat_columns(batch)
+            light = ~heavy_at(columns[0])[1]
+            columns = [c[light] for c in columns]
             # packed thousands to a row, so that rows stay few however many fingerprints there are
-            yield from _packed((flat >> np.uint64(20)) % np.uint64(count), [flat, *ids], count, ["bucket", *names])
+            yield from _packed((columns[0] >> np.uint64(20)) % np.uint64(count), columns, ["bucket", *names])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 * SLICE_ROWS):
+            flat, owners, leasts = flat_columns(batch)[:3]
+            at, hit = heavy_at(flat)
+            hit[hit] = told.value[1][at[hit]]
+            yield from _packed(owner_bucket(owners[hit]), [flat[hit], owners[hit], leasts[hit], told.value[2][at[hit]]], ["bucket", *back])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _unpacked(batches, names)
@@ -174,7 +243,7 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, le
         holders = np.repeat(sizes, sizes).astype(np.uint64)
         by_owner = np.argsort(owners[keep], kind="stable")
         flat, owners, leasts, holders = (c[keep][by_owner] for c in (flat, owners, leasts, holders))
-        yield from _packed((owners ^ (owners >> np.uint64(33))) % np.uint64(count), [flat, owners, leasts, holders], count, ["bucket", *back])
+        yield from _packed(owner_bucket(owners), [flat, owners, leasts, holders], ["bucket", *back])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, owners, leasts, holders = _unpacked(batches, back)
@@ -182,8 +251,6 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, le
             return
         order = np.lexsort((flat, owners))
         flat, owners, leasts, holders = (c[order] for c in (flat, owners, leasts, holders))
-        fresh = np.r_[True, (flat[1:] != flat[:-1]) | (owners[1:] != owners[:-1])]
-        flat, owners, leasts, holders = (c[fresh] for c in (flat, owners, leasts, holders))
         starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
         ends = np.r_[starts[1:], len(owners)]
         enough = ends - starts >= leasts[starts].astype(np.int64)
@@ -197,10 +264,12 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, le
         for i in range(0, len(ids), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[i : i + 2000], np.uint64).view(np.int64)), pa.array(pieces[i : i + 2000], pa.binary())], [owner, "shared"])
 
-    source = rows.select(F.col(owner).alias("owner"), least.cast("long").alias("least"), F.col(group).alias("group"), F.col(hashes).alias("hashes"))
-    first = source.mapInArrow(dealt, "bucket int, " + ", ".join(f"{n} binary" for n in names)).repartition(count, "bucket")
-    second = first.mapInArrow(met, "bucket int, " + ", ".join(f"{n} binary" for n in back)).repartition(count, "bucket")
-    return second.mapInArrow(gathered, f"{owner} long, shared binary")
+    back_schema = "bucket int, " + ", ".join(f"{n} binary" for n in back)
+    first = source.transform(map_batches, dealt, "bucket int, " + ", ".join(f"{n} binary" for n in names)).repartitionById(count, F.col("bucket"))
+    second = first.transform(map_batches, met, back_schema)
+    if len(heavy_keys):
+        second = second.unionByName(source.transform(map_batches, known, back_schema))
+    return second.repartitionById(count, F.col("bucket")).transform(map_batches, gathered, f"{owner} long, shared binary")
 
 
 def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -224,11 +293,22 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
     root = first_of[root]
     links: list[tuple[int, int]] = []
 
-    def overlap(lists: np.ndarray, other: int) -> int:
-        """Binary probes: in how many lists the other set is."""
-        want = lists * count + other
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return int((keys[at] == want).sum())
+    def keys_hit(lists: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Binary probes: whether each list (rows) has each of the other sets (columns)."""
+        want = lists[:, None] * count + others[None]
+        return keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
+
+    def merge(merged: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets in the short lists, in order, and in how many of these each is: a heap merges the lists.
+
+        Lists that are too long for it (only where the threshold leaves no more lists to probe) are merged by sorting.
+        """
+        if len(merged) > 4 * HEAP_ENTRIES:
+            return np.unique(merged, return_counts=True)
+        runs = [r.tolist() for r in np.split(merged, np.flatnonzero(which[1:] != which[:-1]) + 1)]
+        counted = [(other, sum(1 for _ in hits)) for other, hits in groupby(heapq.merge(*runs))]
+        others, seen = zip(*counted, strict=True)
+        return np.array(others), np.array(seen)
 
     def entries(lists: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first entries of lists end to end, and the list that each is from."""
@@ -258,38 +338,35 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
         # the classes in the longest list first: most copies join theirs by one comparison
         longest = ids[list_start[lists[-1]] : list_start[lists[-1]] + lengths[-1]]
         for r in np.unique(root[longest[-64:]])[:PROBED_ROOTS]:
-            if r >= lowest and r < q and root[r] != root[q] and similar(q, r, overlap(lists, r)):
+            if r >= lowest and r < q and root[r] != root[q] and similar(q, r, int(keys_hit(lists, np.array([r])).sum())):
                 join(q, r)
+        # DivideSkip's weight of the longest list, and more long lists where the short ones would still be long
         long_n = min(least - 1, int(least / (MU * np.log2(max(int(lengths[-1]), 2)) + 1)))
+        fitting = int(np.searchsorted(np.cumsum(lengths), HEAP_ENTRIES, side="right"))
+        long_n = min(least - 1, max(long_n, len(lists) - fitting))
         short = len(lists) - long_n
         merged, which = entries(lists[:short], lengths[:short])
         open_ = (merged >= lowest) & (root[merged] != root[q])
         if not open_.any():
             continue
-        merged, which = merged[open_], which[open_]
-        if len(merged) <= HEAP_ENTRIES:
-            runs = [r.tolist() for r in np.split(merged, np.flatnonzero(which[1:] != which[:-1]) + 1)]
-            counted = [(other, sum(1 for _ in hits)) for other, hits in groupby(heapq.merge(*runs))]
-            others, seen = (np.array(x) for x in zip(*counted, strict=True))
-        else:
-            seen = np.bincount(merged)
-            others = np.flatnonzero(seen)
-            seen = seen[others]
+        others, seen = merge(merged[open_], which[open_])
         likely = seen >= least - long_n
         others, seen = others[likely], seen[likely]
-        if len(others) > PROBED_SETS:
-            common = seen + np.bincount(entries(lists[short:], lengths[short:])[0], minlength=count)[others]
-        else:
-            common = seen + np.array([overlap(lists[short:], other) for other in others], np.int64)
-        for other in others[100 * common >= percent * (sizes[q] + sizes[others] - common)]:
-            if root[other] != root[q]:
-                join(q, other)
+        while len(others):
+            part, counted = others[:PROBED_TOGETHER], seen[:PROBED_TOGETHER]
+            common = counted + (keys_hit(lists[short:], part).sum(0) if long_n else 0)
+            for other in part[100 * common >= percent * (sizes[q] + sizes[part] - common)]:
+                if root[other] != root[q]:
+                    join(q, other)
+            others, seen = others[PROBED_TOGETHER:], seen[PROBED_TOGETHER:]
+            apart = root[others] != root[q]
+            others, seen = others[apart], seen[apart]
     return links
 
 
 def search_cells(sets: DataFrame, placed: DataFrame, cells: int, percent: int) -> DataFrame:
     """Links (a, b) found where sets (sig, node, class, full) meet in cells (sig, cell)."""
-    rows = placed.join(sets.select("sig", "node", F.col("class").alias("own_class"), "full"), "sig").repartition(cells, "cell")
+    rows = placed.join(sets.select("sig", "node", F.col("class").alias("own_class"), "full"), "sig").repartitionById(cells, F.col("cell"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -302,7 +379,7 @@ def search_cells(sets: DataFrame, placed: DataFrame, cells: int, percent: int) -
                 links = search_cell(np.array(nodes, np.int64), np.array(classes, np.int64), list(full), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return materialize(rows.mapInArrow(searched, "a long, b long"), "links")
+    return materialize(rows.transform(map_batches, searched, "a long, b long"), "links")
 
 
 def _cells(meetings: DataFrame) -> int:
@@ -320,7 +397,7 @@ def listed_keys(sets: DataFrame, column: str, most: int | None) -> DataFrame:
             ids = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), repeat) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["sig", "size", "key"])
 
-    return sets.select("sig", F.col("n").alias("size"), column).mapInArrow(listed, "sig long, size long, key long")
+    return sets.select("sig", F.col("n").alias("size"), column).transform(map_batches, listed, "sig long, size long, key long")
 
 
 def meet_by_keys(sets: DataFrame) -> tuple[DataFrame, int, bool]:
@@ -334,19 +411,32 @@ def meet_by_keys(sets: DataFrame) -> tuple[DataFrame, int, bool]:
     return placed.select("sig", cell.alias("cell")).distinct(), cells, bool(crowds.head(1))
 
 
-def meet_by_components(keys: DataFrame) -> tuple[DataFrame, int]:
-    """Cells of each set by the connected component of its keys (sig, size, key); their number."""
-    first = keys.groupBy("key").agg(F.min("sig").alias("b"), F.count("*").alias("holders")).where("holders > 1")
+def meet_by_rare_keys(keys: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Cells of each set by its rare keys (sig, size, key), and their number.
+
+    The sets of a connected component of keys share one cell if they fit it; else the sets of each key do,
+    and those of a key with more sets than fit are split into blocks that meet two by two.
+    """
+    first = keys.groupBy("key").agg(F.min("sig").alias("b"), F.count("*").alias("holders"), F.sum("size").alias("sizes")).where("holders > 1")
+    first = materialize(first, "key-holders")
     edges = keys.join(first, "key").select(F.col("sig").alias("a"), "b").distinct()
     members = connected_components(edges).select(F.col("node").alias("sig"), "component")
     members = materialize(members.join(keys.select("sig", "size").distinct(), "sig"), "members")
-    blocks = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("sizes"))
-    needed = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("sizes") * 8 / (CELL_BYTES / 2)))
-    placed = members.join(blocks.select("component", needed.alias("blocks")), "component")
-    placed = placed.withColumn("i", F.pmod(F.xxhash64("sig"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = materialize(placed.select("sig", "size", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")), "places")
+    scratch += [first, members]
+
+    def blocks(sets: str, sizes: str) -> Column:
+        return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(sizes) * 8 / (CELL_BYTES / 2)))
+
+    grouped = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("sizes"))
+    sized = members.join(grouped.select("component", (blocks("sets", "sizes") == 1).alias("fits")), "component")
+    whole = sized.where("fits").select("sig", "size", F.struct(F.lit(0), F.col("component").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("place"))
+    apart = keys.join(sized.where("not fits").select("sig"), "sig", "left_semi").join(first.select("key", blocks("holders", "sizes").alias("blocks")), "key")
+    apart = apart.withColumn("i", F.pmod(F.xxhash64("sig"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.struct(F.lit(1), "key", F.least("i", "j").cast("int").alias("i"), F.greatest("i", "j").cast("int").alias("j"))
+    placed = materialize(whole.unionByName(apart.select("sig", "size", pair.alias("place"))), "places")
+    scratch.append(placed)
     cells = _cells(placed)
-    return placed.select("sig", F.pmod(F.xxhash64("component", "i", "j"), F.lit(cells)).cast("int").alias("cell")).distinct(), cells
+    return placed.select("sig", F.pmod(F.xxhash64("place"), F.lit(cells)).cast("int").alias("cell")).distinct(), cells
 
 
 def enough_shared(n: Column, percent: int) -> Column:
@@ -368,16 +458,18 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     discard(sets)
     shared = shared_fingerprints(nodes, "sig", "sig", "prefix", enough_shared(F.col("n"), percent))
     kept = materialize(shared.join(nodes.drop("prefix"), "sig").select("sig", "node", "n", "shared"), "candidates")
-    links = class_links(docs, kept, words, percent)
-    classes = connected_components(links)
+    scratch = [kept]
+    classes = connected_components(class_links(docs, kept, words, percent, scratch))
+    for table in scratch:
+        discard(table)
     named = nodes.join(classes, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     out = named_sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id"))
 
 
-def class_links(docs: DataFrame, kept: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between nodes that connect every class."""
+def class_links(docs: DataFrame, kept: DataFrame, words: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
+    """Links (a, b) between nodes that connect every class. scratch gets the tables that are not needed once the links are read."""
     wanted = kept.select(F.col("node").alias("doc_id")).distinct()
     if kept.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -389,22 +481,28 @@ def class_links(docs: DataFrame, kept: DataFrame, words: int, percent: int) -> D
             sigs = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "full"])
 
-    full = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(whole, "sig long, full binary").dropDuplicates(["sig"])
+    full = docs.select("doc_id", "text").join(wanted, "doc_id").transform(map_batches, whole, "sig long, full binary").dropDuplicates(["sig"])
     sets = materialize(kept.join(full, "sig").withColumn("class", F.col("node")), "full-sets")
     placed, cells, split = meet_by_keys(sets)
     links = search_cells(sets, placed, cells, percent)
     classes = materialize(connected_components(links), "classes")
+    scratch += [sets, links, classes]
     if split:
         roots = sets.join(classes.where("node <> component"), "node", "left_anti")
         placed, cells, _ = meet_by_keys(roots)
-        links = links.unionByName(search_cells(roots, placed, cells, percent))
+        between = search_cells(roots, placed, cells, percent)
+        links = links.unionByName(between)
         classes = materialize(connected_components(links), "classes")
+        scratch += [between, classes]
     classed = sets.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     rare = shared_fingerprints(classed, "sig", "class", "full", F.ceil(F.col("n") * percent / 100), rare_first=True)
     keys = materialize(listed_keys(rare.join(kept.select("sig", "n"), "sig"), "shared", None), "rare-keys")
+    scratch.append(keys)
     if keys.head(1):
-        placed, cells = meet_by_components(keys)
-        links = links.unionByName(search_cells(classed, placed, cells, percent))
+        placed, cells = meet_by_rare_keys(keys, scratch)
+        missing = search_cells(classed, placed, cells, percent)
+        scratch.append(missing)
+        links = links.unionByName(missing)
     return links
 
 
