@@ -6,8 +6,10 @@ the rows of an arc that its shard cannot hold continue clockwise to the next vir
 shard has room. Capacities add up to the row count and differ by one at most, so the balance is
 exact, and only overflowing rows leave their home shard.
 
-Only counts by ring cell (RING_CELLS at most, whatever the input) and the resulting segments
-(virtual nodes + shards at most) pass through the driver. Rows are ranked in windows of one cell.
+Only counts by ring cell (RING_CELLS at most, whatever the input; HOT_PARTS more for each of the cells
+with more than a HOT_CELLS-th of all rows) and the resulting segments (virtual nodes + shards at most)
+pass through the driver. Rows are ranked in windows of one cell, hot cells in parts by the hash of the
+whole row, so that rows of one id, or without one, do not all meet in one task.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ RING_CELLS = 1 << 16
 VIRTUAL_NODES = 128
 SHARDS = 24
 ROW_OVERHEAD = 8
+HOT_CELLS, HOT_PARTS = 500, 256
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES, seed: int = 0) -> list[tuple[int, int]]:
@@ -87,37 +90,45 @@ def assign_shards(
     """Add shard, slot (gapless from 0 in each shard), home_shard (before overflow) and hops to every row.
 
     keep: the columns to carry (all by default); carried columns of the four names are replaced.
-    Null ids hash like any value; repeated rows are placed one by one; an empty table gives no rows.
+    Null ids hash like any value; null and empty texts count as empty, texts of any length travel with their
+    row; repeated rows are placed one by one, in any order among them; an empty table gives no rows.
     """
     spark = docs.sparkSession
     nodes = ring(shards, virtual_nodes, seed)
     position = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 32)
     cell = F.shiftright(position, 16).cast("int")
     counts = {r["cell"]: r["count"] for r in docs.select(cell.alias("cell")).groupBy("cell").count().collect()}
+    hot = [c for c, n in counts.items() if n > max(sum(counts.values()) // HOT_CELLS, 1)]
+    tie = F.struct(F.col(id_col).cast("string"), utf8_size(F.col(text_col)), F.crc32(F.col(text_col).cast("binary")))
+    part = F.when(cell.isin(hot), F.pmod(F.xxhash64(tie), F.lit(HOT_PARTS)).cast("int")).otherwise(0) if hot else F.lit(0)
+    in_parts: dict[int, list[tuple[int, int]]] = {}
+    if hot:
+        split = docs.select(cell.alias("cell"), part.alias("part")).where(F.col("cell").isin(hot)).groupBy("cell", "part").count()
+        for r in split.orderBy("part").collect():
+            in_parts.setdefault(r["cell"], []).append((r["part"], r["count"]))
     starts = [c for c, _ in nodes]
     arc_of = [bisect.bisect_left(starts, c) % len(nodes) for c in range(RING_CELLS)]
     # the first arc crosses zero: its cells after the last node come before those from zero on
     order = sorted(range(RING_CELLS), key=lambda c: (arc_of[c], c <= starts[-1] and arc_of[c] == 0, c))
     arc_rows, cells = [0] * len(nodes), []
     for c in order:
-        if c in counts:
-            cells.append((c, arc_of[c], arc_rows[arc_of[c]]))
-            arc_rows[arc_of[c]] += counts[c]
+        for p, n in in_parts.get(c) or ([(0, counts[c])] if c in counts else []):
+            cells.append((c, p, arc_of[c], arc_rows[arc_of[c]]))
+            arc_rows[arc_of[c]] += n
     segments = fill_ring(nodes, arc_rows, capacities(sum(arc_rows), shards))
-    cell_table = F.broadcast(spark.createDataFrame(cells, "_cell int, _arc int, _before long"))
+    cell_table = F.broadcast(spark.createDataFrame(cells, "_cell int, _part int, _arc int, _before long"))
     homes = [(arc, first, end, shard, slot, hops, nodes[arc][1]) for arc, first, end, shard, slot, hops in segments]
     segment_table = F.broadcast(
         spark.createDataFrame(homes, "_arc int, _first long, _end long, _shard int, _slot long, _hops int, _home int")
     )
     kept = docs.columns if keep is None else keep
     rows = docs.select(
-        F.struct(*kept).alias("_row"), position.alias("_position"), cell.alias("_cell"),
-        F.struct(F.col(id_col).cast("string"), utf8_size(F.col(text_col)), F.crc32(F.col(text_col).cast("binary"))).alias("_tie"),
+        F.struct(*kept).alias("_row"), position.alias("_position"), cell.alias("_cell"), part.alias("_part"), tie.alias("_tie"),
     )
-    in_cell = Window.partitionBy("_cell").orderBy("_position", "_tie")
+    in_cell = Window.partitionBy("_cell", "_part").orderBy("_position", "_tie")
     ranked = (
         rows.withColumn("_rank", F.row_number().over(in_cell) - 1)
-        .join(cell_table, "_cell")
+        .join(cell_table, ["_cell", "_part"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
     )
     placed = ranked.join(segment_table, "_arc").where("_rank >= _first and _rank < _end")
@@ -130,7 +141,7 @@ def assign_shards(
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per document under the rows law: sizes, checksums and places."""
+    """One row per document under the rows law: sizes, checksums and places; nulls, repeats and empty tables as in assign_shards."""
     measured = [
         F.col("doc_id"), (utf8_size(F.col("text")) + ROW_OVERHEAD).alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.lit("rows").alias("law"),
