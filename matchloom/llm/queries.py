@@ -10,48 +10,60 @@ from matchloom.llm import decontamination, licenses, mixing, ngram_join, pii, pi
 from matchloom.llm.common import read_table
 
 
+#: The query's own key; users of the operator bring theirs.
+QUERY_KEY = b"surrogate-key-1"
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(read_table(spark, sf_dir, "documents"))
+    """Every document with surrogates for its personal data; cases as in pii.pseudonymize."""
+    return pii.pseudonymize(read_table(spark, sf_dir, "documents"), key=QUERY_KEY)
 
 
 def op2_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, from a model fitted on labelled ones; cases as in toxicity.score."""
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within the error rate; cases as in decontamination.find_leaks."""
     return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-#: Where the public vocabulary files lie on every machine.
-TOKENIZER_FOLDER = "/opt/tokenizers"
-
-
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_report(read_table(spark, sf_dir, "documents"), f"{TOKENIZER_FOLDER}/byte_bpe_50k.json")
+    """Tokens of every document by the public byte-level vocabulary; cases as in tokens.token_report."""
+    from public_tokenizers import path
+
+    return tokens.token_report(read_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
 def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document and of its lines; cases as in licenses.scan_licenses."""
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
 def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other rows for every 50th embedding; cases as in pivot_search.embedding_neighbours."""
     return pivot_search.embedding_neighbours(read_table(spark, sf_dir, "embeddings"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed epochs of all documents; cases as in mixing.select_prefixes."""
     return mixing.select_prefixes(read_table(spark, sf_dir, "documents"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-duplicate class of every document; cases as in ngram_join.near_duplicates."""
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op9_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; cases as in sharding.assign_shards."""
     return sharding.shard_report(read_table(spark, sf_dir, "documents"))
 
 
 def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, from trees fitted outside the held-out fold; cases as in quality.quality_report."""
     return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 

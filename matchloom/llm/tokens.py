@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import map_batches
+
 #: The public pre-token pattern and byte alphabet of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -158,9 +160,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType.simpleString()
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), size.alias("n_bytes"))
-    return rows.mapInArrow(counted, f"id {kind}, n_tokens long, n_bytes long").withColumnRenamed("id", id_col)
+    return rows.transform(map_batches, counted, f"id {kind}, n_tokens long, n_bytes long").withColumnRenamed("id", id_col)
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+
+    Null and empty texts have no bytes and no tokens; null and repeated ids are rows like any other; texts of
+    any length are counted whole; an empty table gives no rows; other columns are not looked at, whatever
+    their names.
+    """
     counts = count_tokens(docs, tokenizer_path)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import statistics
+import zlib
 
 import numpy as np
 
@@ -38,6 +42,59 @@ def test_toxicity_on_rows_kept_from_training(spark):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def test_scores_recomputed(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def by_hand(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        total = sum(model.weights[zlib.crc32(p.encode()) % (1 << 18)] for w in words for p in [f"={w}", *(f"^{w[:n]}" for n in range(3, 8) if len(w) >= n)])
+        return [1 / (1 + math.exp(t - total)) for t in model.thresholds]
+
+    for r in toxicity.score(docs, model).collect():
+        p = by_hand(texts[r.doc_id])
+        assert abs(r.expected_severity - sum(p)) < 1e-9 and abs(r.p_toxic - p[0]) < 1e-9 and r.toxic == (p[0] >= toxicity.REJECT_AT)
+        assert r.grade == int(np.argmax([1 - p[0], p[0] - p[1], p[1] - p[2], p[2]]))
+
+
+def test_severity_orders_texts_of_one_length_and_ignores_repeats(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels)
+    clean = [r.text.split() for r in docs.where("doc_id = 1").collect()][0]
+    bad = ["zounds", "xylo", "qwerty", "zounding"]
+    texts = [" ".join(clean[: 40 - n] + bad[:n]) for n in range(5)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, f"{t} {t}") for i, t in enumerate(texts)]
+    severity = {r.doc_id: r.expected_severity for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(severity[i] < severity[i + 1] for i in range(4)) and all(severity[i] == severity[10 + i] for i in range(5))
+
+
+def by_hand_statistics(text):
+    data = text.encode()
+    words, lines, n = data.split(), [x for x in data.split(b"\n") if x.strip()], len(data)
+    sizes, line_sizes = [len(w) for w in words], [len(x) for x in lines] or [0]
+    upper, lower = sum(65 <= c <= 90 for c in data), sum(97 <= c <= 122 for c in data)
+    total, sizes = max(len(words), 1), sizes or [0]
+    return [
+        math.log1p(n), math.log1p(len(words)), math.log1p(len(lines)), upper / n, lower / n, sum(48 <= c <= 57 for c in data) / n, sum(c > 127 for c in data) / n,
+        sum(c in b"\t\n\v\f\r " for c in data) / n, upper / max(upper + lower, 1), statistics.fmean(sizes), statistics.pstdev(sizes), math.log1p(max(sizes)),
+        sum(x <= 3 for x in sizes) / len(sizes), len(set(words)) / total, max([words.count(w) for w in words], default=0) / total, sum(words.count(w) == 1 for w in words) / total,
+        len(set(lines)) / max(len(lines), 1), statistics.fmean(line_sizes), statistics.pstdev(line_sizes), sum(c < 32 for c in data) / n,
+        *(data.count(bytes([m])) / total for m in quality.MARKS),
+    ]
+
+
+def test_statistics_by_hand():
+    for text in ("A b, a.\nA b, a.\n\n  two  3 #x", "x", "  \n ", "Ünïcode ñ; \t(tab) [x] {y}", "one\rtwo\x0bthree"):
+        assert np.allclose(quality.statistics(text), by_hand_statistics(text)), text
+    assert not quality.statistics("").any() and not quality.statistics(None).any()
+
+
+def test_quality_of_an_empty_table(spark):
+    docs, labels = corpus(spark, 60)
+    assert quality.quality_report(docs.limit(0), labels).count() == 0
+
+
 def test_grades_follow_the_number_of_hits():
     rng = np.random.default_rng(1)
     lists, grades = [], []

@@ -60,8 +60,11 @@ def test_equals_brute_force(spark):
 def test_split_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
     monkeypatch.setattr(ngram_join, "HEAP_ENTRIES", 5)
-    monkeypatch.setattr(ngram_join, "PROBED_SETS", 2)
+    monkeypatch.setattr(ngram_join, "PROBED_TOGETHER", 2)
     monkeypatch.setattr(ngram_join, "CELL_BYTES", 4000)
+    monkeypatch.setattr(ngram_join, "BUCKET_ENTRIES", 500)
+    monkeypatch.setattr(ngram_join, "HEAVY_SAMPLE", 2)
+    monkeypatch.setattr(ngram_join, "HEAVY_HOLDERS", 12)
     texts = corpus(3, groups=4, copies=30)
     assert found(spark, texts) == brute_force(texts)
 

@@ -50,7 +50,10 @@ def test_hundreds_of_equal_vectors_in_one_block():
         query = np.floor(256 * rng.normal(0, 0.3, (1, 16))).astype(np.int64)
         vectors[rng.choice(2000, 700, replace=False)] = query[0]
         ids = np.arange(2000)
-        rows, scores = pivot_search.search_block(query, vectors, vectors[:48], 5, np.array([-1]), ids)
+        pivots = vectors[:48].astype(float)
+        to_pivots, table = pivot_search.distances(query.astype(float), pivots).T, pivot_search.distances(vectors.astype(float), pivots).T
+        floor = pivot_search.sample_floor(query.astype(float), np.array([-1]), (ids[::7], vectors[::7]), 5)
+        rows, scores = pivot_search.search_block(query, to_pivots, floor, np.array([-1]), vectors, table, ids, 5)
         exact = vectors @ query[0]
         assert rows[0].tolist() == np.lexsort((ids, -exact))[:5].tolist()
         assert scores[0].tolist() == exact[rows[0]].tolist()

@@ -1,5 +1,7 @@
 import random
 import re
+import textwrap
+import time
 
 from matchloom.llm import decontamination, licenses, pii
 
@@ -60,37 +62,114 @@ TEXTS = [
     "Write to Ann.Lee@Mail.example.com or ann.lee@mail.example.com, call +1 (974) 555-3436, host 10.20.30.40.",
     "Card 4417123456789113 and 4417-1234-5678-9113; not 1234567890123456. token = \"00ff00ff00ff00ff00ff\"",
     "Frau Schmidt met Mr. John Smith; Mr. John Smith left. Госпожа Иванова ушла. Version 1.2.3.4.5",
-    "IBAN DE89370400440532013000. Call +1 (974) 555-3436.",
+    "IBAN DE89370400440532013000. Call 974-555-3436.",
     "nothing private here 12 345", "", None,
+    "Mr. JOHN SMITH's car. Mr. Smith's house, Mrs. Smith and Mr. Doe. api_key: AbCdEfGhIjKlMnOpQr api_key: abcdefghijklmnopqr",
+    "Mr. Adam Smith and Mr. Brian Smith; Mr. Smith? Host 1.2.3.4 and 200.10.1.1, +49 30 1234 5678.",
 ]
+KEY = b"a key for tests"
+
+
+def brute_surrogates(texts):
+    """What pseudonymize returns: surrogates dealt out entity by entity, one round after another."""
+
+    def mark(kind, value):
+        return value.split(" ")[-1].lower() if kind == "person" else value
+
+    known = sorted({e[2:5] for t in texts for e in pii.entities(t)})
+    real, attempts, clashing = {(k, mark(k, v)) for k, v, _ in known}, dict.fromkeys(known, 0), True
+    while clashing:
+        holders = {}
+        for e in sorted(known, key=lambda e: (attempts[e], e[1], e[2])):
+            holders.setdefault((e[0], mark(e[0], pii.surrogate_value(*e, attempts[e], KEY))), []).append(e)
+        clashing = [e for m, own in holders.items() for e in own[m not in real :]]
+        for e in clashing:
+            attempts[e] += 1
+    return [pii.replaced(t, attempts, KEY) for t in texts]
 
 
 def test_surrogates(spark):
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(TEXTS)], "doc_id long, text string, kinds string")
     for limit in (10, -1):
-        out = {r.doc_id: r for r in pii.pseudonymize(docs, broadcast_entities=limit).collect()}
+        out = {r.doc_id: r for r in pii.pseudonymize(docs, key=KEY, broadcast_entities=limit).collect()}
         assert out[4].text == TEXTS[4] and out[5].text == "" and out[6].text is None and out[6].n_entities == 0
         mails = re.findall(r"\S+@\S+\w", out[0].text)
         assert mails[0].lower() == mails[1] and "ann.lee" not in out[0].text.lower() and mails[0][0].isupper()
-        assert not re.search("555-3436|10.20.30.40", out[0].text) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, host \d+\.\d+\.\d+\.\d+\.$", out[0].text)
+        phone = re.search(r"\+1 \((\d{3})\) (\d{3}-\d{4}), host \d\d\.\d\d\.\d\d\.\d\d\.$", out[0].text).groups()
+        assert "555-3436" not in out[0].text
         a, b = re.search(r"Card (\d{16}) and (\d{4}-\d{4}-\d{4}-\d{4});", out[1].text).groups()
         assert a == b.replace("-", "") and a != "4417123456789113" and pii.is_card(a) and "1234567890123456" in out[1].text
         assert re.search(r'token = "[0-9a-f]{20}"', out[1].text) and "00ff00ff" not in out[1].text
         names = re.search(r"Frau (\w+) met Mr\. (\w+ \w+); Mr\. (\w+ \w+) left\. Госпожа (\w+ова) ушла", out[2].text).groups()
         assert names[1] == names[2] != "John Smith" and names[1].split()[0] in pii.GIVEN["latin", "m"] and "1.2.3.4.5" in out[2].text
-        iban, phone = re.search(r"IBAN (\w+)\. Call (.*)\.", out[3].text).groups()
-        assert pii.iban_rest(iban) == 1 and iban != "DE89370400440532013000" and phone in out[0].text
+        iban, same = re.search(r"IBAN (\w+)\. Call (.*)\.", out[3].text).groups()
+        assert pii.iban_rest(iban) == 1 and iban != "DE89370400440532013000" and same == "-".join(phone)
+        whole, alone, other, stranger, one, two = re.search(r"Mr\. (.+)'s car\. Mr\. (\w+)'s house, Mrs\. (\w+) and Mr\. (\w+)\. api_key: (\w+) api_key: (\w+)", out[7].text).groups()
+        # one person in capitals, with a possessive and by surname; a woman of that surname is another
+        assert whole == names[1].upper() and alone.upper() == whole.split()[1] and len({alone, other, stranger, names[1].split()[1]}) == 3
+        assert one.lower() != two.lower() and [c.isupper() for c in one] == [c.isupper() for c in "AbCdEfGhIjKlMnOpQr"]
+        adam, brian, unclear = re.search(r"Mr\. \w+ (\w+) and Mr\. \w+ (\w+); Mr\. (\w+)\?", out[8].text).groups()
+        assert len({adam, brian, unclear}) == 3 and re.search(r"Host \d\.\d\.\d\.\d and \d{3}\.\d\d\.\d\.\d, \+49 \d\d \d{4} \d{4}\.$", out[8].text)
+
+
+def test_surrogates_equal_brute_force(spark):
+    rng = random.Random(8)
+    names = ["Frau " + a.capitalize() + rng.choice(("", " Weber", " Haus")) for a in ("anna", "berta", "carla")] + [f"Mr. {c}{d}" for c in "ABCDEFG" for d in ("erson", "oe", "aum Feld")]
+    parts = [*names, "a@b.cc", "c@b.cc", "x@y.cc", "1.2.3.4", "1.2.3.5", "+1 974-555-3436", "974-555-3436", "Госпожа Анна Иванова", "secret=AAAABBBBCCCCDDDD", "secret=aaaabbbbccccdddd", "text"]
+    # all one-letter addresses of a domain are known, so that none of these forms is free
+    texts = [" ; ".join(rng.choices(parts, k=6)) for _ in range(60)] + [" ".join(f"{c}@{d}.cc" for c in "abcdefghijklmnopqrstuvwxyz") for d in "abcdefghijklmnopqrstuvwxyz"] + [None, "", TEXTS[2], TEXTS[2]]
+    rows = [(None if i % 3 else i, t, "z") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, later string")
+    expected = sorted((str(i), str(t), len(k), ",".join(sorted(set(k)))) for (i, _, _), (t, k) in zip(rows, brute_surrogates(texts), strict=True))
+    for limit in (100_000, -1):  # whether later attempts are broadcast or joined makes no difference, also without ids
+        out = pii.pseudonymize(docs, key=KEY, broadcast_entities=limit).collect()
+        assert sorted((str(r.doc_id), str(r.text), r.n_entities, r.kinds) for r in out) == expected
+
+
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    run = "a" * 400_000
+    assert pii.entities(f"{run}@ {run}.x@{run} 1{'1' * 400_000}.2 {'@' * 50_000} {'key=' * 50_000} {'Mr. A' * 50_000}") is not None
+    assert time.perf_counter() - began < 10
+    assert [e[:4] for e in pii.entities("x" * 100 + "@b.cc")] == [(36, 105, "email", "x" * 64 + "@b.cc")]
 
 
 def test_no_two_entities_share_a_surrogate(spark):
-    rows = [("ip", f"1.{i}.{j}.9", "") for i in range(40) for j in range(50)] + [("person", f"A{i}", "m") for i in range(2500)]
+    rows = [("ip", f"1.{i}.{j}.9", "") for i in range(40) for j in range(50)] + [("person", f"a{i}", "m") for i in range(2500)]
     found = spark.createDataFrame(rows, "kind string, value string, hint string")
-    out = pii.assign_surrogates(found.unionByName(found)).collect()
+    out = pii.assign_surrogates(found.unionByName(found), KEY).collect()
     made = {(r.kind, r.surrogate) for r in out}
     assert len(out) == len(made) == len(rows) and not made & {(k, v) for k, v, _ in rows}
     assert any(r.attempt for r in out)
 
 
+def test_every_known_license_however_wrapped(spark):
+    rows = []
+    for i, (_, text) in enumerate(licenses.known_texts()):
+        for width in (37, 100, 10_000):
+            parts = re.split(r"\n\s*\n", text)
+            # a copyright line is a line of its own; all else may be wrapped anywhere
+            wrapped = [p if re.search(r"(?i)^\W*copyright|\(c\)|©|all rights", p) else "\n".join(textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) for p in parts]
+            rows.append((i, "Copyright (c) 2001-2020 The Authors. All rights reserved.\n\n" + "\n\n".join(wrapped)))
+        rows.append((i, text.upper()))
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    names = [n for n, _ in licenses.known_texts()]
+    assert len(out) == len(rows) and all(r.license_id == names[r.doc_id] for r in out)
+    assert {"MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "Unlicense", "CC0-1.0"} <= set(names)
+    signs = licenses.sign_words([t for _, t in licenses.known_texts()])
+    assert all(any(w in t.lower() for w in signs) for _, t in licenses.known_texts())
+
+
+def test_very_long_texts(spark):
+    long = "Lorem ipsum dolor. " * 100_000
+    docs = spark.createDataFrame([(1, long + licenses.KNOWN[-1][1]), (2, long + "a@b.cc\n" + licenses.KNOWN[-1][1])], "doc_id long, text string")
+    assert {(r.doc_id, r.line_licenses) for r in licenses.scan_licenses(docs).collect()} == {(1, ""), (2, "CC0-1.0")}
+    assert {(r.doc_id, r.n_entities, len(r.text)) for r in pii.pseudonymize(docs, key=KEY).collect()} == {(1, 0, len(long) + 23), (2, 1, len(long) + 30)}
+    item = spark.createDataFrame([(5, "sit amet consectetur adipiscing elit sed do")], "item_id long, text string")
+    held = spark.createDataFrame([(1, long), (2, long + "sit amet, consectetur adipiscing elit; sed do" + long)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(held, item).collect()} == {(2, 5)}
+
+
 def test_empty(spark):
-    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), key=KEY).count() == 0
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
