@@ -20,27 +20,27 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model does not reject."""
+    """Documents that the severity model does not reject. Null and empty texts stay; repeated rows stand or fall together."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest id."""
+    """One document of each near-duplicate class, the one with the smallest id; rows with a null id or without words stay."""
     return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Null and empty texts stay."""
     return decontamination.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One epoch of documents at the target weights."""
+    """One epoch of documents at the target weights. Null texts have no tokens and come with the prefix they lie in."""
     return mixing.mix_documents(docs, budget_percent=MIX_PERCENT)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard, slot, home_shard and hops."""
+    """Documents with shard, slot, home_shard and hops, every row one place; an empty table gives no rows, here as in all stages."""
     return sharding.assign_shards(docs)
 
 
