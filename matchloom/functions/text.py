@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,15 +141,26 @@ def overlap_ratio(part: Column, of: Column) -> Column:
     return F.when(F.size(of) > 0, F.size(F.array_intersect(of, part)) / F.size(of)).otherwise(F.lit(0.0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dedup_segments(text: Column) -> Column:
     """A text without repeated segments (between two spaces or more): the first of each, case aside, three spaces between.
 
-    A text of one segment, or blank, or null, stays as it is.
+    A text of one segment, or blank, or null, stays as it is. Segments are sorted by their lower-case form, so
+    that a text of many takes no quadratic time.
     """
+
+    def firsts(parts: Column) -> Column:
+        keyed = F.array_sort(F.transform(parts, lambda p, i: F.struct(F.lower(p).alias("low"), i.alias("at"), p.alias("part"))))
+        kept = bound(keyed, lambda rows: F.filter(rows, lambda x, i: ~x["low"].eqNullSafe(F.get(rows, i - 1)["low"])))
+        ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["part"].alias("part"))))
+        return F.array_join(F.transform(ordered, lambda x: x["part"]), "   ")
+
     parts = F.filter(F.transform(F.split(text, " {2,}"), strip), lambda p: p != "")
-    lows = F.transform(parts, F.lower)
-    first = F.filter(parts, lambda p, i: F.array_position(lows, F.lower(p)) == i + 1)
-    return F.when(F.size(parts) > 1, F.array_join(first, "   ")).otherwise(text)
+    return bound(parts, lambda found: F.when(F.size(found) > 1, firsts(found)).otherwise(text))
 
 
 def text_to_encode(text: Column, is_query: bool, use_prefix: bool = True) -> Column:

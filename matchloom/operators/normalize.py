@@ -66,10 +66,10 @@ def require_unique(rows: DataFrame, key: str, label: str) -> None:
 
 def dedup_report(texts: DataFrame, column: str) -> DataFrame:
     """Rows changed by removing repeated segments, characters before, after and removed, percentage removed."""
-    before, after = F.length(column), F.length(dedup_segments(F.col(column)))
-    sums = texts.agg(
-        F.count("*").alias("rows"), F.count_if(dedup_segments(F.col(column)) != F.col(column)).alias("rows_changed"),
-        F.coalesce(F.sum(before), F.lit(0)).alias("chars_before"), F.coalesce(F.sum(after), F.lit(0)).alias("chars_after"),
+    cleaned = texts.select(F.col(column).alias("old"), dedup_segments(F.col(column)).alias("new"))
+    sums = cleaned.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("new") != F.col("old")).alias("rows_changed"),
+        F.coalesce(F.sum(F.length("old")), F.lit(0)).alias("chars_before"), F.coalesce(F.sum(F.length("new")), F.lit(0)).alias("chars_after"),
     )
     removed = F.col("chars_before") - F.col("chars_after")
     share = F.when(F.col("chars_before") > 0, F.round(removed * 100.0 / F.col("chars_before"), 2)).otherwise(0.0)

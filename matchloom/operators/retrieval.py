@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import unit_vector
+from matchloom.operators.sparse import sparse_rows, sparse_top_k
 
 TOP_K = 50
 QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
@@ -103,46 +105,79 @@ def terms(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(ENGLISH_STOP_WORDS))
 
 
-def bm25_scores(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -> DataFrame:
-    """Text relevance of profiles for openings: job_id, resume_id, text_score, over pairs that share a term.
+def bm25_terms(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The openings' terms weighted by rarity and the profiles' by saturated frequency, as sparse rows of field 0.
 
-    jobs: job_id, text; resumes: resume_id, text. Each distinct term of an opening counts once. Only the
-    terms that openings ask for are kept in the postings; max_df_share leaves out terms in more profiles.
+    A term's part of the relevance is the product of both weights. jobs: job_id, text; resumes: resume_id, text.
+    Each distinct term of an opening counts once; max_df_share leaves out terms that more of the profiles have.
     """
-    asked = jobs.select("job_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    docs = resumes.select("resume_id", terms(F.col("text")).alias("terms"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_length"))
-    wanted = asked.select("term").distinct()
-    postings = docs.select("resume_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    postings = postings.groupBy("term", "resume_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, "term").crossJoin(F.broadcast(size)).where(F.col("df") <= F.col("n") * max_df_share)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = weighted.select("term", "resume_id", (idf * tf).alias("part"))
-    return asked.join(scored, "term").groupBy("job_id", "resume_id").agg(F.round(F.sum("part"), 4).alias("text_score"))
+    tokens = resumes.select("resume_id", F.transform(terms(F.col("text")), lambda t: F.xxhash64(F.lit(0), t)).alias("tokens"))
+    n, average = tokens.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    average = average or 1.0
 
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.asarray(t.values.to_numpy(zero_copy_only=False), np.int64), return_counts=True) for t in batch.column(1)]
+            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            weights = [tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average)) for (_, tf), size in zip(found, lengths, strict=True)]
+            columns = [pa.array([0] * len(found), pa.int32()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["resume_id", "field", "terms", "weights"])
+
+    kind = resumes.schema["resume_id"].dataType.simpleString()
+    items = tokens.where("resume_id is not null and size(tokens) > 0").mapInArrow(weighted, f"resume_id {kind}, field int, terms array<long>, weights array<double>")
+    asked = jobs.where("job_id is not null").select("job_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).select("job_id", F.xxhash64(F.lit(0), "term").alias("term"))
+    # documents that hold each asked term: distinct terms of a document are counted before anything is shuffled
+    held = items.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarity = held.where(F.col("df") <= n * max_df_share).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))
+    pairs = asked.join(rarity, "term").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("t"))
+    return pairs.select("job_id", F.lit(0).alias("field"), F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), items
+
+
+def bm25_scores(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0, k: int | None = None) -> DataFrame:
+    """Text relevance of profiles for openings: job_id, resume_id, text_score, over pairs that share a term.
 
-def skill_clause(job_skills: Column, resume_skills: Column) -> Column:
-    """A constant boost when any skill is shared."""
-    return F.when(F.arrays_overlap(job_skills, resume_skills), SKILL_BOOST).otherwise(0.0)
+    With k, only the best k of each opening (ties to the smaller id), of which no others leave a task; without,
+    all such pairs, whose number grows with the product of the tables. Inputs as in bm25_terms.
+    """
+    asked, items = bm25_terms(jobs, resumes, max_df_share)
+    found = sparse_top_k(asked, items, 1, lambda sums, _: (sums[0], sums[0] > 0), k, score="text_score", digits=4)
+    return found if k is None else top_k(found, k, "text_score").drop("retrieval_rank")
 
 
-def title_clause(job_title: Column, resume_titles: Column, idf: Column) -> Column:
-    """The boost of a whole-value title match, times the idf of the title. Case counts, as on a keyword field."""
-    return F.when(F.array_contains(resume_titles, job_title), TITLE_BOOST * idf).otherwise(0.0)
+def title_idf(resumes: DataFrame) -> DataFrame:
+    """job_title, title_idf: the rarity of every whole title among the profiles (resume_titles). Case counts, as on a keyword field."""
+    n = resumes.agg(F.count("*").alias("n"))
+    held = resumes.select(F.explode(F.array_distinct("resume_titles")).alias("job_title")).groupBy("job_title").agg(F.count("*").alias("df"))
+    return held.crossJoin(F.broadcast(n)).select("job_title", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("title_idf"))
 
 
-def hybrid_retrieval(nearest: DataFrame, text: DataFrame, pool: int) -> DataFrame:
+def hybrid_retrieval(nearest: DataFrame, jobs: DataFrame, resumes: DataFrame, pool: int) -> DataFrame:
     """Pools of candidates by the sum of the vector part (only for the nearest) and the text clauses.
 
-    nearest: job_id, resume_id, embedding_cosine; text: job_id, resume_id, clause_score.
+    nearest: job_id, resume_id, embedding_cosine; jobs: job_id, text, job_skills, job_title; resumes: resume_id,
+    text, resume_skills, resume_titles. The clauses count for pairs that share a term: text relevance, any shared
+    skill, and a whole title times its rarity.
     """
-    vector = nearest.select("job_id", "resume_id", (KNN_BOOST * (1 + F.col("embedding_cosine")) / 2).alias("vector_score"))
-    both = vector.join(text.select("job_id", "resume_id", "clause_score"), ["job_id", "resume_id"], "full_outer")
-    total = F.coalesce("vector_score", F.lit(0.0)) + F.coalesce("clause_score", F.lit(0.0))
-    scored = both.withColumn("retrieval_score_raw", F.round(total, 8))
-    return top_k(scored, pool, "retrieval_score_raw").select("job_id", "resume_id", "retrieval_score_raw", "retrieval_rank")
+    text_asked, text_items = bm25_terms(jobs, resumes)
+    titles = jobs.join(title_idf(resumes), "job_title").select("job_id", "job_title", "title_idf")
+    own = F.array(F.col("job_id").cast("string"))  # the vector part: each opening is a term that its nearest profiles hold
+    asked = [
+        text_asked, sparse_rows(jobs, "job_id", 1, F.array_distinct("job_skills")),
+        sparse_rows(titles, "job_id", 2, F.array("job_title"), F.array("title_idf")), sparse_rows(nearest.select("job_id").distinct(), "job_id", 3, own),
+    ]
+    # one more than the part itself, so that a part of 0 is a part too
+    items = [
+        text_items, sparse_rows(resumes, "resume_id", 1, F.array_distinct("resume_skills")), sparse_rows(resumes, "resume_id", 2, F.array_distinct("resume_titles")),
+        sparse_rows(nearest, "resume_id", 3, own, F.array(1 + KNN_BOOST * (1 + F.col("embedding_cosine")) / 2)),
+    ]
+
+    def combined(sums: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text, skill, title, vector = sums
+        clauses = TEXT_BOOST * np.round(text, 4) + SKILL_BOOST * (skill > 0) + TITLE_BOOST * title
+        return np.where(text > 0, clauses, 0.0) + np.where(vector > 0, vector - 1, 0.0), (text > 0) | (vector > 0)
+
+    found = sparse_top_k(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, items), 4, combined, pool, score="retrieval_score_raw", digits=8)
+    return top_k(found, pool, "retrieval_score_raw")
 
 
 def pool_limits(available: int, top_k: int | None = None, pool: int | None = None) -> tuple[int, int]:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import preview, strip, token_set
 from matchloom.functions.vacancy import request_years
+from matchloom.operators.sparse import sparse_rows, sparse_top_k
 
-# Fusion and proxy weights, whole-number features, verdict pattern.
+# Fusion and proxy weights, whole-number features, verdict pattern. VOCABULARY_CHARS bounds a broadcast.
 RETRIEVAL_WEIGHT, RERANKER_WEIGHT = 0.3, 0.7
 SKILL_WEIGHT, TITLE_WEIGHT, TEXT_WEIGHT = 0.55, 0.25, 0.20
+VOCABULARY_CHARS = 4_000_000
 WHOLE_FEATURES = ("retrieval_rank", "skill_overlap_count", "experience_match_flag")
 VERDICT = r"(?i)\**\s*Recommendation:\s*interview\s+(?:Candidate\s*#?\s*)?(\d)\s*(?:first)?\.?\s*\**"
 
@@ -45,19 +53,49 @@ def run_rows(pool: DataFrame, shown: DataFrame, top_k: int, pool_size: int) -> D
     )
 
 
+def vocabulary_blocks(skills: DataFrame, block_chars: int) -> Iterator[list[str]]:
+    """Distinct skills in blocks of bounded size."""
+    total = skills.agg(F.sum(F.length("skill"))).first()[0] or 0
+    blocks = -(-total // block_chars)
+    for block in range(blocks):
+        yield [r["skill"] for r in skills.where(F.pmod(F.xxhash64("skill"), F.lit(blocks)) == block).collect()]
+
+
+def skills_within(texts: DataFrame, skills: DataFrame, block_chars: int = VOCABULARY_CHARS) -> DataFrame:
+    """vacancy_id, skill: every skill that is a substring of a text. texts: vacancy_id, text; skills: skill, distinct.
+
+    One automaton for each block of the vocabulary finds all of its skills in one pass over a text.
+    """
+    spark, kind = texts.sparkSession, texts.schema["vacancy_id"].dataType.simpleString()
+    found = spark.createDataFrame([], f"vacancy_id {kind}, skill string")
+    for block in vocabulary_blocks(skills, block_chars):
+        shared = spark.sparkContext.broadcast(block)
+
+        def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for skill in shared.value:
+                automaton.add_word(skill, skill)
+            automaton.make_automaton()
+            for batch in batches:
+                rows = [(i, skill) for i, t in enumerate(batch.column(1)) for skill in sorted({s for _, s in automaton.iter(t.as_py() or "")})]
+                ids = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([s for _, s in rows], pa.string())], ["vacancy_id", "skill"])
+
+        found = found.unionByName(texts.select("vacancy_id", "text").mapInArrow(searched, found.schema))
+    return found
+
+
 def vacancy_skills_from(vacancies: DataFrame, jobs: DataFrame) -> DataFrame:
     """vacancy_id, skills: the explicit list; else every skill of an opening that is a substring of the text; else title tokens.
 
-    vacancies: vacancy_id, title, description, explicit_skills; jobs: job_skills. The distinct skills of all
-    openings are the vocabulary. It meets the texts by equi-join on skills of one token (tokens of the text
-    and all their substrings would be as many), so a substring match needs the nested loop below; the
-    vocabulary side is a distinct dictionary.
+    vacancies: vacancy_id (one row each), title, description, explicit_skills; jobs: job_skills. The distinct
+    skills of all openings are the vocabulary.
     """
     explicit = F.array_sort(F.array_distinct(F.filter(F.transform("explicit_skills", lambda s: F.lower(strip(s))), lambda s: s != "")))
     asked = vacancies.withColumn("text", F.lower(F.concat_ws(" ", "title", "description"))).withColumn("explicit", explicit)
     vocabulary = jobs.select(F.explode("job_skills").alias("skill")).select(F.lower(strip(F.col("skill"))).alias("skill")).where("skill <> ''").distinct()
-    open_ = asked.where(F.coalesce(F.size("explicit"), F.lit(0)) == 0).select("vacancy_id", "text")
-    found = open_.join(vocabulary, F.contains("text", F.col("skill"))).groupBy("vacancy_id").agg(F.array_sort(F.collect_set("skill")).alias("found"))
+    open_ = asked.where(F.coalesce(F.size("explicit"), F.lit(0)) <= 0).select("vacancy_id", "text")
+    found = skills_within(open_, vocabulary).groupBy("vacancy_id").agg(F.array_sort(F.collect_set("skill")).alias("found"))
     fallback = F.slice(F.array_sort(F.filter(token_set(F.col("title")), lambda t: F.length(t) > 2)), 1, 10)
     skills = F.when(F.size("explicit") > 0, F.col("explicit")).when(F.size("found") > 0, F.col("found")).otherwise(fallback)
     return asked.join(found, "vacancy_id", "left").select("vacancy_id", skills.alias("skills"))
@@ -67,24 +105,22 @@ def proxy_jobs(vacancies: DataFrame, jobs: DataFrame) -> DataFrame:
     """vacancy_id, job_id, proxy_score: the opening with most overlap of skills, title and text; ties to the smaller id.
 
     vacancies: vacancy_id, title, description, skills; jobs: job_id, job_title, job_description, job_skills.
-    Overlaps are counted over an inverted index (equi-join on kind and token), not over all pairs; a vacancy
-    that shares nothing takes the smallest id.
+    Blocks of both meet, and one opening of each block goes on; a vacancy that shares nothing takes the smallest id.
     """
 
-    def tokens(rows: DataFrame, key: str, kinds: dict[str, Column]) -> DataFrame:
-        parts = [rows.select(key, F.lit(k).alias("kind"), F.explode(F.array_distinct(v)).alias("token")) for k, v in kinds.items()]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-    sets = {"skill": F.col("skills"), "title": token_set(F.col("title")), "text": token_set(F.concat_ws(" ", "title", "description"))}
-    own = tokens(vacancies, "vacancy_id", sets)
-    theirs = tokens(jobs, "job_id", {"skill": F.col("job_skills"), "title": token_set(F.col("job_title")), "text": token_set(F.col("job_description"))})
-    size = vacancies.select("vacancy_id", *[F.size(F.array_distinct(v)).alias(f"{k}_size") for k, v in sets.items()])
-    counts = own.join(theirs, ["kind", "token"]).groupBy("vacancy_id", "job_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in sets])
-    weights = {"skill": SKILL_WEIGHT, "title": TITLE_WEIGHT, "text": TEXT_WEIGHT}
-    score = sum(F.lit(w) * F.col(k) / F.greatest(F.col(f"{k}_size"), F.lit(1)) for k, w in weights.items())
-    scored = counts.join(size, "vacancy_id").withColumn("proxy_score", F.round(score, 6))
+    def fields(rows: DataFrame, key: str, *tokens: Column) -> DataFrame:
+        return reduce(DataFrame.unionByName, [sparse_rows(rows, key, i, F.array_distinct(t)) for i, t in enumerate(tokens)])
+
+    own = fields(vacancies, "vacancy_id", F.col("skills"), token_set(F.col("title")), token_set(F.concat_ws(" ", "title", "description")))
+    theirs = fields(jobs, "job_id", F.col("job_skills"), token_set(F.col("job_title")), token_set(F.col("job_description")))
+
+    def combined(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [w * common / max(size, 1) for w, common, size in zip((SKILL_WEIGHT, TITLE_WEIGHT, TEXT_WEIGHT), sums, sizes, strict=True)]
+        return parts[0] + parts[1] + parts[2], sums.sum(0) > 0
+
+    found = sparse_top_k(own, theirs, 3, combined, 1, key="vacancy_id", item="job_id", score="proxy_score")
     best = Window.partitionBy("vacancy_id").orderBy(F.desc("proxy_score"), "job_id")
-    top = scored.withColumn("_turn", F.row_number().over(best)).where("_turn = 1")
+    top = found.withColumn("_turn", F.row_number().over(best)).where("_turn = 1")
     first = jobs.agg(F.min("job_id").alias("first_job"))
     return vacancies.select("vacancy_id").join(top, "vacancy_id", "left").crossJoin(F.broadcast(first)).select(
         "vacancy_id", F.coalesce("job_id", "first_job").alias("job_id"), F.coalesce("proxy_score", F.lit(0.0)).alias("proxy_score")

@@ -60,7 +60,7 @@ clauses as (select job_id, resume_id, 0.5 * text_score + case when len(list_inte
     from text_scores join jobs using (job_id) join resumes using (resume_id) left join title_df on t = job_title, size),
 vec as (select job_id, resume_id, embedding_cosine from (select *, row_number() over (partition by job_id order by embedding_cosine desc, resume_id) as k from
     (select j.vec_id as job_id, r.vec_id as resume_id, round(list_sum(list_transform(list_zip(j.embedding, r.embedding), lambda p: p[1]::double * p[2]::double)), 6) as embedding_cosine
-    from embeddings j join embeddings r on j.vec_id < 40 and r.vec_id >= 40)) where k <= 100),
+    from embeddings j join embeddings r on j.vec_id in (select item_id from benchmark) and r.vec_id not in (select item_id from benchmark))) where k <= 100),
 both_ as (select coalesce(v.job_id, c.job_id) as job_id, coalesce(v.resume_id, c.resume_id) as resume_id,
     round(coalesce((1 + embedding_cosine) / 2, 0) + coalesce(clause_score, 0), 8) as retrieval_score_raw
     from vec v full outer join clauses c on v.job_id = c.job_id and v.resume_id = c.resume_id)
@@ -69,18 +69,13 @@ select *, row_number() over (partition by job_id order by retrieval_score_raw de
 
 @query("hybrid_retrieval", HYBRID_SQL)
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the number of a passage are openings', the others profiles'. The SQL takes the numbers below 40, as many as the smallest benchmark has."""
+    """Vectors with the number of a passage are openings', the others profiles'."""
     vectors = fx.table(spark, sf_dir, "embeddings")
     jobs, resumes = fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir)
     passages = jobs.selectExpr("job_id as vec_id")
     asked, others = vectors.join(passages, "vec_id", "left_semi"), vectors.join(passages, "vec_id", "left_anti")
     near = retrieval.topk_cosine(asked.selectExpr("vec_id as job_id", "embedding"), others.selectExpr("vec_id as resume_id", "embedding"), 100)
-    n = F.broadcast(resumes.agg(F.count("*").alias("n")))
-    idf = resumes.select(F.explode("resume_titles").alias("t")).groupBy("t").agg(F.count("*").alias("df")).crossJoin(n)
-    idf = idf.select(F.col("t").alias("job_title"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("title_idf"))
-    text = retrieval.bm25_scores(jobs, resumes).join(jobs.join(idf, "job_title", "left"), "job_id").join(resumes, "resume_id")
-    clauses = retrieval.TEXT_BOOST * F.col("text_score") + retrieval.skill_clause(F.col("job_skills"), F.col("resume_skills")) + retrieval.title_clause(F.col("job_title"), F.col("resume_titles"), F.col("title_idf"))
-    return retrieval.hybrid_retrieval(near, text.select("job_id", "resume_id", F.coalesce(clauses, F.lit(0.0)).alias("clause_score")), 100)
+    return retrieval.hybrid_retrieval(near, jobs, resumes, 100)
 
 
 @query("pool_missing_ids", f"with {fx.COSINE_SQL} select distinct resume_id from nearest where resume_id not in (select doc_id from documents where doc_id % 3 <> 0)")
@@ -93,7 +88,8 @@ TEXT_PAIRS_SQL = f"""text_pairs as (select job_id, resume_id, row_number() over
 
 
 def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(bm25_scores(spark, sf_dir), 20, "text_score").withColumnRenamed("text_score", "embedding_cosine")
+    best = retrieval.bm25_scores(fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir), k=20)
+    return retrieval.top_k(best, 20, "text_score").withColumnRenamed("text_score", "embedding_cosine")
 
 
 def _fields(spark: SparkSession, sf_dir: str, serving: bool) -> tuple[DataFrame, DataFrame]:

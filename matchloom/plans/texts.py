@@ -202,14 +202,16 @@ def vacancy_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _adhoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ad-hoc vacancies from parts: title from the name, description from passages' words."""
-    jobs = fx.text_jobs(spark, sf_dir).selectExpr("job_id", "substring(job_description, 1, 80) as description")
-    return fx.table(spark, sf_dir, "part").where("p_partkey < 4000").selectExpr("p_partkey as vacancy_id", "p_name as title", "p_partkey % 43 as job_id", "p_size").join(jobs, "job_id", "left").selectExpr(
+    """Ad-hoc vacancies from all parts: title from the name, description a whole passage, none for some."""
+    jobs = fx.text_jobs(spark, sf_dir).selectExpr("job_id", "job_description as description")
+    count = fx.table(spark, sf_dir, "benchmark").selectExpr("count(*) + 3 as passages")
+    parts = fx.table(spark, sf_dir, "part").crossJoin(F.broadcast(count)).selectExpr("p_partkey as vacancy_id", "p_name as title", "p_partkey % passages as job_id", "p_size")
+    return parts.join(jobs, "job_id", "left").selectExpr(
         "vacancy_id", "title", "coalesce(description, '') as description", "case when p_size % 10 = 0 then array(' SQL ', 'Spark', 'sql') end as explicit_skills"
     )
 
 
-ADHOC_SQL = """adhoc as (select p_partkey as vacancy_id, p_name as title, coalesce(text[1:80], '') as description, case when p_size % 10 = 0 then ['spark', 'sql'] end as explicit_skills from part left join benchmark on item_id = p_partkey % 43 where p_partkey < 4000),
+ADHOC_SQL = """adhoc as (select p_partkey as vacancy_id, p_name as title, coalesce(text, '') as description, case when p_size % 10 = 0 then ['spark', 'sql'] end as explicit_skills from part left join benchmark on item_id = p_partkey % (select count(*) + 3 from benchmark)),
 vocab as (select distinct unnest(job_skills) as skill from jobs),
 derived as (select vacancy_id, title, description, case when explicit_skills is not null then explicit_skills else coalesce((select list_sort(list(skill)) from vocab where contains(lower(title || ' ' || description), skill)),
     list_sort(list_filter(list_distinct(string_split(lower(title), ' ')), lambda t: length(t) > 2))) end as skills from adhoc)"""
