@@ -95,15 +95,30 @@ def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELL_SQL = f"cells as (select p_partkey, p_name, p_type, p_brand, p_size, {_CELL} as cell from part)"
 
-_RUN = "o_orderkey as run_id, o_custkey % 50 as user_id, case when o_orderkey % 7 = 0 then null else o_orderkey % 300 end as vacancy_id, o_orderdate as created_at, o_orderstatus as status"
-_VACANCY = "p_partkey as vacancy_id, p_partkey % 40 as owner_user_id, p_name as title, concat(p_name, ' ', p_type, ' ', repeat(concat(p_brand, ' '), 30)) as description, cast('2024-01-01' as timestamp) + p_size * interval '1' day as created_at"
+#: One-row tables that grow with the data, by name: vacancies, runs, and a quarter of the events, so that some come to the same run.
+_COUNTS = {"vacancies": ("part", "count(*)"), "runs": ("orders", "count(*)"), "groups": ("events", "cast(floor(count(*) / 4) as bigint)")}
+_RUN = "o_orderkey as run_id, cast(floor(o_custkey / 16) as bigint) as user_id, case when o_orderkey % 7 = 0 then null else o_orderkey % vacancies end as vacancy_id, o_orderdate as created_at, o_orderstatus as status"
+_VACANCY = "p_partkey as vacancy_id, cast(floor(p_partkey / 60) as bigint) as owner_user_id, p_name as title, concat(p_name, ' ', p_type, ' ', repeat(concat(p_brand, ' '), 30)) as description, cast('2024-01-01' as timestamp) + p_size * interval '1' day as created_at"
 _SNAPSHOT = """case when resume_id % 13 = 0 then null when resume_id % 17 = 0 then '{bad' else concat('{"resume_years_experience": ', resume_id % 15, ', "skill_overlap_count": ', resume_id % 14,
     ', "experience_match_flag": ', resume_id % 2, ', "embedding_cosine": 0.', resume_id % 9, ', "skill_overlap_ratio": 0.5, "title_overlap_ratio": 0.25, "years_gap": ', resume_id % 4,
     case when resume_id % 11 = 0 then '' else concat(', "job_years_required": ', resume_id % 5) end, '}') end"""
 
 
+def counted(spark: SparkSession, sf_dir: str, name: str, *counts: str) -> DataFrame:
+    """A table with columns of one value each, named in _COUNTS."""
+    rows = table(spark, sf_dir, name)
+    for c in counts:
+        of, number = _COUNTS[c]
+        rows = rows.crossJoin(F.broadcast(table(spark, sf_dir, of).selectExpr(f"{number} as {c}")))
+    return rows
+
+
+def counted_sql(name: str, *counts: str) -> str:
+    return f"(select *, {', '.join(f'(select {number} from {of}) as {c}' for c, (of, number) in _COUNTS.items() if c in counts)} from {name})"
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*_split_fields(_RUN))
+    return counted(spark, sf_dir, "orders", "vacancies").selectExpr(*_split_fields(_RUN))
 
 
 def vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +129,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of runs from order lines, one per run and part, ranked by price."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_extendedprice").alias("score"))
     ranked = lines.selectExpr(
-        "l_orderkey as run_id", "l_partkey as resume_id", "l_orderkey * 1000000 + l_partkey as candidate_id", "l_orderkey % 50 as user_id", "score",
+        "l_orderkey as run_id", "l_partkey as resume_id", "l_orderkey * 1000000 + l_partkey as candidate_id", "cast(floor(l_orderkey / 300) as bigint) as user_id", "score",
         "cast(row_number() over (partition by l_orderkey order by score desc, l_partkey) as int) as final_rank",
     )
     return ranked.selectExpr("*", f"{_SNAPSHOT} as feature_snapshot")
@@ -122,8 +137,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback from events: the type is the decision; the run and rank come from the event's number."""
-    made = table(spark, sf_dir, "events").where("event_type <> 'click'").selectExpr(
-        "event_id as feedback_id", "event_id * 3 % 1500 as run_id", "cast(1 + event_id % 3 as int) as final_rank",
+    made = counted(spark, sf_dir, "events", "runs", "groups").where("event_type <> 'click'").selectExpr(
+        "event_id as feedback_id", "event_id % groups * 7 % runs as run_id", "cast(1 + event_id % 3 as int) as final_rank",
         "case event_type when 'purchase' then 'interview' when 'signup' then 'accept' when 'view' then 'maybe' else 'reject' end as decision",
         "cast(1 + event_id % 5 as int) as rating", "concat('note ', event_id) as note", "ts as updated_at",
     )
@@ -131,13 +146,13 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(shown, ["run_id", "final_rank"])
 
 
-HISTORY_SQL = f"""runs as (select {_RUN} from orders), vacancies as (select {_VACANCY} from part),
-lines as (select l_orderkey as run_id, l_partkey as resume_id, l_orderkey * 1000000 + l_partkey as candidate_id, l_orderkey % 50 as user_id, max(l_extendedprice) as score from lineitem group by l_orderkey, l_partkey),
+HISTORY_SQL = f"""runs as (select {_RUN} from {counted_sql("orders", "vacancies")}), vacancies as (select {_VACANCY} from part),
+lines as (select l_orderkey as run_id, l_partkey as resume_id, l_orderkey * 1000000 + l_partkey as candidate_id, cast(floor(l_orderkey / 300) as bigint) as user_id, max(l_extendedprice) as score from lineitem group by l_orderkey, l_partkey),
 candidates as (select *, {_SNAPSHOT} as feature_snapshot, row_number() over (partition by run_id order by score desc, resume_id)::int as final_rank from lines),
 feedback as (select event_id as feedback_id, c.run_id, c.final_rank, candidate_id, resume_id, c.user_id, score, feature_snapshot,
     case event_type when 'purchase' then 'interview' when 'signup' then 'accept' when 'view' then 'maybe' else 'reject' end as decision,
     (1 + event_id % 5)::int as rating, concat('note ', event_id) as note, ts as updated_at
-    from events e join candidates c on e.event_id * 3 % 1500 = c.run_id and 1 + e.event_id % 3 = c.final_rank where event_type <> 'click')"""
+    from {counted_sql("events", "runs", "groups")} e join candidates c on e.event_id % e.groups * 7 % e.runs = c.run_id and 1 + e.event_id % 3 = c.final_rank where event_type <> 'click')"""
 
 _REQUEST = "event_id, ts, user_id, 'GET' as method, concat('/', event_type) as path, case when event_type = 'error' then 500 else 200 end as status_code, value as latency_ms"
 

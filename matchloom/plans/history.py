@@ -42,12 +42,12 @@ def vacancy_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.vacancy_list(fx.vacancies(spark, sf_dir), fx.runs(spark, sf_dir), 50)
 
 
-_ANALYSIS = "event_id as analysis_id, event_id % 700 as run_id, case when event_id % 2 = 0 then 'explain' else 'compare' end as mode, concat('text ', event_id) as content, ts as created_at"
-ANALYSES_SQL = f"analyses as (select {_ANALYSIS} from events), latest as (select * from analyses qualify row_number() over (partition by run_id, mode order by created_at desc, analysis_id desc) = 1)"
+_ANALYSIS = "event_id as analysis_id, event_id % groups * 11 % runs as run_id, case when event_id % 2 = 0 then 'explain' else 'compare' end as mode, concat('text ', event_id) as content, ts as created_at"
+ANALYSES_SQL = f"analyses as (select {_ANALYSIS} from {fx.counted_sql('events', 'runs', 'groups')}), latest as (select * from analyses qualify row_number() over (partition by run_id, mode order by created_at desc, analysis_id desc) = 1)"
 
 
 def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "events").selectExpr(*fx._split_fields(_ANALYSIS))
+    return fx.counted(spark, sf_dir, "events", "runs", "groups").selectExpr(*fx._split_fields(_ANALYSIS))
 
 
 @query("run_detail", f"""{H}, {ANALYSES_SQL}, c as (select run_id, string_agg(final_rank || ':' || resume_id, ',' order by final_rank) as shown from candidates group by run_id)
@@ -152,7 +152,7 @@ def audit_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KEYS = fb.REQUIRED_KEYS
-PAIRS_SQL = f"""{LATEST_SQL}, fp as (select coalesce(nullif(case when l.run_id % 3 = 0 then '' else (l.run_id % 100)::varchar end, ''), r.vacancy_id::varchar, l.run_id::varchar) as job_id, resume_id::varchar as resume_id,
+PAIRS_SQL = f"""{LATEST_SQL}, fp as (select coalesce(nullif(case when l.run_id % 3 = 0 then '' else (l.run_id // 8)::varchar end, ''), r.vacancy_id::varchar, l.run_id::varchar) as job_id, resume_id::varchar as resume_id,
     case decision when 'reject' then 0 when 'maybe' then 2 when 'accept' then 3 when 'interview' then 4 end as final_label, {", ".join(f"{_json(k)} as {k}" for k in KEYS)}, 0.5::double as ce_score, final_rank as retrieval_rank, 'feedback' as origin
     from latest l join runs r using (run_id)), fpairs as (select * from fp where {" and ".join(f"{k} is not null" for k in KEYS)})"""
 
@@ -160,7 +160,7 @@ PAIRS_SQL = f"""{LATEST_SQL}, fp as (select coalesce(nullif(case when l.run_id %
 def _feedback_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = fx.feedback(spark, sf_dir).drop("created_at")
     last = st.latest_rows(latest.select("user_id", "candidate_id", "feedback_id", "run_id", "resume_id", "decision", "final_rank", "feature_snapshot", "updated_at"), ["user_id", "candidate_id"], ["updated_at", "feedback_id"])
-    keyed = last.join(fx.runs(spark, sf_dir).select("run_id", "vacancy_id"), "run_id").withColumn("existing_job_id", F.expr("case when run_id % 3 = 0 then '' else cast(run_id % 100 as string) end"))
+    keyed = last.join(fx.runs(spark, sf_dir).select("run_id", "vacancy_id"), "run_id").withColumn("existing_job_id", F.expr("case when run_id % 3 = 0 then '' else cast(run_id div 8 as string) end"))
     return fb.feedback_pairs(keyed)
 
 
@@ -169,14 +169,14 @@ def feedback_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback_pairs(spark, sf_dir)
 
 
-MERGED_SQL = f"""{PAIRS_SQL}, teacher as (select (run_id % 100)::varchar as job_id, resume_id::varchar as resume_id, (run_id % 5)::int as final_label from (select * from candidates where final_rank <= 3)),
+MERGED_SQL = f"""{PAIRS_SQL}, teacher as (select (run_id // 8)::varchar as job_id, resume_id::varchar as resume_id, (run_id % 5)::int as final_label from (select * from candidates where final_rank <= 3)),
 merged as (select job_id, resume_id, final_label, 'teacher' as origin, 1.0::double as weight from teacher t where not exists (select 1 from fpairs f where f.job_id = t.job_id and f.resume_id = t.resume_id)
     union all select job_id, resume_id, final_label, origin, 4.0::double from fpairs)"""
 
 
 @query("merged_training", f"{H}, {MERGED_SQL} select * from merged")
 def merged_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    teacher = fx.candidates(spark, sf_dir).where("final_rank <= 3").selectExpr("cast(run_id % 100 as string) as job_id", "cast(resume_id as string) as resume_id", "cast(run_id % 5 as int) as final_label")
+    teacher = fx.candidates(spark, sf_dir).where("final_rank <= 3").selectExpr("cast(run_id div 8 as string) as job_id", "cast(resume_id as string) as resume_id", "cast(run_id % 5 as int) as final_label")
     return fb.merge_pairs(teacher, _feedback_pairs(spark, sf_dir)).select("job_id", "resume_id", "final_label", "origin", "weight")
 
 
