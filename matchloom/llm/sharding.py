@@ -98,7 +98,8 @@ def assign_shards(
     position = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 32)
     cell = F.shiftright(position, 16).cast("int")
     counts = {r["cell"]: r["count"] for r in docs.select(cell.alias("cell")).groupBy("cell").count().collect()}
-    hot = [c for c, n in counts.items() if n > max(sum(counts.values()) // HOT_CELLS, 1)]
+    many = max(sum(counts.values()) // HOT_CELLS, 1)
+    hot = [c for c, n in counts.items() if n > many]
     tie = F.struct(F.col(id_col).cast("string"), utf8_size(F.col(text_col)), F.crc32(F.col(text_col).cast("binary")))
     part = F.when(cell.isin(hot), F.pmod(F.xxhash64(tie), F.lit(HOT_PARTS)).cast("int")).otherwise(0) if hot else F.lit(0)
     in_parts: dict[int, list[tuple[int, int]]] = {}
