@@ -7,8 +7,10 @@ is linear, so that the contributions w * (x - mean) add up to the score exactly.
 
 from __future__ import annotations
 
+import json
 import random
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -50,22 +52,23 @@ def gain(label: Column) -> Column:
 def training_pairs(rows: DataFrame, columns: list[str], scales: dict[str, float]) -> DataFrame:
     """Differences of scaled features of pairs within an opening with different labels, better minus worse, each also turned round.
 
-    Pools of an opening are bounded (a few hundred rows), so the self join on job_id is bounded by pool size times rows.
+    A column `weight` of rows, if there is one, multiplies the weights of their pairs. Pools of an opening are bounded (a few hundred rows), so the self join on job_id is bounded by pool size times rows.
     """
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("retrieval_rank", "resume_id"))
     vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / scales[c] for c in columns])
-    slim = rows.select("job_id", gain(F.col("final_label")).alias("gain"), (1 / F.log2(place + 1.0)).alias("discount"), vector.alias("x"))
-    worse = slim.select("job_id", *[F.col(c).alias(f"{c}_w") for c in ("gain", "discount", "x")])
+    own = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
+    slim = rows.select("job_id", own.alias("own"), gain(F.col("final_label")).alias("gain"), (1 / F.log2(place + 1.0)).alias("discount"), vector.alias("x"))
+    worse = slim.select("job_id", *[F.col(c).alias(f"{c}_w") for c in ("own", "gain", "discount", "x")])
     pairs = slim.join(worse, "job_id").where("gain > gain_w")
     weighted = pairs.select(
-        F.zip_with("x", "x_w", lambda a, b: a - b).alias("diff"), F.abs((F.col("gain") - F.col("gain_w")) * (F.col("discount") - F.col("discount_w"))).alias("weight")
+        F.zip_with("x", "x_w", lambda a, b: a - b).alias("diff"), (F.col("own") * F.col("own_w") * F.abs((F.col("gain") - F.col("gain_w")) * (F.col("discount") - F.col("discount_w")))).alias("weight")
     ).where("weight > 0")
     turned = F.explode(F.array(F.struct(F.col("diff").alias("x"), F.lit(1.0).alias("label")), F.struct(F.transform("diff", lambda a: -a).alias("x"), F.lit(0.0).alias("label"))))
     return weighted.select(turned.alias("s"), "weight").select(array_to_vector("s.x").alias("features"), "s.label", "weight")
 
 
 def fit_ranker(rows: DataFrame, columns: list[str] = FEATURES, **params) -> LinearRanker:
-    """Fit on labelled pairs: job_id, resume_id, retrieval_rank, final_label and the feature columns."""
+    """Fit on labelled pairs: job_id, resume_id, retrieval_rank, final_label, the feature columns, and perhaps row weights (weight)."""
     values = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
     stats = rows.agg(*[F.avg(v).alias(f"m_{c}") for c, v in values.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in values.items()]).first()
     scales = {c: stats[f"s_{c}"] or 1.0 for c in columns}
@@ -147,5 +150,25 @@ def refit(train: DataFrame, valid: DataFrame, params: dict, columns: list[str] =
     return fit_ranker(train.unionByName(valid), columns, **params)
 
 
+def refit_report(train: DataFrame, valid: DataFrame, test: DataFrame, params: dict, columns: list[str] = FEATURES) -> tuple[LinearRanker, dict]:
+    """The refitted ranker and its metadata: parameters, rows and openings of the splits, labels, weights, and the metrics of
+    valid (by a ranker that has not seen it) and of test."""
+    final = refit(train, valid, params, columns)
+    parts = {"train": train, "valid": valid, "test": test}
+    sizes = {f"{name}_{what}": n for name, part in parts.items() for what, n in zip(("rows", "jobs"), part.agg(F.count("*"), F.count_distinct("job_id")).first(), strict=True)}
+    labels = reduce(DataFrame.unionByName, [p.select("final_label") for p in parts.values()]).groupBy("final_label").count().orderBy("final_label")
+    metadata = {
+        "model_type": "pairwise logistic", "label_gain": LABEL_GAIN, "feature_columns": columns, "best_params": params, **sizes,
+        "label_distribution": {str(r["final_label"]): r["count"] for r in labels.collect()}, "weights": final.weights,
+        "valid_metrics": overall_metrics(score_pairs(valid, fit_ranker(train, columns, **params))).first().asDict(), "test_metrics": overall_metrics(score_pairs(test, final)).first().asDict(),
+    }
+    return final, metadata
+
+
+def write_metadata(spark: SparkSession, metadata: dict, path: str) -> None:
+    """Metadata as one JSON line."""
+    spark.createDataFrame([(json.dumps(metadata, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def predictions(rows: DataFrame, ranker: LinearRanker) -> DataFrame:
     return score_pairs(rows, ranker).select("job_id", "resume_id", "final_label", "pred")

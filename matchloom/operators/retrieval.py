@@ -112,7 +112,7 @@ def bm25_terms(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -
     Each distinct term of an opening counts once; max_df_share leaves out terms that more of the profiles have.
     """
     tokens = resumes.select("resume_id", F.transform(terms(F.col("text")), lambda t: F.xxhash64(F.lit(0), t)).alias("tokens"))
-    n, average = tokens.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    n, average = resumes.agg(F.count("*"), F.avg(F.size(terms(F.col("text"))))).first()
     average = average or 1.0
 
     def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def bm25_terms(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -
     items = tokens.where("resume_id is not null and size(tokens) > 0").mapInArrow(weighted, f"resume_id {kind}, field int, terms array<long>, weights array<double>")
     asked = jobs.where("job_id is not null").select("job_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).select("job_id", F.xxhash64(F.lit(0), "term").alias("term"))
     # documents that hold each asked term: distinct terms of a document are counted before anything is shuffled
-    held = items.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    held = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rarity = held.where(F.col("df") <= n * max_df_share).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))
     pairs = asked.join(rarity, "term").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("t"))
     return pairs.select("job_id", F.lit(0).alias("field"), F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), items
@@ -140,7 +140,7 @@ def bm25_scores(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0,
     all such pairs, whose number grows with the product of the tables. Inputs as in bm25_terms.
     """
     asked, items = bm25_terms(jobs, resumes, max_df_share)
-    found = sparse_top_k(asked, items, 1, lambda sums, _: (sums[0], sums[0] > 0), k, score="text_score", digits=4)
+    found = sparse_top_k(asked, items, jobs.count(), 1, lambda sums, _: (sums[0], sums[0] > 0), k, score="text_score", digits=4)
     return found if k is None else top_k(found, k, "text_score").drop("retrieval_rank")
 
 
@@ -155,7 +155,7 @@ def hybrid_retrieval(nearest: DataFrame, jobs: DataFrame, resumes: DataFrame, po
     """Pools of candidates by the sum of the vector part (only for the nearest) and the text clauses.
 
     nearest: job_id, resume_id, embedding_cosine; jobs: job_id, text, job_skills, job_title; resumes: resume_id,
-    text, resume_skills, resume_titles. The clauses count for pairs that share a term: text relevance, any shared
+    text, resume_skills, resume_titles. jobs has every opening of nearest. The clauses count for pairs that share a term: text relevance, any shared
     skill, and a whole title times its rarity.
     """
     text_asked, text_items = bm25_terms(jobs, resumes)
@@ -163,7 +163,7 @@ def hybrid_retrieval(nearest: DataFrame, jobs: DataFrame, resumes: DataFrame, po
     own = F.array(F.col("job_id").cast("string"))  # the vector part: each opening is a term that its nearest profiles hold
     asked = [
         text_asked, sparse_rows(jobs, "job_id", 1, F.array_distinct("job_skills")),
-        sparse_rows(titles, "job_id", 2, F.array("job_title"), F.array("title_idf")), sparse_rows(nearest.select("job_id").distinct(), "job_id", 3, own),
+        sparse_rows(titles, "job_id", 2, F.array("job_title"), F.array("title_idf")), sparse_rows(jobs, "job_id", 3, own),
     ]
     # one more than the part itself, so that a part of 0 is a part too
     items = [
@@ -176,7 +176,7 @@ def hybrid_retrieval(nearest: DataFrame, jobs: DataFrame, resumes: DataFrame, po
         clauses = TEXT_BOOST * np.round(text, 4) + SKILL_BOOST * (skill > 0) + TITLE_BOOST * title
         return np.where(text > 0, clauses, 0.0) + np.where(vector > 0, vector - 1, 0.0), (text > 0) | (vector > 0)
 
-    found = sparse_top_k(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, items), 4, combined, pool, score="retrieval_score_raw", digits=8)
+    found = sparse_top_k(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, items), jobs.count(), 4, combined, pool, score="retrieval_score_raw", digits=8)
     return top_k(found, pool, "retrieval_score_raw")
 
 
@@ -203,6 +203,18 @@ def require_profiles(pool: DataFrame, resumes: DataFrame) -> None:
         raise ValueError(f"retrieved ids without a profile: {', '.join(ids)}")
 
 
+def with_cosines(pool: DataFrame, job_vectors: DataFrame, resume_vectors: DataFrame) -> DataFrame:
+    """Pool rows with embedding_cosine and embedding_source: of both vectors, or the retrieval score where the profile has none.
+
+    pool: job_id, resume_id, retrieval_score_raw; the vectors: job_id or resume_id, embedding.
+    """
+    a, b = job_vectors.select("job_id", F.col("embedding").alias("_a")), resume_vectors.select("resume_id", F.col("embedding").alias("_b"))
+    local = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), cosine(F.col("_a"), F.col("_b")))
+    joined = pool.join(a, "job_id", "left").join(b, "resume_id", "left").withColumn("_cosine", local)
+    source = F.when(F.col("_cosine").isNotNull(), "local_embedding").otherwise("elastic_score_fallback")
+    return joined.select(*pool.columns, F.coalesce("_cosine", "retrieval_score_raw").alias("embedding_cosine"), source.alias("embedding_source"))
+
+
 def with_fallback(pool: DataFrame, resumes: DataFrame, fields: list[str]) -> DataFrame:
     """Pool rows with the profile's fields, or the hit's own (hit_ columns) where there is no profile."""
     found = pool.join(resumes.select("resume_id", F.lit(True).alias("_found"), *[F.col(f).alias(f"_{f}") for f in fields]), "resume_id", "left")

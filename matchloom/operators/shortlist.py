@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import preview, strip, token_set
 from matchloom.functions.vacancy import request_years
+from matchloom.operators.features import BASE_FEATURES, CASCADE_TOP, cascade_text_scores, engineered_features, lexical_scorer, serving_features
+from matchloom.operators.ranker import LinearRanker, contributions
+from matchloom.operators.retrieval import with_cosines
 from matchloom.operators.sparse import sparse_rows, sparse_top_k
 
 # Fusion and proxy weights, whole-number features, verdict pattern. VOCABULARY_CHARS bounds a broadcast.
@@ -22,6 +25,30 @@ VOCABULARY_CHARS = 4_000_000
 WHOLE_FEATURES = ("retrieval_rank", "skill_overlap_count", "experience_match_flag")
 VERDICT = r"(?i)\**\s*Recommendation:\s*interview\s+(?:Candidate\s*#?\s*)?(\d)\s*(?:first)?\.?\s*\**"
 
+# Labels of features; the descriptions are our own.
+FEATURE_LABELS = {
+    "ce_score_x_skill": ("Cross-Encoder x Skill Overlap", "Pair score times the share of skills."),
+    "embedding_cosine": ("Semantic Similarity (Cosine)", "Cosine of both vectors."),
+    "embedding_cosine_norm": ("Semantic Similarity (Normalized)", "Cosine moved to 0..1."),
+    "skill_overlap_count": ("Skill Overlap Count", "Skills of the opening that the profile has."),
+    "skill_overlap_ratio": ("Skill Overlap Ratio", "Share of the opening's skills that the profile has."),
+    "title_overlap_ratio": ("Title Overlap Ratio", "Share of the title's words that past titles have."),
+    "resume_years_experience": ("Resume Experience (Years)", "Years of experience of the profile."),
+    "job_years_required": ("Job Required Experience (Years)", "Years of experience that the opening asks for."),
+    "years_gap": ("Experience Gap (Resume - Job)", "Years of the profile less those asked for."),
+    "experience_match_flag": ("Experience Match Flag", "1 if the years are enough."),
+    "retrieval_rank": ("Retrieval Rank", "Place in the pool."),
+    "log_retrieval_rank": ("Log Retrieval Rank", "Logarithm of one more than the place in the pool."),
+    "abs_years_gap": ("|Experience Gap|", "Years between the profile and what is asked for."),
+    "skill_overlap_x_emb": ("Skill x Semantic Similarity", "Share of skills times the moved cosine."),
+    "experience_x_skill": ("Experience x Skill", "Enough years times the share of skills."),
+    "title_x_emb": ("Title x Semantic Similarity", "Share of the title's words times the moved cosine."),
+    "embedding_cosine_zscore_in_job": ("Semantic Similarity (Per-Job Z-Score)", "Cosine against the opening's other candidates."),
+    "skill_overlap_ratio_zscore_in_job": ("Skill Overlap (Per-Job Z-Score)", "Share of skills against the opening's other candidates."),
+    "title_overlap_ratio_zscore_in_job": ("Title Overlap (Per-Job Z-Score)", "Share of the title's words against the opening's other candidates."),
+    "embedding_cosine_rank_in_job": ("Semantic Similarity Rank in Job", "Place among the opening's candidates by cosine."),
+}
+
 
 def minmax(column: str, group: str = "job_id") -> Column:
     """A score scaled to 0..1 within its opening; 1 where all are equal."""
@@ -118,7 +145,7 @@ def proxy_jobs(vacancies: DataFrame, jobs: DataFrame) -> DataFrame:
         parts = [w * common / max(size, 1) for w, common, size in zip((SKILL_WEIGHT, TITLE_WEIGHT, TEXT_WEIGHT), sums, sizes, strict=True)]
         return parts[0] + parts[1] + parts[2], sums.sum(0) > 0
 
-    found = sparse_top_k(own, theirs, 3, combined, 1, key="vacancy_id", item="job_id", score="proxy_score")
+    found = sparse_top_k(own, theirs, vacancies.count(), 3, combined, 1, key="vacancy_id", item="job_id", score="proxy_score")
     best = Window.partitionBy("vacancy_id").orderBy(F.desc("proxy_score"), "job_id")
     top = found.withColumn("_turn", F.row_number().over(best)).where("_turn = 1")
     first = jobs.agg(F.min("job_id").alias("first_job"))
@@ -128,10 +155,15 @@ def proxy_jobs(vacancies: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def vacancy_openings(vacancies: DataFrame, jobs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Ad-hoc vacancies as openings (job_id = vacancy_id) with their skills, years and the vector of their proxy job."""
-    proxied = proxy_jobs(vacancies, jobs).join(vectors, "job_id").select("vacancy_id", F.col("job_id").alias("proxy_job_id"), "embedding")
+    """Ad-hoc vacancies as openings (job_id = vacancy_id): job_title, text, job_skills, job_years and the vector of their proxy job.
+
+    vacancies: vacancy_id, title, description, skills; jobs as in proxy_jobs; vectors: job_id, embedding. A vacancy
+    whose proxy has no vector has none either.
+    """
+    proxied = proxy_jobs(vacancies, jobs).join(vectors, "job_id", "left").select("vacancy_id", F.col("job_id").alias("proxy_job_id"), "embedding")
+    text = F.concat_ws(" ", "title", "description")
     return vacancies.join(proxied, "vacancy_id").select(
-        F.col("vacancy_id").alias("job_id"), "proxy_job_id", "title", "skills", request_years(F.concat_ws(" ", "title", "description")).alias("years_required"), "embedding"
+        F.col("vacancy_id").alias("job_id"), "proxy_job_id", F.col("title").alias("job_title"), text.alias("text"), F.col("skills").alias("job_skills"), request_years(text).alias("job_years"), "embedding"
     )
 
 
@@ -158,9 +190,61 @@ def feature_values(features: list[str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*texts))
 
 
-def candidate_record(columns: list[str], explanation: Column) -> list[Column]:
-    """The output columns of a candidate, with the explanation struct."""
-    return [*map(F.col, columns), explanation.alias("explanation")]
+def labelled_values(features: list[str]) -> Column:
+    """The map of feature_values with the features' labels as keys."""
+    names = {f: FEATURE_LABELS.get(f, (f, ""))[0] for f in features}
+    missing = F.coalesce(F.col("missing_skills"), F.array().cast("array<string>"))
+    texts = [feature_text(f) for f in features] + [F.when(F.size(missing) > 0, F.array_join(missing, ", ")).otherwise("none"), F.size(missing).cast("string")]
+    return F.map_from_arrays(F.array(*map(F.lit, [*names.values(), "Missing Skills", "Missing Skills Count"])), F.array(*texts))
+
+
+def labelled_factors(contributions: Column, positive: bool, features: list[str], top: int = 3) -> Column:
+    """The strongest factors as (feature, label, impact, raw_value, description). features: those that contributions may name."""
+    values = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*map(feature_text, features)))
+    label, description = (F.create_map(*[F.lit(x) for f in features for x in (f, FEATURE_LABELS.get(f, (f, ""))[i])]) for i in (0, 1))
+    return F.transform(top_factors(contributions, positive, top), lambda c: F.struct(
+        c["feature"].alias("feature"), label[c["feature"]].alias("label"), c["impact"].alias("impact"), values[c["feature"]].alias("raw_value"), description[c["feature"]].alias("description")
+    ))
+
+
+def candidate_records(shown: DataFrame, ranker: LinearRanker, resumes: DataFrame) -> DataFrame:
+    """The records of shortlisted candidates: scores, their parts, base features, the profile's text and the explanation.
+
+    shown: rows of final_order with serving features, contributions and base_value; resumes: resume_id, text.
+    """
+    features = list(ranker.weights)
+    explanation = F.struct(
+        "matched_skills", "missing_skills", "experience_summary", "title_summary", F.col("base_value").alias("baseline_score"),
+        labelled_factors(F.col("contributions"), True, features).alias("top_positive_factors"), labelled_factors(F.col("contributions"), False, features).alias("top_negative_factors"),
+        labelled_values(list(dict.fromkeys([*BASE_FEATURES, *features]))).alias("raw_feature_values"),
+    )
+    texts = resumes.select("resume_id", F.coalesce("text", F.lit("")).alias("resume_text"))
+    return shown.join(texts, "resume_id", "left").select(
+        "job_id", "final_rank", "resume_id", "resume_text", F.col("reranker_score_raw").alias("model_score"), F.col("final_fusion_score").alias("score"), F.lit("fused_relevance").alias("score_label"),
+        "retrieval_rank", "retrieval_score_raw", "retrieval_score_norm", "reranker_score_raw", "reranker_score_norm", F.lit(RETRIEVAL_WEIGHT).alias("fusion_alpha"), F.lit(RERANKER_WEIGHT).alias("fusion_beta"),
+        F.col("retrieval_part").alias("retrieval_contribution"), F.col("reranker_part").alias("reranker_contribution"), "final_fusion_score",
+        "embedding_cosine", "embedding_source", "skill_overlap_count", "skill_overlap_ratio", "title_overlap_ratio", "resume_years_experience", "job_years_required", "years_gap", "experience_match_flag",
+        explanation.alias("explanation"),
+    )
+
+
+def served_shortlists(
+    pool: DataFrame, jobs: DataFrame, resumes: DataFrame, job_vectors: DataFrame, resume_vectors: DataFrame, ranker: LinearRanker, top_k: int,
+    scorer: Callable[[Column, Column], Column] = lexical_scorer, scored: int = CASCADE_TOP,
+) -> DataFrame:
+    """Every opening's shortlist from its pool, as one job: cosines, serving features, pair scores of the gate's best,
+    features within the opening, the ranker's score and contributions, fusion, order; the first top_k.
+
+    pool: job_id, resume_id, retrieval_score_raw, retrieval_rank; jobs: job_id, job_title, text, job_skills, job_years;
+    resumes: resume_id, text, resume_skills, resume_titles, resume_years. Pool rows without a profile are left out.
+    """
+    job_fields = jobs.select("job_id", "job_skills", token_set(F.col("job_title")).alias("job_title_tokens"), "job_years")
+    resume_fields = resumes.select("resume_id", "resume_skills", token_set(F.array_join("resume_titles", " ")).alias("resume_title_tokens"), "resume_years")
+    base = serving_features(with_cosines(pool, job_vectors, resume_vectors), job_fields, resume_fields)
+    texts = jobs.select("job_id", F.col("text").alias("job_text")), resumes.select("resume_id", F.col("text").alias("resume_text"))
+    made = engineered_features(cascade_text_scores(base, *texts, scorer, scored))
+    ranked = contributions(made.withColumn("reranker_score_raw", F.round(ranker.score(), 9)), ranker)
+    return final_order(fuse(ranked), top_k)
 
 
 def candidate_block() -> Column:

@@ -227,7 +227,15 @@ def request_metrics_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.recent_request_metrics(fx.requests(spark, sf_dir))
 
 
-@query("limiter_log")
+# a request's log is that of the request before it in its user's order, so the oracle goes through them one by one
+LIMITER_SQL = f"""with recursive {fx.REQUEST_SQL}, o as (select user_id, event_id, epoch_us(ts) / 1000000 as moment, row_number() over (partition by user_id order by ts, event_id) as turn from requests),
+step as (select user_id, event_id, turn, [moment] as log, true as allowed, 4 as remaining, 0.0::double as retry_after from o where turn = 1
+    union all select user_id, event_id, turn, case when len(log) < 5 then list_append(log, moment) else log end, len(log) < 5, greatest(4 - len(log), 0), case when len(log) < 5 then 0 else greatest(0, log[1] + 86400 - moment) end
+    from (select o.user_id, o.event_id, o.turn, o.moment, list_filter(s.log, lambda t: t >= o.moment - 86400) as log from step s join o on o.user_id = s.user_id and o.turn = s.turn + 1))
+select user_id, event_id, allowed, remaining::int as remaining, round(retry_after, 6) as retry_after from step"""
+
+
+@query("limiter_log", LIMITER_SQL)
 def limiter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five admissions a day and user."""
     return st.limiter_log(fx.requests(spark, sf_dir), 5, 86_400.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import title_tokens, token_set
 from matchloom.operators import features, labels, metrics, ranker, retrieval, shortlist
 from matchloom.plans import fixtures as fx
+from matchloom.plans import texts
 
 QUERIES, ORACLES = {}, {}
 RETRIEVAL_SQL = "(1 + embedding_cosine) / 2"
@@ -38,8 +39,9 @@ def topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STOP = ", ".join(f"'{w}'" for w in retrieval.ENGLISH_STOP_WORDS)
-BM25_SQL = f"""docs as (select resume_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t not in ({STOP})) as terms from resumes),
-asked as (select distinct job_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t not in ({STOP}))) as term from jobs),
+def bm25_sql(jobs: str = "jobs") -> str:
+    return f"""docs as (select resume_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t not in ({STOP})) as terms from resumes),
+asked as (select distinct job_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t not in ({STOP}))) as term from {jobs}),
 size as (select count(*) as n, avg(len(terms)) as avg_length from docs),
 postings as (select resume_id, len(terms) as length, unnest(terms) as term from docs),
 tf as (select term, resume_id, count(*) as tf, any_value(length) as length from postings group by term, resume_id),
@@ -48,34 +50,50 @@ text_scores as (select job_id, resume_id, round(sum(ln(1 + (n - df + 0.5) / (df
     from asked join tf using (term) join df using (term), size group by job_id, resume_id)"""
 
 
+BM25_SQL = bm25_sql()
+
+
 @query("bm25_scores", f"with {fx.TEXT_SQL}, {BM25_SQL} select * from text_scores")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_scores(fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir))
 
 
-HYBRID_SQL = f"""with {fx.TEXT_SQL}, {BM25_SQL},
+_DOT = "round(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::double * p[2]::double)), 6)"
+
+
+def pool_sql(jobs: str = "jobs") -> str:
+    """pool of openings (CTEs {jobs} and job_vec: job_id, embedding), over the vectors of profiles (rv)."""
+    return f"""{bm25_sql(jobs)},
 title_df as (select t, count(*) as df from (select unnest(resume_titles) as t from resumes) group by t),
 clauses as (select job_id, resume_id, 0.5 * text_score + case when len(list_intersect(job_skills, resume_skills)) > 0 then 0.5 else 0 end
     + case when list_contains(resume_titles, job_title) then 0.25 * ln(1 + (n - df + 0.5) / (df + 0.5)) else 0 end as clause_score
-    from text_scores join jobs using (job_id) join resumes using (resume_id) left join title_df on t = job_title, size),
-vec as (select job_id, resume_id, embedding_cosine from (select *, row_number() over (partition by job_id order by embedding_cosine desc, resume_id) as k from
-    (select j.vec_id as job_id, r.vec_id as resume_id, round(list_sum(list_transform(list_zip(j.embedding, r.embedding), lambda p: p[1]::double * p[2]::double)), 6) as embedding_cosine
-    from embeddings j join embeddings r on j.vec_id in (select item_id from benchmark) and r.vec_id not in (select item_id from benchmark))) where k <= 100),
+    from text_scores join {jobs} using (job_id) join resumes using (resume_id) left join title_df on t = job_title, size),
+rv as (select vec_id as resume_id, embedding from embeddings where vec_id not in (select item_id from benchmark)),
+vec as (select job_id, resume_id, {_DOT.format(a="job_vec.embedding", b="rv.embedding")} as embedding_cosine from job_vec, rv where job_vec.embedding is not null
+    qualify row_number() over (partition by job_id order by embedding_cosine desc, resume_id) <= 100),
 both_ as (select coalesce(v.job_id, c.job_id) as job_id, coalesce(v.resume_id, c.resume_id) as resume_id,
     round(coalesce((1 + embedding_cosine) / 2, 0) + coalesce(clause_score, 0), 8) as retrieval_score_raw
-    from vec v full outer join clauses c on v.job_id = c.job_id and v.resume_id = c.resume_id)
-select *, row_number() over (partition by job_id order by retrieval_score_raw desc, resume_id)::int as retrieval_rank from both_ qualify retrieval_rank <= 100"""
+    from vec v full outer join clauses c on v.job_id = c.job_id and v.resume_id = c.resume_id),
+pool as (select *, row_number() over (partition by job_id order by retrieval_score_raw desc, resume_id)::int as retrieval_rank from both_ qualify retrieval_rank <= 100)"""
 
 
-@query("hybrid_retrieval", HYBRID_SQL)
-def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+BENCHMARK_VECTORS_SQL = "job_vec as (select vec_id as job_id, embedding from embeddings where vec_id in (select item_id from benchmark))"
+HYBRID_SQL = f"with {fx.TEXT_SQL}, {BENCHMARK_VECTORS_SQL}, {pool_sql()} select * from pool"
+
+
+def _hybrid_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors with the number of a passage are openings', the others profiles'."""
     vectors = fx.table(spark, sf_dir, "embeddings")
-    jobs, resumes = fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir)
-    passages = jobs.selectExpr("job_id as vec_id")
+    passages = fx.table(spark, sf_dir, "benchmark").selectExpr("item_id as vec_id")
     asked, others = vectors.join(passages, "vec_id", "left_semi"), vectors.join(passages, "vec_id", "left_anti")
-    near = retrieval.topk_cosine(asked.selectExpr("vec_id as job_id", "embedding"), others.selectExpr("vec_id as resume_id", "embedding"), 100)
-    return retrieval.hybrid_retrieval(near, jobs, resumes, 100)
+    return asked.selectExpr("vec_id as job_id", "embedding"), others.selectExpr("vec_id as resume_id", "embedding")
+
+
+@query("hybrid_retrieval", HYBRID_SQL)
+def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, others = _hybrid_vectors(spark, sf_dir)
+    near = retrieval.topk_cosine(asked, others, 100)
+    return retrieval.hybrid_retrieval(near, fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir), 100)
 
 
 @query("pool_missing_ids", f"with {fx.COSINE_SQL} select distinct resume_id from nearest where resume_id not in (select doc_id from documents where doc_id % 3 <> 0)")
@@ -167,11 +185,19 @@ def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.group_sizes(fx.pairs(spark, sf_dir))
 
 
-@query("lexical_scores")
+def _token_set_sql(text: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({text}), '[^a-zA-Z0-9_]+'), lambda w: w <> ''))"
+
+
+LEXICAL_SQL = "case when len(ja) > 0 and len(ra) > 0 then len(list_intersect(ja, ra)) / sqrt(len(ja)::double * len(ra)) else 0 end"
+
+
+@query("lexical_scores", f"""with {fx.TEXT_SQL}, {BM25_SQL}, {TEXT_PAIRS_SQL}, t as (select p.job_id, p.resume_id, {_token_set_sql("j.text")} as ja, {_token_set_sql("r.text")} as ra
+    from text_pairs p join jobs j using (job_id) join resumes r using (resume_id)) select job_id, resume_id, round({LEXICAL_SQL}, 6) as ce_score_raw from t""")
 def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text pairs through the default scorer."""
-    texts = _text_pairs(spark, sf_dir).join(fx.text_jobs(spark, sf_dir).selectExpr("job_id", "text as job_text"), "job_id")
-    scored = features.scored_pairs(texts.join(fx.text_resumes(spark, sf_dir).selectExpr("resume_id", "text as resume_text"), "resume_id"))
+    joined = _text_pairs(spark, sf_dir).join(fx.text_jobs(spark, sf_dir).selectExpr("job_id", "text as job_text"), "job_id")
+    scored = features.scored_pairs(joined.join(fx.text_resumes(spark, sf_dir).selectExpr("resume_id", "text as resume_text"), "resume_id"))
     return scored.select("job_id", "resume_id", F.round("ce_score_raw", 6).alias("ce_score_raw"))
 
 
@@ -381,3 +407,104 @@ def ranker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, _ = (part.persist() for part in _split_rows(spark, sf_dir))
     trials, _ = ranker.random_search(train, valid, 3)
     return spark.createDataFrame(trials, "trial int, regParam double, elasticNetParam double, maxIter int, metric double, error string")
+
+
+#: The fixed scorer of the served shortlists: base and engineered features, as in serving.
+SERVED = ranker.LinearRanker(
+    {"embedding_cosine": 1.4983, "ce_score_x_skill": 2.0, "title_overlap_ratio": 0.5, "years_gap": 0.05, "skill_overlap_ratio_zscore_in_job": 0.25, "retrieval_rank_inv": 1.0},
+    {"embedding_cosine": 0.5, "ce_score_x_skill": 0.1, "title_overlap_ratio": 0.1, "years_gap": 3.0, "skill_overlap_ratio_zscore_in_job": 0.0, "retrieval_rank_inv": 0.05},
+)
+SERVED_SCORED = 60
+
+
+def _words_sql(text: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(translate(lower({text}), '/-', '  '), '\s+'), lambda t: t <> ''))"
+
+
+def served_sql(jobs: str = "jobs") -> str:
+    """served: the shortlists of the pool's openings, 20 candidates each."""
+    model = " + ".join(f"{w} * {f}::double" for f, w in SERVED.weights.items())
+    return f"""cosined as (select p.*, coalesce({_DOT.format(a="job_vec.embedding", b="rv.embedding")}, retrieval_score_raw) as embedding_cosine,
+    case when job_vec.embedding is not null and rv.embedding is not null then 'local_embedding' else 'elastic_score_fallback' end as embedding_source from pool p left join job_vec using (job_id) left join rv using (resume_id)),
+sv as (select p.*, job_skills, resume_skills, j.text as jt, r.text as rt, len(list_intersect(job_skills, resume_skills))::int as skill_overlap_count, resume_years, job_years, resume_years - job_years as years_gap,
+    {_words_sql("job_title")} as a, {_words_sql("resume_titles[1]")} as b from cosined p join {jobs} j using (job_id) join resumes r using (resume_id)),
+sf as (select *, skill_overlap_count / greatest(len(job_skills), 1) as skill_overlap_ratio, case when len(a) > 0 then len(list_intersect(a, b)) / len(a) else 0 end as title_overlap_ratio,
+    list_sort(list_intersect(job_skills, resume_skills))[1:10] as matched_skills, list_sort(list_filter(job_skills, lambda s: not list_contains(resume_skills, s)))[1:10] as missing_skills from sv),
+sg as (select *, row_number() over (partition by job_id order by round(embedding_cosine + 0.5 * skill_overlap_ratio, 6) desc, retrieval_rank, resume_id) as turn, count(*) over (partition by job_id) as pool_size,
+    {_token_set_sql("jt")} as ja, {_token_set_sql("rt")} as ra from sf),
+sq as (select * exclude (ja, ra, jt, rt), case when turn <= {SERVED_SCORED} or pool_size <= {SERVED_SCORED} then {LEXICAL_SQL} else 0 end as ce_score from sg),
+se as (select *, (ce_score * skill_overlap_ratio)::float as ce_score_x_skill, (1 / (retrieval_rank + 1))::float as retrieval_rank_inv, ({_z("skill_overlap_ratio")})::float as skill_overlap_ratio_zscore_in_job
+    from sq window w as (partition by job_id)),
+sm as (select *, round({model}, 9) as model_score from se),
+sn as (select *, round(case when max(retrieval_score_raw) over w = min(retrieval_score_raw) over w then 1 else (retrieval_score_raw - min(retrieval_score_raw) over w) / (max(retrieval_score_raw) over w - min(retrieval_score_raw) over w) end, 9) as rn,
+    round(case when max(model_score) over w = min(model_score) over w then 1 else (model_score - min(model_score) over w) / (max(model_score) over w - min(model_score) over w) end, 9) as pn from sm window w as (partition by job_id)),
+so as (select *, round(0.3 * rn + 0.7 * pn, 9) as fused from sn),
+served as (select *, row_number() over (partition by job_id order by fused desc, pn desc, rn desc, resume_id)::int as final_rank from so qualify final_rank <= 20)"""
+
+
+def _half_up(value: str, digits: int) -> str:
+    """Rounded as Spark rounds: half up of the decimal form."""
+    return f"round(({value})::decimal(24, 12), {digits})::double"
+
+
+SERVED_SHOWN = ", ".join(f"{_half_up(c, 5)} as {n}" for c, n in (("model_score", "model_score"), ("rn", "retrieval_score_norm"), ("pn", "reranker_score_norm"), ("fused", "final_fusion_score")))
+
+
+def _served_numbers() -> list:
+    return [F.round(c, 5).alias(c) for c in ("model_score", "retrieval_score_norm", "reranker_score_norm", "final_fusion_score")]
+
+
+def served_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every passage's shortlist, from pools to explanations."""
+    jobs, resumes = fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir)
+    asked, others = _hybrid_vectors(spark, sf_dir)
+    shown = shortlist.served_shortlists(hybrid_retrieval(spark, sf_dir), jobs, resumes, asked, others, SERVED, 20, scored=SERVED_SCORED)
+    return shortlist.candidate_records(shown, SERVED, resumes)
+
+
+@query("served_shortlist", f"""with {fx.TEXT_SQL}, {BENCHMARK_VECTORS_SQL}, {pool_sql()}, {served_sql()}
+    select job_id, resume_id, final_rank, retrieval_rank, embedding_source, skill_overlap_count, {SERVED_SHOWN}, array_to_string(matched_skills, ',') as matched, array_to_string(missing_skills, ',') as missing from served""")
+def served_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortlist of every passage as one job: pool, cosines, features, pair scores, ranker, fusion."""
+    return served_records(spark, sf_dir).select(
+        "job_id", "resume_id", "final_rank", "retrieval_rank", "embedding_source", "skill_overlap_count", *_served_numbers(),
+        F.array_join("explanation.matched_skills", ",").alias("matched"), F.array_join("explanation.missing_skills", ",").alias("missing"),
+    )
+
+
+_IMPACTS = ", ".join(f"({w} * ({f}::double - {SERVED.means[f]}))" for f, w in SERVED.weights.items())
+_NAMES = ", ".join(f"'{f}'" for f in SERVED.weights)
+_LABELS = "case f " + " ".join(f"when '{f}' then '{shortlist.FEATURE_LABELS[f][0]}'" for f in SERVED.weights if f in shortlist.FEATURE_LABELS) + " else f end"
+_VALUES = ", ".join(f"printf('%.4f', {_half_up(f, 4)})" for f in SERVED.weights)
+
+
+@query("candidate_factors", f"""with {fx.TEXT_SQL}, {BENCHMARK_VECTORS_SQL}, {pool_sql()}, {served_sql()},
+    i as (select job_id, resume_id, unnest([{_NAMES}]) as f, unnest([{_IMPACTS}]) as impact, unnest([{_VALUES}]) as raw_value from served),
+    k as (select *, impact > 0 as positive, row_number() over (partition by job_id, resume_id, impact > 0 order by abs(impact) desc, f)::int as place from i where impact <> 0)
+    select job_id, resume_id, positive, place, f as feature, {_LABELS} as label, {_half_up('impact', 4)} as impact, raw_value from k where place <= 3""")
+def candidate_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled factors of every candidate's record."""
+    records = served_records(spark, sf_dir)
+    sides = [records.select("job_id", "resume_id", F.lit(p).alias("positive"), F.posexplode(f"explanation.top_{side}_factors").alias("at", "c")) for p, side in ((True, "positive"), (False, "negative"))]
+    both = sides[0].unionByName(sides[1])
+    return both.select("job_id", "resume_id", "positive", (F.col("at") + 1).alias("place"), "c.feature", "c.label", F.round("c.impact", 4).alias("impact"), "c.raw_value")
+
+
+_REQUEST_YEARS = "coalesce(list_max(list_filter(list_transform(regexp_extract_all(title || ' ' || description, '(?i)\\b(\\d{1,2})\\+?\\s*(?:years?|yrs?)\\b', 1), lambda x: x::double), lambda x: x <= 60)), 0)::double"
+
+
+@query("vacancy_shortlist", f"""with {fx.TEXT_SQL}, {texts.ADHOC_SQL}, {texts.PROXY_SQL},
+    vjobs as (select d.vacancy_id as job_id, p.job_id as proxy_job_id, title || ' ' || description as text, title as job_title, skills as job_skills, {_REQUEST_YEARS} as job_years from derived d join proxy p using (vacancy_id)),
+    job_vec as (select v.job_id, embedding from vjobs v join embeddings e on e.vec_id = v.proxy_job_id), {pool_sql("vjobs")}, {served_sql("vjobs")}
+    select job_id, proxy_job_id, resume_id, final_rank, retrieval_rank, {SERVED_SHOWN} from served join vjobs using (job_id)""")
+def vacancy_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortlists of ad-hoc vacancies: derived skills and years, the vector of the proxy opening, then as for openings."""
+    resumes, (asked, others) = fx.text_resumes(spark, sf_dir), _hybrid_vectors(spark, sf_dir)
+    vacancies = texts.adhoc_with_skills(spark, sf_dir)
+    # read by the search, the clauses and the features; stays until the session's cache is cleared
+    openings = shortlist.vacancy_openings(vacancies, fx.text_jobs(spark, sf_dir), asked).persist()
+    vectors = openings.where("embedding is not null").select("job_id", "embedding")
+    pool = retrieval.hybrid_retrieval(retrieval.topk_cosine(vectors, others, 100), openings, resumes, 100)
+    shown = shortlist.served_shortlists(pool, openings, resumes, vectors, others, SERVED, 20, scored=SERVED_SCORED)
+    numbered = shown.withColumnRenamed("reranker_score_raw", "model_score").join(openings.select("job_id", "proxy_job_id"), "job_id")
+    return numbered.select("job_id", "proxy_job_id", "resume_id", "final_rank", "retrieval_rank", *_served_numbers())

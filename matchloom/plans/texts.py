@@ -235,8 +235,12 @@ proxy as (select * from sc qualify row_number() over (partition by vacancy_id or
 
 @query("proxy_job", f"with {fx.TEXT_SQL}, {ADHOC_SQL}, {PROXY_SQL} select * from proxy")
 def proxy_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _adhoc(spark, sf_dir).select("vacancy_id", "title", "description").join(derived_skills(spark, sf_dir), "vacancy_id")
-    return shortlist.proxy_jobs(asked, fx.text_jobs(spark, sf_dir))
+    return shortlist.proxy_jobs(adhoc_with_skills(spark, sf_dir), fx.text_jobs(spark, sf_dir))
+
+
+def adhoc_with_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ad-hoc vacancies with the skills derived for them."""
+    return _adhoc(spark, sf_dir).select("vacancy_id", "title", "description").join(derived_skills(spark, sf_dir), "vacancy_id")
 
 
 VERDICTS = """concat(text, chr(10), case turn % 3 when 0 then concat('**Recommendation: interview Candidate #', conv_id % 9, ' first.**') when 1 then concat('so recommendation: interview ', conv_id % 9, ' and then',

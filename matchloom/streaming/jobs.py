@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -55,33 +56,56 @@ def latest_rows(rows: DataFrame, keys: list[str], order: list[str], first: dict[
     return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others if c not in kept], *[F.col(f"_first_{n}").alias(n) for n in kept])
 
 
-def upsert_batch(path: str, keys: list[str], order: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+def upsert_batch(path: str, keys: list[str], order: list[str], first: dict[str, str] | None = None, buckets: int = 16) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the last row of each key in a Parquet table of hash buckets.
 
-    Only the buckets that a batch touches are rewritten. A batch that is replayed changes nothing.
+    first maps columns that keep the value of the key's first row to the columns they are taken from there
+    (created_at from updated_at; score from score). Only the buckets that a batch touches are rewritten. The
+    merged buckets are written beside the table first, so a run that ends between the two writes loses
+    nothing; a batch that is replayed changes nothing.
     """
+    first = first or {}
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        new = latest_rows(batch, keys, order).withColumn("bucket", bucket).persist()
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # `buckets` numbers at most
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        exists = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-        merged = new
-        if exists:
-            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
-            merged = latest_rows(old.unionByName(new), keys, [*order]).withColumn("bucket", bucket)
-            # written beside the table first: a table can't be overwritten while it is read
-            staged = f"{path}-staged-{epoch}"
-            merged.write.mode("overwrite").parquet(staged)
-            merged = spark.read.schema(merged.schema).parquet(staged)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-        new.unpersist()
+        firsts = {c: f"_first_{i}" for i, c in enumerate(first)}
+
+        def merged(rows: DataFrame) -> DataFrame:
+            """rows: the columns of the table, and a first value for each column of `first`."""
+            moment = F.struct(*order)
+            others = [c for c in batch.columns if c not in keys and c not in first]
+            out = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), moment).alias("_last"), *[F.min_by(n, moment).alias(c) for c, n in firsts.items()], F.min(moment).alias("_moment"))
+            return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others], *first, bucket.alias("bucket"), F.col("_moment").alias("_first_moment"))
+
+        new = batch.select(*batch.columns, *[F.col(old).alias(firsts[c]) for c, old in first.items()])
+        table = merged(new).persist()
+        touched = [r["bucket"] for r in table.select("bucket").distinct().collect()]  # `buckets` numbers at most
+        jvm = spark.sparkContext._jvm
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        result, staged = table, f"{path}-staged-{epoch}"
+        if files.exists(hadoop_path):
+            old = spark.read.schema(table.schema).parquet(path).where(F.col("bucket").isin(touched))
+            result = _newest(old.unionByName(table), keys, order, list(first)).withColumn("bucket", bucket)
+            # a table can't be overwritten while it is read
+            result.write.mode("overwrite").parquet(staged)
+            result = spark.read.schema(result.schema).parquet(staged)
+        result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        files.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+        table.unpersist()
 
     return write
 
 
+def _newest(rows: DataFrame, keys: list[str], order: list[str], first: list[str]) -> DataFrame:
+    """One row per key of stored rows: the last by order, the columns of `first` from the one with the earliest first moment."""
+    others = [c for c in rows.columns if c not in (*keys, *first, "bucket", "_first_moment")]
+    kept = F.min_by(F.struct(*first), "_first_moment").alias("_kept")
+    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_last"), *([kept] if first else []), F.min("_first_moment").alias("_first_moment"))
+    return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others], *[F.col(f"_kept.{c}").alias(c) for c in first], "_first_moment")
+
+
 def _admit(log: list[float], moment: float, limit: int, window: float) -> tuple[list[float], bool, int, float]:
     """The log after a request, whether it is admitted, how many more would be, and when to come back."""
     log = [t for t in log if t >= moment - window]
@@ -106,16 +130,28 @@ def limiter_log(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_
     """Admissions of a batch, in time order within each user: only admitted requests count, and a hit exactly a window ago does.
 
     A gap longer than the window empties the log, so each user's requests are cut there and the pieces are
-    decided apart; a busy user without gaps is one piece, whose rows pass through one task in time order.
+    dealt to tasks apart. A task reads its pieces in time order, sorted by Spark, and keeps no more than the
+    log of `limit` admissions of the piece it is in, however busy a user is.
     """
     order = Window.partitionBy("user_id").orderBy("moment", "event_id")
     gap = F.col("moment") - F.lag("moment").over(order) > window
     pieces = _timed(requests).withColumn("piece", F.sum(F.when(gap, 1).otherwise(0)).over(order))
-
-    def decided(frame: pd.DataFrame) -> pd.DataFrame:
-        return _decide(frame, [], limit, window)[0]
-
-    return pieces.groupBy("user_id", "piece").applyInPandas(decided, DECISIONS)
+    keys = ["user_id", "piece"]
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, log = None, []
+        for batch in batches:
+            out = []
+            for user, piece, moment in zip(*[batch.column(c).to_pylist() for c in (*keys, "moment")], strict=True):
+                if (user, piece) != now:
+                    now, log = (user, piece), []
+                log, allowed, remaining, retry = _admit(log, moment, limit, window)
+                out.append((allowed, remaining, round(retry, 6)))
+            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.bool_(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), *columns], ["user_id", "event_id", "allowed", "remaining", "retry_after"])
+
+    dealt = pieces.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), "moment", "piece")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "moment", "event_id").mapInArrow(decided, DECISIONS)
 
 
 def streamed_limiter(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS) -> DataFrame:

@@ -51,3 +51,33 @@ def test_upserts_equal_the_batch(spark, tmp_path):
     first = jobs.latest_rows(table, ["user_id", "candidate_id"], ["t"], {"created": "t"}).where("user_id = 1 and candidate_id = 1").first()
     assert (first.decision, first.created) == ("d3", 0)
     assert table.select(F.max("t")).first()[0] == 5
+    assert not list(tmp_path.glob("*staged*"))
+
+
+def test_upserts_keep_first_fields_through_a_crash(spark, tmp_path, monkeypatch):
+    rows = [(1, 1, 0, "new", 0.5), (1, 1, 1, "interview", 0.1), (2, 1, 1, "new", 0.7), (1, 1, 2, "hired", 0.9)]
+    table = spark.createDataFrame(rows, "user_id long, run_id long, t int, status string, score double")
+    write = jobs.upsert_batch(f"{tmp_path}/board", ["user_id", "run_id"], ["t"], {"score": "score", "created": "t"}, buckets=2)
+    parts = [part.withColumn("created", F.col("t")) for part in (table.where("t = 0"), table.where("t = 1"), table.where("t = 2"))]
+    write(parts[0], 0)
+    write(parts[1], 1)
+
+    def board():
+        return {(r.user_id, r.status, r.score, r.created) for r in spark.read.parquet(f"{tmp_path}/board").collect()}
+
+    assert board() == {(1, "interview", 0.5, 0), (2, "new", 0.7, 1)}
+    parts[2].write.parquet(f"{tmp_path}/board-staged-2")  # a run that ended after it had staged its rows, and is replayed
+    write(parts[2], 2)
+    write(parts[2], 2)
+    assert board() == {(1, "hired", 0.5, 0), (2, "new", 0.7, 1)} and not list(tmp_path.glob("*staged*"))
+
+
+def test_limiter_of_one_busy_user(spark):
+    moments = [i * 0.7 for i in range(5000)]
+    out = sorted(jobs.limiter_log(requests(spark, moments), 5, 60.0).collect(), key=lambda r: r.event_id)
+    log, expected = [], []
+    for m in moments:
+        log = [t for t in log if t >= m - 60.0]
+        expected.append(len(log) < 5)
+        log += [m] * expected[-1]
+    assert [r.allowed for r in out] == expected
