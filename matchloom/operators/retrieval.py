@@ -164,19 +164,19 @@ def hybrid_retrieval(nearest: DataFrame, jobs: DataFrame, resumes: DataFrame, po
     asked = [
         text_asked, sparse_rows(jobs, "job_id", 1, F.array_distinct("job_skills")),
         sparse_rows(titles, "job_id", 2, F.array("job_title"), F.array("title_idf")), sparse_rows(jobs, "job_id", 3, own),
+        sparse_rows(jobs, "job_id", 4, own),
     ]
-    # one more than the part itself, so that a part of 0 is a part too
     items = [
         text_items, sparse_rows(resumes, "resume_id", 1, F.array_distinct("resume_skills")), sparse_rows(resumes, "resume_id", 2, F.array_distinct("resume_titles")),
-        sparse_rows(nearest, "resume_id", 3, own, F.array(1 + KNN_BOOST * (1 + F.col("embedding_cosine")) / 2)),
+        sparse_rows(nearest, "resume_id", 3, own), sparse_rows(nearest, "resume_id", 4, own, F.array(KNN_BOOST * (1 + F.col("embedding_cosine")) / 2)),
     ]
 
     def combined(sums: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text, skill, title, vector = sums
+        text, skill, title, near, vector = sums
         clauses = TEXT_BOOST * np.round(text, 4) + SKILL_BOOST * (skill > 0) + TITLE_BOOST * title
-        return np.where(text > 0, clauses, 0.0) + np.where(vector > 0, vector - 1, 0.0), (text > 0) | (vector > 0)
+        return np.where(text > 0, clauses, 0.0) + vector, (text > 0) | (near > 0)
 
-    found = sparse_top_k(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, items), jobs.count(), 4, combined, pool, score="retrieval_score_raw", digits=8)
+    found = sparse_top_k(reduce(DataFrame.unionByName, asked), reduce(DataFrame.unionByName, items), jobs.count(), 5, combined, pool, score="retrieval_score_raw", digits=8)
     return top_k(found, pool, "retrieval_score_raw")
 
 

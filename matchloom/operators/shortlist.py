@@ -85,7 +85,9 @@ def vocabulary_blocks(skills: DataFrame, block_chars: int) -> Iterator[list[str]
     total = skills.agg(F.sum(F.length("skill"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for block in range(blocks):
-        yield [r["skill"] for r in skills.where(F.pmod(F.xxhash64("skill"), F.lit(blocks)) == block).collect()]
+        found = [r["skill"] for r in skills.where(F.pmod(F.xxhash64("skill"), F.lit(blocks)) == block).collect()]
+        if found:
+            yield found
 
 
 def skills_within(texts: DataFrame, skills: DataFrame, block_chars: int = VOCABULARY_CHARS) -> DataFrame:
