@@ -53,16 +53,24 @@ def label_distribution(pairs: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("final_label", "rows", F.round(100.0 * F.col("rows") / F.col("total"), 2).alias("percent"))
 
 
-def summary(rows: DataFrame, column: str) -> DataFrame:
-    """count, mean, std, min, exact percentiles and max of a column."""
+def summary(rows: DataFrame, column: str, exact: bool = True) -> DataFrame:
+    """count, mean, std, min, percentiles and max of a column. Exact percentiles keep all distinct values in one state; approximate ones do not."""
     points = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    exact = [F.round(F.percentile(column, q), 6).alias(name) for name, q in points.items()]
+    quantile = F.percentile if exact else F.approx_percentile
     return rows.agg(
         F.count(column).alias("rows"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"),
-        F.min(column).alias("min"), *exact, F.max(column).alias("max"),
+        F.min(column).alias("min"), *[F.round(quantile(column, q), 6).alias(name) for name, q in points.items()], F.max(column).alias("max"),
     )
 
 
+def feature_summary(rows: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """One row per column: count, mean, std, min, quartiles, max, to three places; one aggregate over unpivoted rows."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    quantile = F.percentile if exact else F.approx_percentile
+    measures = {"mean": F.avg("value"), "std": F.stddev_samp("value"), "min": F.min("value"), **{f"p{int(q * 100)}": quantile("value", q) for q in (0.25, 0.5, 0.75)}, "max": F.max("value")}
+    return long.groupBy("feature").agg(F.count("value").alias("rows"), *[F.round(m, 3).alias(n) for n, m in measures.items()])
+
+
 def label_spread(pairs: DataFrame) -> DataFrame:
     """Means over openings of their least, largest, mean and number of labels."""
     per_job = pairs.groupBy("job_id").agg(

@@ -11,6 +11,7 @@ from matchloom.functions.text import preview
 STATUS_OF = {"accept": "screened", "interview": "interview", "reject": "rejected", "maybe": "new"}
 STATUSES = ["new", "screened", "interview", "offer", "hired", "rejected"]
 SNAPSHOT_FIELDS = "resume_years_experience double, skill_overlap_count double, experience_match_flag int, embedding_cosine double"
+BOARD_FIELDS = "skill_overlap_ratio double, resume_years_experience double, embedding_cosine double, title_overlap_ratio double"
 LEAST_GROUP, PARITY_LIMIT = 5, 0.8
 MAX_RUNS_LISTED, MAX_VACANCIES_LISTED, MAX_RUNS_AUDITED = 200, 500, 1000
 
@@ -67,12 +68,17 @@ def status_of(decision: Column) -> Column:
 
 
 def board(feedback: DataFrame) -> DataFrame:
-    """One entry per user, run and profile: status and note of the last feedback, score and rank of the first."""
+    """One entry per user, run and profile: status and note of the last feedback; score, rank, title and snapshot of the first.
+
+    The snapshot holds the BOARD_FIELDS of the feedback's feature_snapshot, {} if it has none that can be read.
+    """
     first, last = F.struct("created_at", "feedback_id"), F.struct("updated_at", "feedback_id")
+    kept = F.coalesce(F.to_json(F.from_json("feature_snapshot", BOARD_FIELDS)), F.lit("{}")).alias("candidate_snapshot")
     rows = feedback.groupBy("user_id", "run_id", "resume_id").agg(
-        F.min_by(F.struct("score", "final_rank"), first).alias("first"), F.max_by(F.struct("decision", "updated_at"), last).alias("last")
+        F.min_by(F.struct("score", "final_rank", "job_title", "feature_snapshot"), first).alias("first"), F.max_by(F.struct("decision", "note", "updated_at"), last).alias("last"), F.min("created_at").alias("created_at"),
     )
-    return rows.select("user_id", "run_id", "resume_id", "first.score", "first.final_rank", status_of(F.col("last.decision")).alias("kanban_status"), "last.updated_at")
+    flat = rows.select("user_id", "run_id", "resume_id", "first.*", status_of(F.col("last.decision")).alias("kanban_status"), "last.note", "created_at", "last.updated_at")
+    return flat.select("user_id", "run_id", "resume_id", "job_title", "final_rank", "score", "kanban_status", "note", kept, "created_at", "updated_at")
 
 
 def board_counts(entries: DataFrame) -> DataFrame:

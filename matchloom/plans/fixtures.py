@@ -140,7 +140,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = counted(spark, sf_dir, "events", "runs", "groups").where("event_type <> 'click'").selectExpr(
         "event_id as feedback_id", "event_id % groups * 7 % runs as run_id", "cast(1 + event_id % 3 as int) as final_rank",
         "case event_type when 'purchase' then 'interview' when 'signup' then 'accept' when 'view' then 'maybe' else 'reject' end as decision",
-        "cast(1 + event_id % 5 as int) as rating", "concat('note ', event_id) as note", "ts as updated_at",
+        "cast(1 + event_id % 5 as int) as rating", "concat('note ', event_id) as note", "concat('job ', event_id % 5) as job_title", "ts as updated_at",
     )
     shown = candidates(spark, sf_dir).select("run_id", "final_rank", "candidate_id", "resume_id", "user_id", "score", "feature_snapshot")
     return made.join(shown, ["run_id", "final_rank"])
@@ -151,7 +151,7 @@ lines as (select l_orderkey as run_id, l_partkey as resume_id, l_orderkey * 1000
 candidates as (select *, {_SNAPSHOT} as feature_snapshot, row_number() over (partition by run_id order by score desc, resume_id)::int as final_rank from lines),
 feedback as (select event_id as feedback_id, c.run_id, c.final_rank, candidate_id, resume_id, c.user_id, score, feature_snapshot,
     case event_type when 'purchase' then 'interview' when 'signup' then 'accept' when 'view' then 'maybe' else 'reject' end as decision,
-    (1 + event_id % 5)::int as rating, concat('note ', event_id) as note, ts as updated_at
+    (1 + event_id % 5)::int as rating, concat('note ', event_id) as note, concat('job ', event_id % 5) as job_title, ts as updated_at
     from {counted_sql("events", "runs", "groups")} e join candidates c on e.event_id % e.groups * 7 % e.runs = c.run_id and 1 + e.event_id % 3 = c.final_rank where event_type <> 'click')"""
 
 _REQUEST = "event_id, ts, user_id, 'GET' as method, concat('/', event_type) as path, case when event_type = 'error' then 500 else 200 end as status_code, value as latency_ms"

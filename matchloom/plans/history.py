@@ -79,13 +79,15 @@ def feedback_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("user_id", "candidate_id", "decision", "run_id", "final_rank")
 
 
-BOARD_SQL = """entries as (select user_id, run_id, resume_id, first_value(score) over f as score, first_value(final_rank) over f as final_rank,
-    case decision when 'accept' then 'screened' when 'interview' then 'interview' when 'reject' then 'rejected' else 'new' end as kanban_status, updated_at
+_SNAPSHOT_TEXT = "'{' || " + " || ',' || ".join(f"""'"{k}":' || (json_extract_string(snap, '$.{k}')::double)::varchar""" for k in ("skill_overlap_ratio", "resume_years_experience", "embedding_cosine", "title_overlap_ratio")) + " || '}'"
+BOARD_SQL = f"""entries as (select user_id, run_id, resume_id, first_value(job_title) over f as job_title, first_value(final_rank) over f as final_rank, first_value(score) over f as score,
+    case decision when 'accept' then 'screened' when 'interview' then 'interview' when 'reject' then 'rejected' else 'new' end as kanban_status, note, first_value(feature_snapshot) over f as snap,
+    min(updated_at) over (partition by user_id, run_id, resume_id) as created_at, updated_at
     from feedback window f as (partition by user_id, run_id, resume_id order by updated_at, feedback_id)
     qualify row_number() over (partition by user_id, run_id, resume_id order by updated_at desc, feedback_id desc) = 1)"""
 
 
-@query("board", f"{H}, {BOARD_SQL} select * from entries")
+@query("board", f"{H}, {BOARD_SQL} select * exclude (snap), case when json_valid(snap) then {_SNAPSHOT_TEXT} else '{{}}' end as candidate_snapshot from entries")
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.board(fx.feedback(spark, sf_dir).withColumn("created_at", F.col("updated_at")))
 
@@ -197,18 +199,61 @@ def replayed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.replay_hits(saved, 3).select("job_id", "resume_id", "replay_rank", "replay_order")
 
 
-@query("prompts", f"""{H}, c as (select *, printf('Candidate #%d  (score: %.1f%%)', final_rank, (100 - final_rank)::double) || chr(10) || '  Matched skills: sql, spark' || case when resume_id % 2 = 0 then chr(10) || '  Missing skills: go' else '' end as card from candidates where final_rank <= 3)
-    select run_id, 'Vacancy: v' || run_id || chr(10) || 'Description: about' || chr(10) || chr(10) || 'Top ' || count(*) || ' candidates to compare head-to-head:' || chr(10) || chr(10) || string_agg(card, chr(10) || chr(10) order by final_rank) as head
-    from c group by run_id""")
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none, words = F.lit(None).cast("double"), F.array().cast("array<string>")
-    cards = fx.candidates(spark, sf_dir).select(
-        "run_id", F.concat(F.lit("v"), "run_id").alias("job_title"), F.lit(" about ").alias("job_description"), "final_rank", ((100 - F.col("final_rank")) / 100.0).alias("final_fusion_score"),
-        none.alias("resume_years_experience"), none.alias("job_years_required"), none.alias("skill_overlap_ratio"), F.array(F.lit("sql"), F.lit("spark")).alias("matched_skills"),
-        F.when(F.col("resume_id") % 2 == 0, F.array(F.lit("go"))).otherwise(words).alias("missing_skills"), F.lit("").alias("experience_summary"), words.alias("strengths"), words.alias("weaknesses"),
-    )
-    made = shortlist.prompts(cards, "compare")
-    return made.select("run_id", F.substring_index("prompt", "\n\nCompare these", 1).alias("head"))
+def _prompt_sql(mode: str) -> str:
+    """Whole prompts: the vacancy's first 400 characters, trimmed, a card for each of the first three, heading and task."""
+    heading, task = (t.replace("'", "''") for t in shortlist.TASKS[mode])
+    return f"""{H}, k as (select c.*, r.vacancy_id, {_json("resume_years_experience")} as years, {_json("skill_overlap_ratio")} as ratio, {_json("job_years_required")} as asked
+        from candidates c join runs r using (run_id) where final_rank <= 3),
+    c as (select k.*, coalesce(v.title, 'open vacancy') as title, v.description, printf('Candidate #%d  (score: %.1f%%)', final_rank, (100 - final_rank)::double)
+        || case when years is not null and asked is not null then chr(10) || printf('  Experience: %.1f yrs  (required: %.1f yrs)', years, asked) else '' end
+        || case when ratio is not null then chr(10) || printf('  Skill coverage: %.0f%%', ratio * 100) else '' end
+        || chr(10) || '  Matched skills: sql, spark' || case when resume_id % 2 = 0 then chr(10) || '  Missing skills: go' else '' end
+        || case when resume_id % 3 = 0 then chr(10) || '  Fits.' else '' end || case when resume_id % 5 = 0 then chr(10) || '  Strengths: a, b, c' || chr(10) || '  Weaknesses: d' else '' end as card
+        from k left join vacancies v on v.vacancy_id = k.vacancy_id)
+    select run_id, 'Vacancy: ' || any_value(title) || chr(10) || 'Description: ' || coalesce(any_value(regexp_replace(description[1:400], '^\\s+|\\s+$', '', 'g')), '') || chr(10) || chr(10)
+        || replace('{heading}', '{{n}}', count(*)::varchar) || chr(10) || chr(10) || string_agg(card, chr(10) || chr(10) order by final_rank) || chr(10) || chr(10) || replace('{task}', '{{n}}', count(*)::varchar) as prompt
+    from c group by run_id"""
+
+
+def _prompts(mode: str):
+    @query("prompts" if mode == "compare" else f"prompts_{mode}", _prompt_sql(mode))
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = F.array().cast("array<string>")
+        vacancies = fx.vacancies(spark, sf_dir).select("vacancy_id", "title", "description")
+        about = fx.runs(spark, sf_dir).select("run_id", "vacancy_id").join(vacancies, "vacancy_id", "left").select("run_id", F.coalesce("title", F.lit("open vacancy")).alias("job_title"), F.col("description").alias("job_description"))
+        snapshot = F.from_json("feature_snapshot", "resume_years_experience double, job_years_required double, skill_overlap_ratio double")
+        cards = fx.candidates(spark, sf_dir).where("final_rank <= 3").withColumn("s", snapshot).join(about, "run_id").select(
+            "run_id", "job_title", "job_description", "final_rank", ((100 - F.col("final_rank")) / 100.0).alias("final_fusion_score"), "s.*", F.array(F.lit("sql"), F.lit("spark")).alias("matched_skills"),
+            F.when(F.col("resume_id") % 2 == 0, F.array(F.lit("go"))).otherwise(words).alias("missing_skills"), F.when(F.col("resume_id") % 3 == 0, F.lit("Fits.")).alias("experience_summary"),
+            F.when(F.col("resume_id") % 5 == 0, F.array(*map(F.lit, "abcx"))).alias("strengths"), F.when(F.col("resume_id") % 5 == 0, F.array(F.lit("d"))).alias("weaknesses"),
+        )
+        return shortlist.prompts(cards, mode)
+
+    return made
+
+
+PROMPTS = {mode: _prompts(mode) for mode in shortlist.TASKS}
+
+
+@query("loaded_feedback", f"""{H} select candidate_id, f.user_id, decision, rating, f.updated_at, f.run_id, resume_id, final_rank, case when f.run_id % 3 = 0 then '' else (f.run_id // 8)::varchar end as existing_job_id, r.vacancy_id
+    from feedback f join runs r using (run_id) where decision in ('accept', 'interview')""")
+def loaded_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback of two decisions with its candidate and run, read from the three tables."""
+    runs = fx.runs(spark, sf_dir).selectExpr("run_id as id", "case when run_id % 3 = 0 then '' else cast(run_id div 8 as string) end as existing_job_id", "vacancy_id")
+    shown = fx.candidates(spark, sf_dir).withColumnRenamed("candidate_id", "id")
+    return tables.read_feedback(fx.feedback(spark, sf_dir), shown, runs, ["accept", "interview"]).drop("feature_snapshot")
+
+
+@query("search_documents", """select vec_id as resume_id, text as resume_text, len(regexp_extract_all(text, '[a-z]{9,}'))::int as skills, (vec_id % 15)::double as resume_years_experience, len(embedding)::int as size
+    from embeddings join documents on doc_id = vec_id""")
+def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search documents of the profiles that have a vector."""
+    vectors = fx.table(spark, sf_dir, "embeddings").selectExpr("vec_id as resume_id", "embedding")
+    profiles = fx.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as resume_id", "text as resume_text", "regexp_extract_all(text, '[a-z]{9,}', 0) as resume_skills_norm", "array(lang) as resume_titles_norm", "cast(doc_id % 15 as double) as resume_years_experience"
+    ).join(vectors.select("resume_id"), "resume_id", "left_semi")
+    found = tables.search_documents(profiles, vectors)
+    return found.select("resume_id", "resume_text", F.size("resume_skills_norm").alias("skills"), "resume_years_experience", F.size("embedding").alias("size"))
 
 
 def _measures(rows: str) -> str:

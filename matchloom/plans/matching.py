@@ -246,6 +246,24 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.pair_summary(fx.pairs(spark, sf_dir))
 
 
+SUMMARISED = ["embedding_cosine", "skill_overlap_count", "skill_overlap_ratio", "title_overlap_ratio", "years_gap", "experience_match_flag"]
+
+
+@query("feature_summary", f"with {fx.PAIRS_SQL}, " + "l as (" + " union all ".join(f"select '{c}' as feature, {c}::double as value from pairs" for c in SUMMARISED) + """)
+    select feature, count(*) as rows, round(avg(value), 3) as mean, round(stddev_samp(value), 3) as std, round(min(value), 3) as min, round(quantile_cont(value, 0.25), 3) as p25,
+    round(quantile_cont(value, 0.5), 3) as p50, round(quantile_cont(value, 0.75), 3) as p75, round(max(value), 3) as max from l group by feature""")
+def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.feature_summary(fx.pairs(spark, sf_dir), SUMMARISED)
+
+
+@query("usable_pairs", f"""{L}, u as (select * from labelled where resume_id % 9 <> 0 and job_id % 20 <> 10 or (job_id % 20 = 10 and final_label = 0)),
+    k as (select job_id from u group by job_id having count(distinct final_label) >= 2) select job_id, resume_id, final_label from u where job_id in (select job_id from k)""")
+def usable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that a ranker can be fitted on; some labels are lacking, and every second opening has but one."""
+    kept = F.expr("case when (resume_id % 9 <> 0 and job_id % 20 <> 10) or (job_id % 20 = 10 and final_label = 0) then final_label end")
+    return labels.usable_pairs(label_rows(spark, sf_dir).withColumn("final_label", kept)).select("job_id", "resume_id", "final_label")
+
+
 @query("sample_jobs", f"{L}, c as (select job_id from (select distinct job_id from labelled) order by md5('42|' || job_id), job_id limit 3) select job_id, resume_id, ce_score, within_job_rank from labelled where job_id in (select job_id from c) and within_job_rank <= 10")
 def sample_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.sample_jobs(label_rows(spark, sf_dir)).select("job_id", "resume_id", "ce_score", "within_job_rank")
