@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,28 +165,44 @@ _SUMMARY = """case when a and b then 'Skills matched: s1, s2, s3, s4. Not found:
     when l_tax * 100 >= 3 and l_tax > 0 then round(l_tax * 100)::int || ' years of experience — meets the requirement.' else 'Review resume for skill and experience details.' end"""
 
 
-@query("display_rows", f"""with r as (select *, l_linenumber % 2 = 0 as a, l_linenumber % 3 = 0 as b, l_partkey % 2 = 0 as e, greatest(0, least(100, floor(l_discount * 1000 + 0.5)))::int as pct from lineitem)
-    select l_orderkey, l_linenumber, l_partkey, pct as percent, case when pct >= 75 then 'strong' when pct >= 50 then 'good' else 'weak' end as tier, {_SUMMARY} as summary, 'a b …' as snippet from r""")
+NOTE = "concat(' ', l_returnflag, chr(10), repeat('xy  ', l_linenumber), chr(9), l_partkey, ' ')"
+
+
+@query("display_rows", f"""with r as (select *, {_strip(f"regexp_replace({NOTE}, '\\s+', ' ', 'g')")} as clean, l_linenumber % 2 = 0 as a, l_linenumber % 3 = 0 as b, l_partkey % 2 = 0 as e, greatest(0, least(100, floor(l_discount * 1000 + 0.5)))::int as pct from lineitem)
+    select l_orderkey, l_linenumber, l_partkey, pct as percent, case when pct >= 75 then 'strong' when pct >= 50 then 'good' else 'weak' end as tier, {_SUMMARY} as summary, case when length(clean) > 20 then regexp_replace(clean[1:20], '\\s+$', '') || '…' else clean end as snippet from r""")
 def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(letter: str, n: int, when: str):
         return F.when(F.expr(when), F.array(*[F.lit(f"{letter}{i}") for i in range(1, n + 1)]))
 
     pct = tx.percent(F.col("l_discount") * 10)
     summary = tx.candidate_summary(listed("s", 6, "l_linenumber % 2 = 0"), listed("m", 4, "l_linenumber % 3 = 0"), F.expr("case when l_partkey % 2 = 0 then 'Meets it.' end"), F.col("l_tax") * 100, F.lit(3.0))
-    cut = F.concat(tx.snippet(F.lit(" a \n b \t cd"), 4))
-    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pct.alias("percent"), tx.tier(pct).alias("tier"), summary.alias("summary"), F.replace(cut, F.lit("b…"), F.lit("b …")).alias("snippet"))
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pct.alias("percent"), tx.tier(pct).alias("tier"), summary.alias("summary"), tx.snippet(F.expr(NOTE), 20).alias("snippet"))
 
 
-VACANCY = """concat(case when p_partkey % 3 = 0 then concat('About us', chr(10), 'Position:  ', p_name, ' engineer') when p_partkey % 3 = 1 then concat('Overview', chr(10), '- item', chr(10), p_name) else 'we are' end,
-    chr(10), 'We need ', p_size, '+ years of experience and 7 лет опыта', chr(10), 'Requirements:', chr(10), '- ', p_type, ' or kanban', chr(10), '* SQL, Spark; ', p_brand, chr(10), case when p_size % 2 = 0 then '' else 'Nice to have:' end, chr(10), 'nothing more, docker', chr(10))"""
+VACANCY = """case when p_partkey % 50 <> 0 then concat(case p_partkey % 4 when 0 then concat('About us', chr(10), 'Position:  ', p_name, ' engineer') when 1 then concat('Overview', chr(10), '- item', chr(10), p_name)
+    when 2 then concat(' Вакансия: ', p_name, chr(13), chr(10)) else 'we are' end, chr(10), 'We need ', p_size, '+ years of experience and 7 лет опыта', chr(10),
+    case p_partkey % 3 when 0 then 'Requirements:' when 1 then 'Требования' else '  TECH STACK :' end, chr(10), '- ', p_type, ' or kanban', chr(10), '* SQL, Spark; ', p_brand, chr(9), chr(10),
+    case when p_size % 7 = 0 then concat('nothing to do with ', p_name, ' at all, R (', chr(10)) else '' end, case when p_size % 2 = 0 then '' else 'Nice to have:' end, chr(10),
+    'nothing more, docker and c++x, next.js. SQL server', case when p_size % 3 = 0 then '' else 's' end, chr(10)) end"""
 
 
 def _vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", f"{VACANCY} as text")
 
 
-@query("vacancy_fields", f"""with v as (select *, {VACANCY} as text from part) select p_partkey, case p_partkey % 3 when 0 then p_name || ' engineer' when 1 then p_name else 'We need ' || p_size || '+ years of experience and 7 лет опыта' end as title,
-    least(p_size, 7)::double as years_required, length(text)::int as char_count from v""")
+def _re2(pattern: str) -> str:
+    """A pattern as a SQL literal for an engine without the flag u."""
+    return "'" + pattern.replace("(?iu)", "(?i)").replace("(?U)", "").replace("'", "''") + "'"
+
+
+LINES_SQL = f"v as (select p_partkey, {VACANCY} as text from part), lines as (select p_partkey, text, list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f]'), lambda x: {_strip('x')}) as lines from v)"
+TITLES_SQL = f"""full_lines as (select *, list_filter(lines, lambda x: x <> '') as own from lines),
+named as (select *, list_filter(list_transform(list_filter(own[1:20], lambda x: regexp_matches(x, {_re2(vc.TITLE_PREFIX)})), lambda x: {_strip(f"regexp_replace(x, {_re2(vc.TITLE_PREFIX)}, '')")}), lambda x: length(x) between 1 and 120) as after,
+    list_filter(own[1:10], lambda x: not regexp_matches(x, {_re2(vc.NOT_TITLE)}) and not regexp_matches(x, {_re2(vc.BULLET)}) and length(x) between 4 and 100) as plain from full_lines)"""
+
+
+@query("vacancy_fields", f"""with {LINES_SQL}, {TITLES_SQL} select p_partkey, coalesce(after[1], plain[1], own[1][1:100], '') as title,
+    list_min(list_transform(regexp_extract_all(text, {_re2(vc.YEARS)}, 1), lambda x: x::double)) as years_required, coalesce(length(text), 0)::int as char_count from named""")
 def vacancy_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = _vacancies(spark, sf_dir).select("p_partkey", vc.parsed_vacancy(F.col("text")).alias("v"))
     return parsed.select("p_partkey", "v.title", "v.years_required", "v.char_count")
@@ -196,7 +214,22 @@ def vacancy_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").select("p_partkey", vc.request_years(text).alias("years"))
 
 
-@query("vacancy_skills", "select p_partkey, list_sort(['docker', 'kanban', 'spark', 'sql', lower(p_type), lower(p_brand)]) as skills from part")
+_KNOWN_WORDS = ", ".join(f"'{w}'" for w in vc.KNOWN_SKILLS if w.isalnum())
+_KNOWN_OTHERS = ", ".join(f"case when regexp_matches(lower(text), {_re2(chr(92) + 'b' + re.escape(w) + chr(92) + 'b')}) then '{w}' end" for w in vc.KNOWN_SKILLS if not w.isalnum())
+SECTIONS_SQL = f"""numbered as (select p_partkey, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as i from lines),
+marked as (select *, regexp_matches(line, {_re2(vc.SKILLS_HEADER)}) as header, (line = '' or (line like '%:' and not regexp_matches(line, {_re2(vc.BULLET)}))) as ends from numbered),
+states as (select *, coalesce(max(case when header then i end) over w, 0) as opened, coalesce(max(case when ends and not header then i end) over w, 0) as closed from marked window w as (partition by p_partkey order by i)),
+items as (select p_partkey, lower({_strip("x")}) as item from (select p_partkey, unnest(regexp_split_to_array(regexp_replace(line, {_re2(vc.BULLET)}, ''), '[,;/]')) as x from states where opened > closed and not header)
+    union all select p_partkey, unnest(list_intersect(regexp_extract_all(lower(text), '\\w+'), [{_KNOWN_WORDS}])) from lines
+    union all select p_partkey, unnest([{_KNOWN_OTHERS}]) from lines),
+split_items as (select p_partkey, {_strip(f"regexp_replace({_strip('x')}, '^[+\\-/.,;]+|[+\\-/.,;]+$', '', 'g')")} as part
+    from (select p_partkey, unnest(regexp_split_to_array(item, '\\b(?:or|and)\\b')) as x from items where regexp_matches(item, '\\b(?:or|and)\\b'))
+    union all select p_partkey, item from items where item is not null and not regexp_matches(item, '\\b(?:or|and)\\b')),
+skills as (select distinct p_partkey, part from split_items where length(part) between 2 and 40 and part not like 'http%' and part not like '%:' and part not like '(%' and part not like '%)'
+    and length(part) - length(replace(part, '(', '')) = length(part) - length(replace(part, ')', '')) and not regexp_matches(part, '\\s{{2,}}') and not regexp_matches(part, {_re2(vc.NOISE)}) and len(regexp_split_to_array(part, '\\s+')) <= 4)"""
+
+
+@query("vacancy_skills", f"with {LINES_SQL}, {SECTIONS_SQL} select l.p_partkey, coalesce(list_sort(list(part) filter (part is not null))[1:40], []) as skills from lines l left join skills s using (p_partkey) group by l.p_partkey")
 def vacancy_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vacancies(spark, sf_dir).select("p_partkey", vc.vacancy_skills(F.col("text")).alias("skills"))
 
