@@ -101,8 +101,7 @@ def topk_lsh(jobs: DataFrame, resumes: DataFrame, k: int, radius: float = 1.1, b
 
 def terms(text: Column) -> Column:
     """Terms of a text: lower-case runs of letters and digits, without stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(ENGLISH_STOP_WORDS))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: ~t.isin("", *ENGLISH_STOP_WORDS))
 
 
 def bm25_terms(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -117,11 +116,16 @@ def bm25_terms(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -
 
     def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.asarray(t.values.to_numpy(zero_copy_only=False), np.int64), return_counts=True) for t in batch.column(1)]
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            weights = [tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average)) for (_, tf), size in zip(found, lengths, strict=True)]
-            columns = [pa.array([0] * len(found), pa.int32()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["resume_id", "field", "terms", "weights"])
+            owner, flat = np.repeat(np.arange(len(lengths)), lengths), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            order = np.lexsort((flat, owner))
+            owner, flat = owner[order], flat[order]
+            starts = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])][: len(flat)])
+            tf, owner = np.diff(np.r_[starts, len(flat)]), owner[starts]
+            weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / average))
+            ends = pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[starts], weights)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(lengths), np.int32)), *lists], ["resume_id", "field", "terms", "weights"])
 
     kind = resumes.schema["resume_id"].dataType.simpleString()
     items = tokens.where("resume_id is not null and size(tokens) > 0").mapInArrow(weighted, f"resume_id {kind}, field int, terms array<long>, weights array<double>")
