@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontamination, licenses, mixing, ngram_join, pii, pivot_search, quality, sharding, tokens, toxicity
+from matchloom.llm import decontamination, licenses, mixing, ngram_join, pii, pivot_search, quality, sharding, tokens, toxicity, vector_codes
 from matchloom.llm.common import read_table
 
 
@@ -67,6 +67,11 @@ def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every embedding's parts; cases as in vector_codes.compress."""
+    return vector_codes.code_report(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_toxic_severity": op2_toxic_severity,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_hash_ring_shards": op9_hash_ring_shards,
     "op10_boosted_quality": op10_boosted_quality,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -85,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op6_pivot_top_k": pivot_search.SQL,
     "op7_mix_sources": mixing.mixed_sql(),
     "op8_ngram_jaccard": ngram_join.SQL,
+    "op11_vector_codes": vector_codes.code_sql(),
 }
