@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontamination, licenses, mixing, ngram_join, pii, pivot_search, quality, sharding, tokens, toxicity, vector_codes
+from matchloom.llm import decontamination, licenses, mixing, ngram_join, periodic_runs, pii, pivot_search, quality, sharding, tokens, toxicity, vector_codes
 from matchloom.llm.common import read_table
 
 
@@ -72,6 +72,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, with planted periods; cases as in periodic_runs.run_report."""
+    return periodic_runs.run_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_toxic_severity": op2_toxic_severity,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hash_ring_shards": op9_hash_ring_shards,
     "op10_boosted_quality": op10_boosted_quality,
     "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
