@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import decontamination, licenses, mixing, ngram_join, periodic_runs, pii, pivot_search, quality, sharding, tokens, toxicity, vector_codes
+from matchloom.llm import decontamination, licenses, mixing, ngram_join, periodic_runs, pii, pivot_search, quality, sharding, token_blocks, tokens, toxicity, vector_codes
 from matchloom.llm.common import read_table
 
 
@@ -77,6 +77,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as coded blocks and read back; cases as in token_blocks.write_tokens."""
+    from public_tokenizers import path
+
+    return token_blocks.token_file_report(read_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_toxic_severity": op2_toxic_severity,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_boosted_quality": op10_boosted_quality,
     "op11_vector_codes": op11_vector_codes,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_blocks": op13_token_blocks,
 }
 
 ORACLES: dict[str, str] = {
