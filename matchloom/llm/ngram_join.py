@@ -299,12 +299,7 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
         return keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
 
     def merge(merged: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sets in the short lists, in order, and in how many of these each is: a heap merges the lists.
-
-        Lists that are too long for it (only where the threshold leaves no more lists to probe) are merged by sorting.
-        """
-        if len(merged) > 4 * HEAP_ENTRIES:
-            return np.unique(merged, return_counts=True)
+        """The sets in the short lists, in order, and in how many of these each is: a heap merges the lists."""
         runs = [r.tolist() for r in np.split(merged, np.flatnonzero(which[1:] != which[:-1]) + 1)]
         counted = [(other, sum(1 for _ in hits)) for other, hits in groupby(heapq.merge(*runs))]
         others, seen = zip(*counted, strict=True)

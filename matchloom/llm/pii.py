@@ -1,14 +1,15 @@
 """Surrogates for personal data: keyed, type-consistent replacements that stay distinct over the corpus.
 
-Detection finds e-mail addresses, telephone numbers, IPv4 addresses, payment cards (Luhn and issuer
-checked), IBANs (checksum), secret tokens and titled person names; names without a title, postal
-addresses and birthdays are not looked for. Equal entities (by canonical value) get equal surrogates
+Detection finds e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment cards (Luhn and issuer
+checked), IBANs (checksum), secret tokens (named as such, by the start of a service's keys, or bearers) and
+titled person names of several words, with particles and initials; names without a title, national telephone
+numbers but for ten digits in groups, postal addresses and birthdays are not looked for. Equal entities (by canonical value) get equal surrogates
 everywhere; a surrogate keeps type, script, letter case, digit layout, and for names the gender of the
 title. It is drawn from a keyed hash of type, value and attempt.
 
 Coreference: case, a possessive ending and a +1 before a ten-digit number make no other entity. A title
-with a surname alone means the one full name with that surname and gender in the same text, and gets its
-surname; without one, or with several, the surname is an entity of its own.
+with a surname alone, or with an initial and a surname, means the one full name with that surname, gender and
+initial in the same text, and gets its surname; without one, or with several, it is an entity of its own.
 
 Collision checks: over the distinct entities of the corpus, a surrogate that another entity has drawn,
 or that is itself an entity of the corpus, is drawn again (names are compared by surname); later attempts
@@ -19,6 +20,7 @@ they are at most BROADCAST_ENTITIES, else by a join on the hash of the text.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import string
 from collections.abc import Iterator
@@ -46,18 +48,32 @@ NUMBER = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
 )
 SECRET = re.compile(r"(?i:token|api[_-]?key|secret|password)\s*[=:]\s*[\"']?(?P<secret>[0-9A-Za-z+/_-]{16,})")
+# How keys of common services begin; only what follows is redrawn.
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "xoxb-", "xoxp-", "AIza")
+SERVICE_KEY = re.compile(r"(?<![\w-])(?P<secret>(?:" + "|".join(KEY_STARTS) + r")[0-9A-Za-z_-]{16,})(?![\w-])|\bBearer (?P<bearer>[0-9A-Za-z._~+/-]{16,}=*)")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]*[\w:])")
+# Titles before names by gender, particles inside names, words that end a name where they follow one.
+TITLES = {
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Госпожа"),
+    "m": ("Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "Господин"),
+    "": ("Dr", "Prof", "Professor", "Doctor"),
+}
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "ter", "ten", "bin", "ibn", "al", "y")
+NO_NAMES = ("Road", "Street", "Avenue", "Lane", "Square", "Drive", "Hall", "House", "Park", "School", "College", "University", "Company", "Inc", "Ltd", "GmbH")
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"
+_NAME = rf"{_CAPITAL}[\w'’-]+"
 PERSON = re.compile(
-    r"(?<!\w)(?P<title>Mr\.?|Mrs\.?|Ms\.?|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа) (?P<person>[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+(?: [A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+)?)"
+    r"(?<!\w)(?P<title>" + "|".join(sorted((rf"{t}\.?" if t != "M" else r"M\." for own in TITLES.values() for t in own), key=len, reverse=True))
+    + rf") (?P<person>(?:(?:{_CAPITAL}\.|{'|'.join(PARTICLES)}|{_NAME}) ){{0,5}}{_NAME})"
 )
 POSSESSIVE = re.compile(r"['’](?:[sS])?(?= |$)")
 
 #: Cheap signs without which the longer patterns cannot match.
 TWO_DIGITS = re.compile(r"\d\.?\d")
 SECRET_WORDS = ("token", "key", "secret", "password")
-TITLE_STARTS = ("Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Госпо")
+TITLE_STARTS = tuple(f"{t}{end}" for own in TITLES.values() for t in own for end in (". ", " "))
 
-# Titles of women, given names by script and gender, syllables of surnames by script.
-FEMALE_TITLES = ("Mrs", "Ms", "Frau", "Madame", "Señora", "Госпожа")
+# Given names by script and gender, syllables of surnames by script.
 GIVEN = {
     ("latin", "f"): ("Anna", "Clara", "Elena", "Greta", "Ines", "Laura", "Marta", "Nora", "Paula", "Sofia"),
     ("latin", "m"): ("Adrian", "Bruno", "Daniel", "Felix", "Hugo", "Leon", "Martin", "Oscar", "Simon", "Victor"),
@@ -100,8 +116,18 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, reached))
 
 
+def ipv6(raw: str) -> str | None:
+    """An address in its short form; None for other things with colons, those without a digit or of one group, and wrapped IPv4 addresses."""
+    try:
+        address = ipaddress.IPv6Address(raw)
+    except ValueError:
+        return None
+    known = re.search(r"\d", raw) and sum(map(bool, raw.split(":"))) > 1 and not address.ipv4_mapped
+    return str(address) if known else None
+
+
 class Entity(NamedTuple):
-    """A mention: where it is, its type, canonical value and hint (a name's gender); part: '' or surname, if it names only that."""
+    """A mention: where it is, its type, canonical value and hint (a name's gender); part: '', or surname or initial, if it names only (an initial and) the surname."""
 
     start: int
     end: int
@@ -111,21 +137,44 @@ class Entity(NamedTuple):
     part: str = ""
 
 
+def name_words(person: str) -> list[str]:
+    """The words of a name: up to a possessive or a word that ends names; initials and particles only before a name."""
+    owner = POSSESSIVE.search(person)
+    words = (person[: owner.start()] if owner else person).split(" ")
+    end = next((i for i, w in enumerate(words) if i and w in NO_NAMES), len(words))
+    while end and (words[end - 1] in PARTICLES or len(words[end - 1].rstrip(".")) < 2):
+        end -= 1
+    return words[:end]
+
+
 def persons(text: str) -> list[Entity]:
-    """Titled names, surnames alone resolved to the full name they mean."""
+    """Titled names; a surname alone or after one initial stands for the only full name of the text that it can mean."""
     found = []
     for m in PERSON.finditer(text):
-        gender = "f" if m.group("title").rstrip(".") in FEMALE_TITLES else "m"
-        owner = POSSESSIVE.search(m.group("person"))
-        name = m.group("person")[: owner.start()] if owner else m.group("person")
-        if len(name) > 1:
+        gender = next(g for g, titles in TITLES.items() if m.group("title").rstrip(".") in titles)
+        name = " ".join(name_words(m.group("person")))
+        if name:
             found.append(Entity(m.start("person"), m.start("person") + len(name), "person", name.lower(), gender))
-    full: dict[tuple[str, str], set[str]] = {}
+    full: dict[str, set[tuple[str, str]]] = {}
     for e in found:
-        if " " in e.value:
-            full.setdefault((e.value.split(" ")[1], e.hint), set()).add(e.value)
-    meant = {k: min(names) for k, names in full.items() if len(names) == 1}
-    return [e._replace(value=meant[e.value, e.hint], part="surname") if (e.value, e.hint) in meant else e for e in found]
+        first, *rest = e.value.split(" ")
+        if rest and not first.endswith("."):
+            full.setdefault(rest[-1], set()).add((e.value, e.hint))
+
+    def meant(e: Entity) -> Entity:
+        """The mention as one of the full name, if only one of that surname, gender and initial is named; a title without gender fits any."""
+        first, *rest = e.value.split(" ")
+        if len(rest) > 1 or (rest and not first.endswith(".")):
+            same = {(v, h) for v, h in full.get(rest[-1], ()) if v == e.value and h}
+            return e._replace(hint=min(same)[1]) if not e.hint and len(same) == 1 else e
+        names = {(v, h) for v, h in full.get(rest[-1] if rest else first, ()) if (not rest or v[0] == first[0]) and (not e.hint or not h or h == e.hint)}
+        names = {(v, h) for v, h in names if h or not any(v == w and g for w, g in names)}
+        if len(names) != 1:
+            return e
+        value, hint = names.pop()
+        return e._replace(value=value, hint=hint, part="initial" if rest else "surname")
+
+    return list(map(meant, found))
 
 
 def entities(text: str | None) -> list[Entity]:
@@ -151,6 +200,11 @@ def entities(text: str | None) -> list[Entity]:
             value = value[2:] if value.startswith("+1") and len(value) == 12 else value
         if valid:
             found.append(Entity(m.start(), m.end(), kind, value, ""))
+    for m in SERVICE_KEY.finditer(text) if "Bearer " in text or any(w in text for w in KEY_STARTS) else ():
+        found.append(Entity(m.start(m.lastgroup), m.end(m.lastgroup), "secret", m.group(m.lastgroup), ""))
+    for m in IPV6.finditer(text) if text.count(":") > 1 else ():
+        if value := ipv6(m.group()):
+            found.append(Entity(m.start(), m.end(), "ipv6", value, ""))
     found += persons(text) if any(w in text for w in TITLE_STARTS) else []
     kept, reached = [], 0
     for span in sorted(found, key=lambda e: (e.start, -e.end)):
@@ -214,19 +268,32 @@ def surrogate_value(kind: str, value: str, hint: str, attempt: int, key: bytes)
         # area and exchange codes do not begin with 0 or 1
         digits = [str(draw.below(10)) if i % 3 or i > 3 else str(2 + draw.below(8)) for i in range(len(value))]
         return "".join(digits)
+    if kind == "ipv6":
+        groups = value.split(":")
+        # no group becomes 0, which could shorten the address; groups of one digit may grow
+        drawn = [f"{(1 << 4 * len(g) - 4) + draw.below(15 << 4 * len(g) - 4):x}" if g and attempt < GROW_AFTER else f"{4096 + draw.below(61440):x}" if g else "" for g in groups]
+        return str(ipaddress.IPv6Address(":".join(drawn)))
     if kind == "secret":
         if re.fullmatch("[0-9a-f]+", value):
             return "".join("0123456789abcdef"[draw.below(16)] for _ in value)
-        return _redrawn(draw, value)
+        start = next((len(w) for w in KEY_STARTS if value.startswith(w)), 0)
+        return value[:start] + _redrawn(draw, value[start:])
     script = "cyrillic" if re.search("[а-яё]", value) else "latin"
     syllables = SYLLABLES[script]
     surname = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + attempt))
-    ends = SURNAME_ENDS.get((script, hint)) or SURNAME_ENDS["latin"]
-    names = [surname.capitalize() + ends[draw.below(len(ends))]]
-    if " " in value:
-        given = GIVEN[script, hint or "m"]
-        names.insert(0, given[draw.below(len(given))])
-    return " ".join(names)
+    ends = SURNAME_ENDS.get((script, hint or "m")) or SURNAME_ENDS["latin"]
+    last = surname.capitalize() + ends[draw.below(len(ends))]
+    given, names = GIVEN[script, hint or "m"], []
+    for i, word in enumerate(value.split(" ")[:-1]):
+        name = given[draw.below(len(given))]
+        names.append(word if i and word in PARTICLES else f"{name[0]}." if word.endswith(".") else name)
+    return " ".join([*names, last])
+
+
+def short_form(surrogate: str, part: str) -> str:
+    """A name as a mention has it: whole, by its surname, or by initial and surname."""
+    first, *_, last = surrogate.split(" ") if part else (surrogate, surrogate)
+    return surrogate if not part else last if part == "surname" else f"{first[0]}. {last}"
 
 
 def formatted(kind: str, raw: str, surrogate: str) -> str:
@@ -239,6 +306,8 @@ def formatted(kind: str, raw: str, surrogate: str) -> str:
         return ".".join(new.zfill(len(old)) for old, new in zip(raw.split("."), surrogate.split("."), strict=True))
     if kind == "person":
         return " ".join(new.upper() if old.isupper() else new for old, new in zip(raw.split(" "), surrogate.split(" "), strict=True))
+    if kind == "ipv6":
+        return surrogate.upper() if raw.isupper() else surrogate
     if kind == "email":
         if raw.isupper():
             return surrogate.upper()
@@ -255,7 +324,7 @@ def replaced(text: str | None, attempts: dict[tuple[str, str, str], int], key: b
     out, at = [], 0
     for start, end, kind, value, hint, part in found:
         surrogate = surrogate_value(kind, value, hint, attempts.get((kind, value, hint), 0), key)
-        out += [text[at:start], formatted(kind, text[start:end], surrogate.split(" ")[-1] if part else surrogate)]
+        out += [text[at:start], formatted(kind, text[start:end], short_form(surrogate, part))]
         at = end
     return "".join([*out, text[at:]]), [e.kind for e in found]
 

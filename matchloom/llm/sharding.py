@@ -6,10 +6,12 @@ the rows of an arc that its shard cannot hold continue clockwise to the next vir
 shard has room. Capacities add up to the row count and differ by one at most, so the balance is
 exact, and only overflowing rows leave their home shard.
 
-Only counts by ring cell (RING_CELLS at most, whatever the input; HOT_PARTS more for each of the cells
-with more than a HOT_CELLS-th of all rows) and the resulting segments (virtual nodes + shards at most)
-pass through the driver. Rows are ranked in windows of one cell, hot cells in parts by the hash of the
-whole row, so that rows of one id, or without one, do not all meet in one task.
+Only counts by ring cell (RING_CELLS at most, whatever the input; HOT_PARTS more for each of the cells, and
+each of the groups of wholly alike rows, with more than a HOT_CELLS-th of all rows) and the resulting segments
+(virtual nodes + shards at most) pass through the driver. Rows are ranked in windows of one cell, hot cells
+in parts by the hash of the whole row, so that rows of one id, or without one, do not all meet in one task.
+A hot group of alike rows comes last in its cell, dealt out to parts by place of reading: its rows can stand in
+for each other, and no other row's place depends on the deal. They are written first, so that both readings agree.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import utf8_size
+from matchloom.llm.common import materialize, utf8_size
 
 RING_CELLS = 1 << 16
 VIRTUAL_NODES = 128
@@ -101,12 +103,26 @@ def assign_shards(
     many = max(sum(counts.values()) // HOT_CELLS, 1)
     hot = [c for c, n in counts.items() if n > many]
     tie = F.struct(F.col(id_col).cast("string"), utf8_size(F.col(text_col)), F.crc32(F.col(text_col).cast("binary")))
-    part = F.when(cell.isin(hot), F.pmod(F.xxhash64(tie), F.lit(HOT_PARTS)).cast("int")).otherwise(0) if hot else F.lit(0)
+    kept = docs.columns if keep is None else keep
+    rows = docs.select(F.struct(*kept).alias("_row"), position.alias("_position"), cell.alias("_cell"), tie.alias("_tie"))
     in_parts: dict[int, list[tuple[int, int]]] = {}
     if hot:
-        split = docs.select(cell.alias("cell"), part.alias("part")).where(F.col("cell").isin(hot)).groupBy("cell", "part").count()
-        for r in split.orderBy("part").collect():
-            in_parts.setdefault(r["cell"], []).append((r["part"], r["count"]))
+        row_hash = F.xxhash64("_tie")
+        in_hot = rows.where(F.col("_cell").isin(hot))
+        alike = sorted(r["h"] for r in in_hot.groupBy(row_hash.alias("h")).count().where(F.col("count") > many).collect())
+        part = F.when(F.col("_cell").isin(hot), F.pmod(row_hash, F.lit(HOT_PARTS)).cast("int")).otherwise(0)
+        if alike:
+            dealt = F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS)).cast("int")
+            group = F.array_position(F.array(*[F.lit(h).cast("long") for h in alike]), row_hash).cast("int")
+            same = materialize(in_hot.where(row_hash.isin(alike)).withColumn("_part", group * HOT_PARTS + dealt), "alike-rows")
+            rows = rows.where(~row_hash.isin(alike)).withColumn("_part", part).unionByName(same)
+        else:
+            rows = rows.withColumn("_part", part)
+        split = rows.where(F.col("_cell").isin(hot)).groupBy("_cell", "_part").count()
+        for r in split.orderBy("_part").collect():
+            in_parts.setdefault(r["_cell"], []).append((r["_part"], r["count"]))
+    else:
+        rows = rows.withColumn("_part", F.lit(0))
     starts = [c for c, _ in nodes]
     arc_of = [bisect.bisect_left(starts, c) % len(nodes) for c in range(RING_CELLS)]
     # the first arc crosses zero: its cells after the last node come before those from zero on
@@ -122,10 +138,6 @@ def assign_shards(
     segment_table = F.broadcast(
         spark.createDataFrame(homes, "_arc int, _first long, _end long, _shard int, _slot long, _hops int, _home int")
     )
-    kept = docs.columns if keep is None else keep
-    rows = docs.select(
-        F.struct(*kept).alias("_row"), position.alias("_position"), cell.alias("_cell"), part.alias("_part"), tie.alias("_tie"),
-    )
     in_cell = Window.partitionBy("_cell", "_part").orderBy("_position", "_tie")
     ranked = (
         rows.withColumn("_rank", F.row_number().over(in_cell) - 1)

@@ -110,10 +110,11 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, grade
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, extra=None, balanced: bool = False) -> tuple[DataFrame, dict[int, int]]:
-    """About `rows` labelled documents (doc_id, text, label), chosen by the hash of the id, and the number of rows of each label.
+    """About `rows` labelled documents (doc_id, text, label), chosen by the hash of the id, and the number of ids of each label.
 
-    Every labelled row if there are fewer; balanced: at most half of them of each label. A repeated id
-    takes its largest label; labels other than 0 and 1 and null ids are left out.
+    Every labelled id if there are fewer; balanced: at most half of them of each label. A repeated id takes its
+    largest label and, where its rows differ, the text with the least hash, so that it comes once; labels
+    other than 0 and 1 and null ids are left out.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -126,7 +127,9 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, extra
         share = F.when(F.col("label") == y, int(min(1.0, part) * 1_000_000)).otherwise(share)
     known = materialize(known.where(F.pmod(F.xxhash64(F.lit(label), "doc_id"), F.lit(1_000_000)) < share), "sample")
     # at most about `rows` ids, so their broadcast is bounded
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), totals
+    held = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    one = held.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return one.select("doc_id", "first.text", "label"), totals
 
 
 def telling_features(sample: DataFrame, features: int) -> DataFrame:

@@ -144,3 +144,14 @@ def test_forest_arrays_equal_a_walk():
 
     assert np.allclose(forest.score(x), [walk(r) for r in x])
     assert ((forest.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_one_labelled_id_fifty_thousand_times(spark):
+    docs, labels = corpus(spark, 300)
+    many = spark.range(50_000).selectExpr("0L as doc_id", "concat('zounds ', id % 700) as text", "'en' as toxic")
+    for label in ("toxic", "quality"):
+        sample, totals = toxicity.sample_rows(docs.unionByName(many).unionByName(docs), labels, label, 100)
+        rows = sample.groupBy("doc_id").count().collect()
+        assert 0 < len(rows) < 200 and all(r["count"] == 1 for r in rows) and sum(totals.values()) == 300
+    model, plain = (toxicity.train(d, labels) for d in (docs.unionByName(docs), docs))
+    assert np.array_equal(model.weights, plain.weights)  # repeated rows weigh nothing more

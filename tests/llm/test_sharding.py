@@ -62,6 +62,26 @@ def test_rows_without_an_id_share_windows(spark, monkeypatch):
     assert Counter((r.doc_id, r.text) for r in out) == Counter((i, t) for i, t, _ in rows)
 
 
+def test_wholly_alike_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_PARTS", 8)
+    rows = [(i, "x", "own") for i in range(900)] + [(None, None, "own")] * 1500 + [(7, "same", "own")] * 600
+    table = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    out = sharding.assign_shards(table, 5)
+    plan = out._jdf.queryExecution().toString()
+    assert "alike-rows" in plan  # hot groups of alike rows are read from a written table, with the part of each row
+    slots = defaultdict(list)
+    for r in out.collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(600)) for s in slots.values()) and len(slots) == 5
+    places = [{r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(t, 5).where("text = 'x' and doc_id <> 7").collect()} for t in (table, table.repartition(3))]
+    assert places[0] == places[1]  # other rows' places do not depend on the deal
+
+
+def test_a_very_long_text(spark):
+    out = sharding.shard_report(spark.createDataFrame([(1, "ab" * 3_000_000, "own"), (2, "", "own")], SCHEMA)).collect()
+    assert {(r.doc_id, r.size) for r in out} == {(1, 6_000_008), (2, 8)}
+
+
 def test_columns_nulls_repeats_and_empty(spark):
     rows = [(None, None, "a"), (None, None, "a"), (5, "é", "b"), (5, "é", "b"), (6, "", None)]
     out = sharding.assign_shards(spark.createDataFrame(rows, SCHEMA), 3)
