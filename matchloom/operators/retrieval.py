@@ -7,12 +7,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import unit_vector
 from matchloom.operators.sparse import sparse_rows, sparse_top_k
 
 TOP_K = 50
@@ -82,23 +79,6 @@ def topk_cosine(jobs: DataFrame, resumes: DataFrame, k: int = TOP_K, query_block
     return top_k(found, k, "embedding_cosine")
 
 
-def topk_lsh(jobs: DataFrame, resumes: DataFrame, k: int, radius: float = 1.1, bucket: float = 0.8, tables: int = 12, seed: int = 7) -> DataFrame:
-    """Approximate top-k: candidates of random-projection buckets within a distance, scored exactly.
-
-    An opening with fewer than k candidates within the radius gets its k nearest by the exact pass instead.
-    """
-    a = jobs.select("job_id", F.col("embedding").alias("job_vector"), array_to_vector(unit_vector(F.col("embedding"))).alias("v"))
-    b = resumes.select("resume_id", F.col("embedding").alias("resume_vector"), array_to_vector(unit_vector(F.col("embedding"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
-    near = model.approxSimilarityJoin(a, b, radius)
-    pairs = near.select("datasetA.job_id", "datasetB.resume_id", cosine(F.col("datasetA.job_vector"), F.col("datasetB.resume_vector")).alias("embedding_cosine"))
-    # k rows an opening at most; read by the count, the exact pass and the result
-    found = top_k(pairs.distinct(), k, "embedding_cosine").persist()
-    full = found.where(F.col("retrieval_rank") == k).select("job_id")
-    rest = topk_cosine(jobs.join(full, "job_id", "left_anti"), resumes, k)
-    return found.join(full, "job_id", "left_semi").unionByName(rest)
-
-
 def terms(text: Column) -> Column:
     """Terms of a text: lower-case runs of letters and digits, without stop words."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: ~t.isin("", *ENGLISH_STOP_WORDS))

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 import random
 
 import pytest
@@ -70,30 +71,44 @@ def test_block_top_k_equals_the_cross_join(spark):
     assert {tuple(r) for r in blocks.select("job_id", "resume_id", "retrieval_rank").collect()} == {tuple(r) for r in plain.select("job_id", "resume_id", "retrieval_rank").collect()}
 
 
-def test_lsh_defaults_find_distant_neighbours(spark):
+def test_index_finds_distant_neighbours_and_fills_every_opening(spark):
+    from matchloom.operators import vector_index
+    from matchloom.sources.tables import scratch_path
+
     rng = random.Random(5)
 
     def unit(near=None):
-        v = [rng.gauss(0, 1) + (8 * near[i] if near else 0) for i in range(64)]
+        v = [rng.gauss(0, 1) + (8 * near[i] if near else 0) for i in range(30)]
         size = math.sqrt(sum(x * x for x in v))
         return [x / size for x in v]
 
     vectors = [unit() for _ in range(20)]
-    jobs = spark.createDataFrame(list(enumerate(vectors)), "job_id long, embedding array<float>")
-    # the first three openings have twelve profiles close by, the others only distant ones
+    jobs = spark.createDataFrame([*enumerate(vectors), (99, None)], "job_id long, embedding array<float>")
+    # the first three openings have twelve profiles close by, the others only distant ones; one profile comes many times
     close = [unit(v) for v in vectors[:3] for _ in range(12)]
-    resumes = spark.createDataFrame(list(enumerate(close + [unit() for _ in range(300)])), "resume_id long, embedding array<float>")
-    got = [tuple(r) for r in retrieval.topk_lsh(jobs, resumes, 10).select("job_id", "resume_id").collect()]
+    rows = list(enumerate(close + [unit() for _ in range(300)] + [close[0]] * 150)) + [(None, close[0]), (9999, None)]
+    resumes = spark.createDataFrame(rows, "resume_id long, embedding array<float>")
     exact = {tuple(r) for r in retrieval.topk_cosine(jobs, resumes, 10).select("job_id", "resume_id").collect()}
-    assert len(got) == len(set(got)) == len(exact) == 200
-    assert len(set(got) & exact) >= 0.9 * len(exact)
-
-
-def test_lsh_query_on_the_given_vectors(spark):
+    index, path = vector_index.fit_index(resumes, 10), scratch_path(spark, "index")
+    vector_index.write_index(resumes, index, path)
+    assert spark.read.parquet(path).selectExpr("sum(size(ids))").first()[0] == 486 and 1 <= index.probes <= len(index.centroids)
+    # copies of one vector have equal codes and cosines, so which of them come is decided by the exact scores of those that were guessed
+    copies = {i for i, v in rows if v == close[0]}
+    for probes, least in ((None, 0.9), (1, 0.1)):
+        index.probes = probes or index.probes
+        got = [(r.job_id, r.resume_id) for r in vector_index.search_index(jobs, resumes, index, path, 10).collect()]
+        assert len(got) == len(set(got)) == len(exact) == 200  # also where one cell would hold fewer than ten profiles
+        found = [Counter((j, "copy" if i in copies else i) for j, i in x) for x in (got, exact)]
+        assert sum((found[0] & found[1]).values()) >= least * len(exact)
+    with pytest.raises(ValueError, match="no profile"):
+        vector_index.fit_index(resumes.where("embedding is null"), 10)
+
+
+def test_index_query_on_the_given_vectors(spark):
     from matchloom.plans import fixtures as fx
 
     folder = "/root/testdata/sf0.001"
-    got = {(r.job_id, r.resume_id) for r in matching.topk_lsh(spark, folder).select("job_id", "resume_id").collect()}
+    got = {(r.job_id, r.resume_id) for r in matching.topk_ivf(spark, folder).select("job_id", "resume_id").collect()}
     jobs, resumes = fx.job_vectors(spark, folder), fx.resume_vectors(spark, folder)
     exact = {(r.job_id, r.resume_id) for r in retrieval.topk_cosine(jobs, resumes, 10).collect()}
     assert len(got) == len(exact) == 10 * jobs.count() and len(got & exact) >= 0.9 * len(exact)
