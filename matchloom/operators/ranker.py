@@ -11,6 +11,7 @@ import json
 import random
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -34,6 +35,14 @@ class LinearRanker:
     weights: dict[str, float]
     means: dict[str, float]
 
+    @property
+    def features(self) -> list[str]:
+        return list(self.weights)
+
+    def impacts(self) -> Column:
+        """array<double> of contributions in the order of the features."""
+        return F.array(*map(self.contribution, self.weights))
+
     def contribution(self, feature: str) -> Column:
         return F.lit(self.weights[feature]) * (F.coalesce(F.col(feature).cast("double"), F.lit(0.0)) - F.lit(self.means[feature]))
 
@@ -45,6 +54,17 @@ class LinearRanker:
         return sum((F.lit(w) * F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f, w in self.weights.items()), F.lit(0.0))
 
 
+class Ranker(Protocol):
+    """What scoring and explaining need of a model: its columns, its score, the parts of the score and the base they start from."""
+
+    features: list[str]
+    base: float
+
+    def score(self) -> Column: ...
+
+    def impacts(self) -> Column: ...
+
+
 def gain(label: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, LABEL_GAIN)), label.cast("int") + 1)
 
@@ -84,19 +104,19 @@ def fit_gain_trees(rows: DataFrame, columns: list[str] = FEATURES, **params) ->
     return GBTRegressor(labelCol="gain", featuresCol="features", seed=42, **({"maxIter": 20, "maxDepth": 4} | params)).fit(frame)
 
 
-def score_pairs(rows: DataFrame, ranker: LinearRanker, score: str = "pred") -> DataFrame:
+def score_pairs(rows: DataFrame, ranker: Ranker, score: str = "pred") -> DataFrame:
     """Rows with the score and final_rank within the opening; every feature column must be there."""
-    missing = [c for c in ranker.weights if c not in rows.columns]
+    missing = [c for c in ranker.features if c not in rows.columns]
     if missing:
         raise ValueError(f"missing feature columns: {', '.join(missing)}")
     order = Window.partitionBy("job_id").orderBy(F.desc(score), "resume_id")
     return rows.withColumn(score, F.round(ranker.score(), 9)).withColumn("final_rank", F.row_number().over(order))
 
 
-def contributions(rows: DataFrame, ranker: LinearRanker) -> DataFrame:
+def contributions(rows: DataFrame, ranker: Ranker) -> DataFrame:
     """Rows with an array `contributions` of (feature, impact) and the base value; they add up to the score."""
-    parts = [F.struct(F.lit(f).alias("feature"), ranker.contribution(f).alias("impact")) for f in ranker.weights]
-    return rows.withColumn("contributions", F.array(*parts)).withColumn("base_value", F.lit(ranker.base))
+    parts = F.arrays_zip(F.array(*map(F.lit, ranker.features)).alias("feature"), ranker.impacts().alias("impact"))
+    return rows.withColumn("contributions", parts).withColumn("base_value", F.lit(ranker.base))
 
 
 def contribution_summary(explained: DataFrame) -> DataFrame:
@@ -170,5 +190,5 @@ def write_metadata(spark: SparkSession, metadata: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(metadata, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def predictions(rows: DataFrame, ranker: LinearRanker) -> DataFrame:
+def predictions(rows: DataFrame, ranker: Ranker) -> DataFrame:
     return score_pairs(rows, ranker).select("job_id", "resume_id", "final_label", "pred")

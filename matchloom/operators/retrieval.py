@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.sparse import sparse_rows, sparse_top_k
+from matchloom.sources.tables import written
 
 TOP_K = 50
 QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
@@ -90,29 +91,30 @@ def bm25_terms(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -
     A term's part of the relevance is the product of both weights. jobs: job_id, text; resumes: resume_id, text.
     Each distinct term of an opening counts once; max_df_share leaves out terms that more of the profiles have.
     """
-    tokens = resumes.select("resume_id", F.transform(terms(F.col("text")), lambda t: F.xxhash64(F.lit(0), t)).alias("tokens"))
-    n, average = resumes.agg(F.count("*"), F.avg(F.size(terms(F.col("text"))))).first()
-    average = average or 1.0
+    hashed = resumes.select("resume_id", F.transform(terms(F.col("text")), lambda t: F.xxhash64(F.lit(0), t)).alias("tokens"))
 
-    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             owner, flat = np.repeat(np.arange(len(lengths)), lengths), batch.column(1).flatten().to_numpy(zero_copy_only=False)
             order = np.lexsort((flat, owner))
             owner, flat = owner[order], flat[order]
             starts = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])][: len(flat)])
-            tf, owner = np.diff(np.r_[starts, len(flat)]), owner[starts]
-            weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / average))
-            ends = pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[starts], weights)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(lengths), np.int32)), *lists], ["resume_id", "field", "terms", "weights"])
+            ends = pa.array(np.searchsorted(owner[starts], np.arange(len(lengths) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat[starts], np.diff(np.r_[starts, len(flat)]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32)), *lists], ["resume_id", "length", "terms", "times"])
 
+    # the texts are split once; counts, rarities and weights read the written terms
     kind = resumes.schema["resume_id"].dataType.simpleString()
-    items = tokens.where("resume_id is not null and size(tokens) > 0").mapInArrow(weighted, f"resume_id {kind}, field int, terms array<long>, weights array<double>")
+    held = written(hashed.mapInArrow(counted, f"resume_id {kind}, length int, terms array<long>, times array<int>"), "terms")
+    n, average = held.agg(F.count("*"), F.avg("length")).first()
+    norm = K1 * (1 - B) + K1 * B * F.col("length") / F.lit(average or 1.0)
+    weights = F.transform("times", lambda x: x * (K1 + 1) / (x + norm))
+    items = held.where("resume_id is not null and size(terms) > 0").select("resume_id", F.lit(0).alias("field"), "terms", weights.alias("weights"))
     asked = jobs.where("job_id is not null").select("job_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).select("job_id", F.xxhash64(F.lit(0), "term").alias("term"))
-    # documents that hold each asked term: distinct terms of a document are counted before anything is shuffled
-    held = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rarity = held.where(F.col("df") <= n * max_df_share).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))
+    # documents that hold each asked term: only asked terms are counted
+    known = held.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarity = known.where(F.col("df") <= n * max_df_share).select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))
     pairs = asked.join(rarity, "term").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("t"))
     return pairs.select("job_id", F.lit(0).alias("field"), F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), items
 
