@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import preview, strip, token_set
 from matchloom.functions.vacancy import request_years
 from matchloom.operators.features import BASE_FEATURES, CASCADE_TOP, cascade_text_scores, engineered_features, lexical_scorer, serving_features
-from matchloom.operators.ranker import LinearRanker, contributions
+from matchloom.operators.ranker import Ranker, contributions
 from matchloom.operators.retrieval import with_cosines
 from matchloom.operators.sparse import sparse_rows, sparse_top_k
 
@@ -209,12 +209,12 @@ def labelled_factors(contributions: Column, positive: bool, features: list[str],
     ))
 
 
-def candidate_records(shown: DataFrame, ranker: LinearRanker, resumes: DataFrame) -> DataFrame:
+def candidate_records(shown: DataFrame, ranker: Ranker, resumes: DataFrame) -> DataFrame:
     """The records of shortlisted candidates: scores, their parts, base features, the profile's text and the explanation.
 
     shown: rows of final_order with serving features, contributions and base_value; resumes: resume_id, text.
     """
-    features = list(ranker.weights)
+    features = list(ranker.features)
     explanation = F.struct(
         "matched_skills", "missing_skills", "experience_summary", "title_summary", F.col("base_value").alias("baseline_score"),
         labelled_factors(F.col("contributions"), True, features).alias("top_positive_factors"), labelled_factors(F.col("contributions"), False, features).alias("top_negative_factors"),
@@ -231,7 +231,7 @@ def candidate_records(shown: DataFrame, ranker: LinearRanker, resumes: DataFrame
 
 
 def served_shortlists(
-    pool: DataFrame, jobs: DataFrame, resumes: DataFrame, job_vectors: DataFrame, resume_vectors: DataFrame, ranker: LinearRanker, top_k: int,
+    pool: DataFrame, jobs: DataFrame, resumes: DataFrame, job_vectors: DataFrame, resume_vectors: DataFrame, ranker: Ranker, top_k: int,
     scorer: Callable[[Column, Column], Column] = lexical_scorer, scored: int = CASCADE_TOP,
 ) -> DataFrame:
     """Every opening's shortlist from its pool, as one job: cosines, serving features, pair scores of the gate's best,

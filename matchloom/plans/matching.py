@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import title_tokens, token_set
-from matchloom.operators import features, labels, metrics, ranker, retrieval, shortlist, vector_index
+from matchloom.operators import features, labels, metrics, ranker, retrieval, shortlist, tree_ranker, vector_index
+from matchloom.operators.tree_ranker import Tree, TreeRanker
 from matchloom.plans import fixtures as fx
 from matchloom.plans import texts
 from matchloom.sources import tables
@@ -113,11 +118,16 @@ def _hybrid_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return asked.selectExpr("vec_id as job_id", "embedding"), others.selectExpr("vec_id as resume_id", "embedding")
 
 
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles with their derived fields, worked out once."""
+    return tables.written(fx.text_resumes(spark, sf_dir), "profiles")
+
+
 @query("hybrid_retrieval", HYBRID_SQL)
-def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_retrieval(spark: SparkSession, sf_dir: str, resumes: DataFrame | None = None) -> DataFrame:
     asked, others = _hybrid_vectors(spark, sf_dir)
     near = retrieval.topk_cosine(asked, others, 100)
-    return retrieval.hybrid_retrieval(near, fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir), 100)
+    return retrieval.hybrid_retrieval(near, fx.text_jobs(spark, sf_dir), _profiles(spark, sf_dir) if resumes is None else resumes, 100)
 
 
 @query("pool_missing_ids", f"with {fx.COSINE_SQL} select distinct resume_id from nearest where resume_id not in (select doc_id from documents where doc_id % 3 <> 0)")
@@ -220,8 +230,8 @@ LEXICAL_SQL = "case when len(ja) > 0 and len(ra) > 0 then len(list_intersect(ja,
     from text_pairs p join jobs j using (job_id) join resumes r using (resume_id)) select job_id, resume_id, round({LEXICAL_SQL}, 6) as ce_score_raw from t""")
 def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text pairs through the default scorer."""
-    joined = _text_pairs(spark, sf_dir).join(fx.text_jobs(spark, sf_dir).selectExpr("job_id", "text as job_text"), "job_id")
-    scored = features.scored_pairs(joined.join(fx.text_resumes(spark, sf_dir).selectExpr("resume_id", "text as resume_text"), "resume_id"))
+    pairs = tables.written(_text_pairs(spark, sf_dir), "pairs")
+    scored = features.coded_scores(pairs, fx.text_jobs(spark, sf_dir).selectExpr("job_id", "text as job_text"), fx.text_resumes(spark, sf_dir).selectExpr("resume_id", "text as resume_text"))
     return scored.select("job_id", "resume_id", F.round("ce_score_raw", 6).alias("ce_score_raw"))
 
 
@@ -413,6 +423,56 @@ def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("job_id", "resume_id", "positive", (F.col("place") + 1).alias("place"), "c.feature", F.round("c.impact", 6).alias("impact"))
 
 
+#: A fixed small forest, so that scores and contributions of trees can be checked in SQL.
+FOREST = TreeRanker(["embedding_cosine", "skill_overlap_ratio", "years_gap"], [
+    Tree(*map(np.array, ([0, 1, 2, -1, -1, -1, -1], [0.2, 0.45, 3.5, 0, 0, 0, 0], [0, 0, 0, -0.4, 0.1, 0.2, 0.7], [100, 60, 40, 35, 25, 10, 30]))),
+    Tree(*map(np.array, ([1, 0, -1, -1, -1, -1, -1], [0.5, 0.1, 0, 0, 0, 0, 0], [0, 0, 0.6, -0.5, 0.2, 0, 0], [100, 70, 30, 20, 50, 0, 0]))),
+])
+
+
+def _known_sql(tree: Tree, known: set[int], node: int = 0) -> str:
+    """A tree's value where only some features are known: the others are averaged over both ways."""
+    f = int(tree.feature[node])
+    if f < 0:
+        return f"({tree.value[node]}::double)"
+    left, right = (_known_sql(tree, known, 2 * node + i) for i in (1, 2))
+    if f in known:
+        return f"case when {FOREST.features[f]} > {tree.threshold[node]} then {right} else {left} end"
+    return f"(({tree.cover[2 * node + 1]} * {left} + {tree.cover[2 * node + 2]} * {right}) / {tree.cover[node]}::double)"
+
+
+def _share_sql(feature: int) -> str:
+    """The Shapley value of a feature by enumerating the sets of the others."""
+    rest = [i for i in range(len(FOREST.features)) if i != feature]
+    parts = []
+    for n in range(len(rest) + 1):
+        weight = math.factorial(n) * math.factorial(len(rest) - n) / math.factorial(len(rest) + 1)
+        parts += [f"{weight} * ({_known_sql(t, {*s, feature})} - {_known_sql(t, set(s))})" for s in itertools.combinations(rest, n) for t in FOREST.trees]
+    return " + ".join(parts)
+
+
+TREE_IMPACTS_SQL = f"{L}, i as (" + " union all ".join(f"select job_id, resume_id, '{f}' as feature, {_share_sql(i)} as impact from labelled" for i, f in enumerate(FOREST.features)) + ")"
+
+
+@query("tree_scores", f"""{L}, s as (select job_id, resume_id, round({" + ".join(_known_sql(t, {0, 1, 2}) for t in FOREST.trees)}, 6) as pred from labelled)
+    select *, row_number() over (partition by job_id order by pred desc, resume_id)::int as final_rank from s""")
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ranker.score_pairs(fx.labelled(spark, sf_dir).drop("pred"), FOREST)
+    return scored.select("job_id", "resume_id", F.round("pred", 6).alias("pred"), "final_rank")
+
+
+@query("tree_contributions", f"{TREE_IMPACTS_SQL} select job_id, resume_id, feature, round(impact, 6) as impact from i")
+def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact Shapley values of the forest, against their definition."""
+    explained = ranker.contributions(fx.labelled(spark, sf_dir), FOREST).select("job_id", "resume_id", F.explode("contributions").alias("c"))
+    return explained.select("job_id", "resume_id", "c.feature", F.round("c.impact", 6).alias("impact"))
+
+
+@query("tree_shap_summary", f"{TREE_IMPACTS_SQL} select feature, round(avg(abs(impact)), 6) as mean_abs_impact, round(avg(impact), 6) as mean_impact, round(stddev_pop(impact), 6) as std_impact from i group by feature")
+def tree_shap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranker.contribution_summary(ranker.contributions(fx.labelled(spark, sf_dir), FOREST))
+
+
 @query("feature_values", f"""{L} select job_id, resume_id, retrieval_rank::varchar as rank_text, printf('%.4f', skill_overlap_ratio) as skill_text, case when years_gap < 0 then 'n/a' else printf('%.4f', years_gap) end as gap_text,
     case when resume_id % 2 = 0 then 'sql, spark' else 'none' end as missing_text, case when resume_id % 2 = 0 then '2' else '0' end as missing_count from labelled""")
 def feature_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,6 +497,13 @@ def ranker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.predictions(test, ranker.refit(train, valid, {}))
 
 
+@query("listwise_trees")
+def listwise_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the test openings by boosted trees on NDCG gradients, fitted on the others."""
+    train, valid, test = _split_rows(spark, sf_dir)
+    return ranker.predictions(test, tree_ranker.fit_trees(train.unionByName(valid), trees=8, depth=3, rate=0.3))
+
+
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, _ = _split_rows(spark, sf_dir)
@@ -498,9 +565,9 @@ def _served_numbers() -> list:
 
 def served_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every passage's shortlist, from pools to explanations."""
-    jobs, resumes = fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir)
+    jobs, resumes = fx.text_jobs(spark, sf_dir), _profiles(spark, sf_dir)
     asked, others = _hybrid_vectors(spark, sf_dir)
-    shown = shortlist.served_shortlists(hybrid_retrieval(spark, sf_dir), jobs, resumes, asked, others, SERVED, 20, scored=SERVED_SCORED)
+    shown = shortlist.served_shortlists(hybrid_retrieval(spark, sf_dir, resumes), jobs, resumes, asked, others, SERVED, 20, scored=SERVED_SCORED)
     return shortlist.candidate_records(shown, SERVED, resumes)
 
 
@@ -541,10 +608,10 @@ _REQUEST_YEARS = "coalesce(list_max(list_filter(list_transform(regexp_extract_al
     select job_id, proxy_job_id, resume_id, final_rank, retrieval_rank, {SERVED_SHOWN} from served join vjobs using (job_id)""")
 def vacancy_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortlists of ad-hoc vacancies: derived skills and years, the vector of the proxy opening, then as for openings."""
-    resumes, (asked, others) = fx.text_resumes(spark, sf_dir), _hybrid_vectors(spark, sf_dir)
-    vacancies = texts.adhoc_with_skills(spark, sf_dir)
-    # read by the search, the clauses and the features; stays until the session's cache is cleared
-    openings = shortlist.vacancy_openings(vacancies, fx.text_jobs(spark, sf_dir), asked).persist()
+    resumes, (asked, others) = _profiles(spark, sf_dir), _hybrid_vectors(spark, sf_dir)
+    vacancies = tables.written(texts.adhoc_with_skills(spark, sf_dir), "vacancies")
+    # read by the search, the clauses and the features
+    openings = tables.written(shortlist.vacancy_openings(vacancies, fx.text_jobs(spark, sf_dir), asked), "openings")
     vectors = openings.where("embedding is not null").select("job_id", "embedding")
     pool = retrieval.hybrid_retrieval(retrieval.topk_cosine(vectors, others, 100), openings, resumes, 100)
     shown = shortlist.served_shortlists(pool, openings, resumes, vectors, others, SERVED, 20, scored=SERVED_SCORED)
