@@ -280,6 +280,15 @@ def unpack_segment(data: bytes) -> np.ndarray:
 class TextEncoder:
     """Ids of whole texts by the library. Texts are cut where no pre-token goes across, and every cut piece is encoded once."""
 
+    _shared: tuple[bytes, TextEncoder] | None = None
+
+    @classmethod
+    def shared(cls, spec: bytes) -> TextEncoder:
+        """The encoder of this worker process: tasks that follow each other in it find its pieces."""
+        if cls._shared is None or cls._shared[0] != spec:
+            cls._shared = (spec, cls(spec))
+        return cls._shared[1]
+
     def __init__(self, spec: bytes):
         """spec: the content of the vocabulary file."""
         self.library = Tokenizer.from_buffer(spec)
@@ -334,7 +343,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        encoder = TextEncoder(shared.value)
+        encoder = TextEncoder.shared(shared.value)
         shard, segment = TaskContext.get().partitionId(), 0
         names: list = []
         held: list[np.ndarray] = []
