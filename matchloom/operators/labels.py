@@ -79,6 +79,14 @@ def label_spread(pairs: DataFrame) -> DataFrame:
     return per_job.agg(*[F.round(F.avg(c), 6).alias(n) for c, n in (("lo", "mean_min"), ("hi", "mean_max"), ("mid", "mean_mean"), ("kinds", "mean_kinds"))])
 
 
+def label_spread_summary(pairs: DataFrame, exact: bool = True) -> DataFrame:
+    """The distributions over openings of their least, largest, mean and number of labels: one row each, as in feature_summary."""
+    per_job = pairs.groupBy("job_id").agg(
+        F.min("final_label").alias("min_label"), F.max("final_label").alias("max_label"), F.avg("final_label").alias("mean_label"), F.count_distinct("final_label").alias("label_kinds")
+    )
+    return feature_summary(per_job, ["min_label", "max_label", "mean_label", "label_kinds"], exact)
+
+
 def pair_summary(pairs: DataFrame) -> DataFrame:
     """Pairs of an opening: least, most, median; and the means of the base features over all pairs."""
     per_job = pairs.groupBy("job_id").agg(F.count("*").alias("n")).agg(F.min("n").alias("pairs_min"), F.max("n").alias("pairs_max"), F.median("n").alias("pairs_median"))

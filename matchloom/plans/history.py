@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
 from matchloom.operators import feedback as fb
-from matchloom.operators import reports, shortlist
+from matchloom.operators import quantiles, reports, shortlist
 from matchloom.plans import fixtures as fx
 from matchloom.sources import tables
+from matchloom.sources.tables import written
 from matchloom.streaming import jobs as st
+from matchloom.streaming import sketches
 
 QUERIES, ORACLES = {}, {}
 H = f"with {fx.HISTORY_SQL}"
@@ -272,15 +274,59 @@ def request_metrics_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.recent_request_metrics(fx.requests(spark, sf_dir))
 
 
+_RECORDED = "event_id, ts, method, case when event_id % 7 = 0 then '/ui/page' else path end as path, case when event_id % 11 = 0 then null else status_code end as status_code, latency_ms"
+
+
+@query("request_metrics_recorded", f"""with {fx.REQUEST_SQL}, raw as (select {_RECORDED} from requests), r as (select * replace (coalesce(status_code, 500) as status_code) from raw where not starts_with(path, '/ui'))
+    select method || ' ' || path as endpoint, {_measures('r')} group by 1 union all select '*', {_measures('r')}""")
+def request_metrics_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of pages among them, and some that ended by an exception."""
+    return st.request_metrics(fx.requests(spark, sf_dir).selectExpr(*fx._split_fields(_RECORDED)))
+
+
+@query("latency_quantiles", f"""with {fx.REQUEST_SQL}, p(point) as (values (0.01::double), (0.5), (0.95), (0.999)), l as (select path, list(latency_ms order by latency_ms) as x from requests where latency_ms is not null group by path)
+    select path, point, round(x[1 + floor(point * (len(x) - 1))::int] * (1 - (point * (len(x) - 1) - floor(point * (len(x) - 1)))) + x[1 + ceil(point * (len(x) - 1))::int] * (point * (len(x) - 1) - floor(point * (len(x) - 1))), 6) as latency_ms from l, p""")
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of every path by narrowing ranges."""
+    rows = written(fx.requests(spark, sf_dir).select("path", "latency_ms"), "latencies")
+    found = quantiles.exact_quantiles(rows, "latency_ms", [0.01, 0.5, 0.95, 0.999], "path")
+    return found.select("path", "point", F.round("value", 6).alias("latency_ms"))
+
+
+@query("request_rollup", f"""with {fx.REQUEST_SQL} select method || ' ' || path as endpoint, date_trunc('day', ts)::date as day, count(*) as requests, round(avg(case when status_code >= 500 then 1.0::double else 0 end), 6) as error_rate,
+    true as p50_near, true as p95_near from requests group by all""")
+def request_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's measures of every endpoint, merged from stored hours; whether the percentiles' ranks are within 3 % (or two requests) of exact ones."""
+    requests = fx.requests(spark, sf_dir)
+    stored = written(sketches.latency_sketches(requests, "1 hour"), "hours")
+    days = sketches.sketched_metrics(sketches.rolled_up(stored, "endpoint", F.to_date("start").alias("day")))
+    ranked = requests.select(F.concat_ws(" ", "method", "path").alias("endpoint"), F.to_date("ts").alias("day"), "latency_ms").join(days, ["endpoint", "day"])
+    near = [
+        (F.abs(F.avg((F.col("latency_ms") <= F.col(c)).cast("double")) - p) <= F.greatest(F.lit(0.03), 2 / F.count("*"))).alias(n)
+        for c, p, n in (("latency_ms_p50", 0.5, "p50_near"), ("latency_ms_p95", 0.95, "p95_near"))
+    ]
+    return ranked.groupBy("endpoint", "day", "requests", F.round("error_rate", 6).alias("error_rate")).agg(*near)
+
+
 # a request's log is that of the request before it in its user's order, so the oracle goes through them one by one
-LIMITER_SQL = f"""with recursive {fx.REQUEST_SQL}, o as (select user_id, event_id, epoch_us(ts) / 1000000 as moment, row_number() over (partition by user_id order by ts, event_id) as turn from requests),
+def limiter_sql(window: int, source: str = fx.REQUEST_SQL) -> str:
+    return f"""with recursive {source}, o as (select user_id, event_id, epoch_us(ts) / 1000000 as moment, row_number() over (partition by user_id order by ts, event_id) as turn from requests),
 step as (select user_id, event_id, turn, [moment] as log, true as allowed, 4 as remaining, 0.0::double as retry_after from o where turn = 1
-    union all select user_id, event_id, turn, case when len(log) < 5 then list_append(log, moment) else log end, len(log) < 5, greatest(4 - len(log), 0), case when len(log) < 5 then 0 else greatest(0, log[1] + 86400 - moment) end
-    from (select o.user_id, o.event_id, o.turn, o.moment, list_filter(s.log, lambda t: t >= o.moment - 86400) as log from step s join o on o.user_id = s.user_id and o.turn = s.turn + 1))
+    union all select user_id, event_id, turn, case when len(log) < 5 then list_append(log, moment) else log end, len(log) < 5, greatest(4 - len(log), 0), case when len(log) < 5 then 0 else greatest(0, log[1] + {window} - moment) end
+    from (select o.user_id, o.event_id, o.turn, o.moment, list_filter(s.log, lambda t: t >= o.moment - {window}) as log from step s join o on o.user_id = s.user_id and o.turn = s.turn + 1))
 select user_id, event_id, allowed, remaining::int as remaining, round(retry_after, 6) as retry_after from step"""
 
 
-@query("limiter_log", LIMITER_SQL)
+_BURST_MICROS = "1704067200000000 + event_id * 400000 + event_id % 5 * 7000000"
+
+
+@query("limiter_log_180", limiter_sql(180, f"requests as (select event_id, event_id % 64 as user_id, make_timestamp({_BURST_MICROS}) as ts from events)"))
+def limiter_log_180(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five admissions in three minutes, over all events as requests of 64 users about 26 seconds apart."""
+    return st.limiter_log(fx.table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 64 as user_id", f"timestamp_micros({_BURST_MICROS}) as ts"))
+
+
+@query("limiter_log", limiter_sql(86_400))
 def limiter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five admissions a day and user."""
     return st.limiter_log(fx.requests(spark, sf_dir), 5, 86_400.0)

@@ -273,6 +273,14 @@ def label_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_spread(label_rows(spark, sf_dir))
 
 
+@query("label_spread_summary", f"""{L}, j as (select min(final_label) as min_label, max(final_label) as max_label, avg(final_label) as mean_label, count(distinct final_label) as label_kinds from labelled group by job_id),
+    l as (unpivot (select min_label::double as min_label, max_label::double as max_label, mean_label::double as mean_label, label_kinds::double as label_kinds from j) on min_label, max_label, mean_label, label_kinds into name feature value value)
+    select feature, count(*) as rows, round(avg(value), 3) as mean, round(stddev_samp(value), 3) as std, round(min(value), 3) as min, round(quantile_cont(value, 0.25), 3) as p25,
+    round(quantile_cont(value, 0.5), 3) as p50, round(quantile_cont(value, 0.75), 3) as p75, round(max(value), 3) as max from l group by feature""")
+def label_spread_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.label_spread_summary(label_rows(spark, sf_dir))
+
+
 @query("pair_summary", f"""with {fx.PAIRS_SQL}, n as (select count(*) as n from pairs group by job_id)
     select (select min(n) from n) as pairs_min, (select max(n) from n) as pairs_max, (select median(n) from n) as pairs_median, round(avg(embedding_cosine), 6) as mean_embedding_cosine,
     round(avg(skill_overlap_ratio), 6) as mean_skill_overlap_ratio, round(avg(title_overlap_ratio), 6) as mean_title_overlap_ratio, round(avg(years_gap), 6) as mean_years_gap from pairs""")

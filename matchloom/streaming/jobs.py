@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 # Endpoints reported, samples that percentiles look at, the limiter's admissions and window.
 TOP_ENDPOINTS, NEWEST_SAMPLES = 20, 5000
@@ -25,11 +25,18 @@ def _measures(exact: bool = True) -> list[Column]:
     ]
 
 
+def recorded(requests: DataFrame, hidden: str = "/ui") -> DataFrame:
+    """The requests that are measured: not those of pages (paths that begin with hidden); without a status, as an exception leaves one, it is 500."""
+    shown = F.coalesce(~F.startswith("path", F.lit(hidden)), F.lit(True))
+    return requests.where(shown).withColumn("status_code", F.coalesce("status_code", F.lit(500)))
+
+
 def request_metrics(requests: DataFrame, top: int = TOP_ENDPOINTS, exact: bool = True) -> DataFrame:
     """Requests, error rate and percentiles by endpoint (the busiest), and of all requests as endpoint '*'.
 
     Exact percentiles keep an endpoint's distinct latencies in one state; exact=False bounds it.
     """
+    requests = recorded(requests)
     by_endpoint = requests.groupBy(F.concat_ws(" ", "method", "path").alias("endpoint")).agg(*_measures(exact))
     busiest = by_endpoint.orderBy(F.desc("requests"), "endpoint").limit(top)
     return busiest.unionByName(requests.agg(*_measures(exact)).withColumn("endpoint", F.lit("*")))
@@ -37,13 +44,14 @@ def request_metrics(requests: DataFrame, top: int = TOP_ENDPOINTS, exact: bool =
 
 def recent_request_metrics(requests: DataFrame, newest: int = NEWEST_SAMPLES) -> DataFrame:
     """Totals over everything, percentiles over the newest samples only. The newest are taken by a distributed top-n."""
+    requests = recorded(requests)
     last = requests.orderBy(F.desc("ts"), F.desc("event_id")).limit(newest)
     return requests.agg(*_measures()[:2]).crossJoin(last.agg(*_measures()[2:]))
 
 
 def streamed_request_metrics(requests: DataFrame, window: str = "1 minute", late: str = "5 minutes") -> DataFrame:
     """The same measures by event-time window and endpoint, with approximate percentiles."""
-    grouped = requests.withWatermark("ts", late).groupBy(F.window("ts", window), F.concat_ws(" ", "method", "path").alias("endpoint"))
+    grouped = recorded(requests).withWatermark("ts", late).groupBy(F.window("ts", window), F.concat_ws(" ", "method", "path").alias("endpoint"))
     failed = F.when(F.col("status_code") >= 500, 1.0).otherwise(0.0)
     return grouped.agg(
         F.count("*").alias("requests"), F.avg(failed).alias("error_rate"), F.approx_percentile("latency_ms", 0.5).alias("latency_ms_p50"),
@@ -158,14 +166,54 @@ def limiter_log(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "moment", "event_id").mapInArrow(decided, DECISIONS)
 
 
-def streamed_limiter(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS) -> DataFrame:
-    """The same over a stream: each user's state is the log of at most `limit` admitted moments."""
-
-    def decided(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        out, log = _decide(pd.concat(list(frames)), log, limit, window)
-        state.update((log,))
-        yield out
-
-    timed = _timed(requests).groupBy("user_id")
-    return timed.applyInPandasWithState(decided, DECISIONS, "log array<double>", "append", GroupStateTimeout.NoTimeout)
+class _Limiter(StatefulProcessor):
+    """A user's requests wait until the watermark has passed them, and are then decided in time order."""
+
+    def __init__(self, limit: int, window: float):
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, moment double")
+        self.log = handle.getListState("log", "moment double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for event, moment in zip(frame["event_id"].tolist(), frame["moment"].tolist(), strict=True):
+                self.waiting.appendValue((event, moment))
+            for due in sorted(set((frame["moment"] * 1000).astype("int64") + 1)):
+                self.handle.registerTimer(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        log = [m for (m,) in self.log.get()] if self.log.exists() else []
+        due = [(key[0], e, m) for e, m in held if m < passed]
+        if due:
+            rest = [x for x in held if x[1] >= passed]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            out, log = _decide(pd.DataFrame(due, columns=["user_id", "event_id", "moment"]), log, self.limit, self.window)
+            yield out
+        log = [m for m in log if m >= passed - self.window]
+        if log:
+            self.log.put([(m,) for m in log])
+            # a user who does not come back leaves no state
+            self.handle.registerTimer(int((log[-1] + self.window) * 1000) + 2)
+        else:
+            self.log.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def streamed_limiter(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS, late: str = "1 minute") -> DataFrame:
+    """The same over a stream whose rows come up to `late` out of order: a decision is made once the watermark has passed its request.
+
+    A user's state is what waits for the watermark and the log of at most `limit` admitted moments; both go
+    when the window has passed. Later rows than the watermark allows are dropped. Needs the RocksDB state store, which this sets.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    moment = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("moment")
+    timed = requests.withWatermark("ts", late).select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), "ts", moment)
+    return timed.groupBy("user_id").transformWithStateInPandas(_Limiter(limit, window), DECISIONS, "Append", "EventTime")

@@ -354,3 +354,20 @@ def test_hybrid_openings_are_all_passages(spark, tmp_path):
     spark.createDataFrame([(i, f"document{i}") for i in range(60, 80)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.job_id, r.resume_id) for r in matching.hybrid_retrieval(spark, str(tmp_path)).collect()}
     assert got == {(job, resume) for job in range(60) for resume in range(60, 80)}
+
+
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    from matchloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "RANGES", 8)
+    monkeypatch.setattr(quantiles, "FEW", 3)
+    rng = random.Random(6)
+    rows = [("a", rng.lognormvariate(0, 4)) for _ in range(900)] + [("b", float(rng.randint(0, 3))) for _ in range(300)] + [("c", 5.0)] * 400 + [(None, x * 1e300) for x in (-1.7, 0.0, 1.7, 1.2)]
+    rows += [("a", None), ("a", float("nan")), ("none", None), ("two", 1.0), ("two", 2.0), ("one", 7.0)]
+    table = spark.createDataFrame(rows, "g string, x double")
+    points = [0.0, 0.1, 0.25, 0.5, 0.9, 0.95, 1.0]
+    got = {(r.g, r.point): r.value for r in quantiles.exact_quantiles(table, "x", points, "g").collect()}
+    exact = table.where("not isnan(x)").groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("q")).collect()
+    wanted = {(r.g, p): v for r in exact for p, v in zip(points, r.q or [])}
+    assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], rel=1e-12) for k in wanted)
+    assert quantiles.exact_quantiles(table.limit(0), "x", points, "g").count() == 0

@@ -1,8 +1,11 @@
+import os
+import random
+import shutil
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from matchloom.streaming import jobs
+from matchloom.streaming import jobs, sketches
 
 START = datetime(2024, 1, 1)
 REQUESTS = "event_id long, ts timestamp, user_id long, method string, path string, status_code int, latency_ms double"
@@ -23,11 +26,59 @@ def test_limiter_batch_and_stream(spark, tmp_path):
     batch = requests(spark, [0, 1, 2, 3, 4, 5, 180, 181, 400]).unionByName(requests(spark, [0, 500, 501], 2))
     decided = {(r.user_id, r.event_id): (r.allowed, r.remaining, r.retry_after) for r in jobs.limiter_log(batch).collect()}
     assert decided[1, 5] == (False, 0, 175.0) and decided[1, 6] == (False, 0, 0.0) and decided[1, 7] == (True, 0, 0.0) and decided[1, 8] == (True, 4, 0.0)
-    batch.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = jobs.streamed_limiter(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in"))
+
+
+def test_limiter_stream_out_of_order_equals_the_batch(spark, tmp_path):
+    rng = random.Random(3)
+    moments = {1: [0, 1, 2, 3, 4, 5, 180, 181, 400], 2: [0, 170, 175], 3: [rng.uniform(0, 600) for _ in range(40)]}
+    rows = sorted((s, u) for u, own in moments.items() for s in own)
+    batch = spark.createDataFrame([(i, START + timedelta(seconds=s), u, "GET", "/a", 200, 1.0) for i, (s, u) in enumerate(rows)], REQUESTS)
+    # rows come up to 50 seconds out of order, in many small batches; the last one moves the watermark past all others
+    shuffled = sorted(batch.collect(), key=lambda r: r.ts.timestamp() + rng.uniform(0, 50))
+    parts = [shuffled[i : i + 9] for i in range(0, len(shuffled), 9)] + [[(10**6 + i, START + timedelta(seconds=5000 + i), 9, "GET", "/a", 200, 1.0)] for i in range(2)]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, REQUESTS).coalesce(1).write.parquet(f"{tmp_path}/part{i}")
+        file = next((tmp_path / f"part{i}").glob("*.parquet"))
+        target = tmp_path / "in" / f"{i:03}.parquet"
+        shutil.copy(file, target)
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    source = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = jobs.streamed_limiter(source)
     query = stream.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {(r.user_id, r.event_id): (r.allowed, r.remaining, r.retry_after) for r in spark.table("limited").collect()} == decided
+    got = {(r.user_id, r.event_id): (r.allowed, r.remaining, r.retry_after) for r in spark.table("limited").collect() if r.event_id < 10**6}
+    assert got == {(r.user_id, r.event_id): (r.allowed, r.remaining, r.retry_after) for r in jobs.limiter_log(batch).collect()}
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "log").load()
+    assert {r.key.user_id for r in state.collect()} <= {9}  # idle users have left no log
+
+
+def test_sketches_merge_upwards(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, START + timedelta(seconds=rng.uniform(0, 86_000)), 1, "GET", rng.choice(["/a", "/b", "/ui/x"]), rng.choice([200, 500, None]), rng.lognormvariate(3, 1)) for i in range(20_000)]
+    batch = spark.createDataFrame(rows, REQUESTS)
+    stored = sketches.latency_sketches(batch, "10 minutes")
+    stored.write.parquet(f"{tmp_path}/minutes")
+    merged = sketches.sketched_metrics(sketches.rolled_up(spark.read.parquet(f"{tmp_path}/minutes"), "endpoint")).collect()
+    assert {r.endpoint for r in merged} == {"GET /a", "GET /b"}
+    for r in merged:
+        own = [x for x in rows if f"GET {x[4]}" == r.endpoint]
+        assert r.requests == len(own) and abs(r.error_rate - sum(x[5] != 200 for x in own) / len(own)) < 1e-12
+        for value, point in ((r.latency_ms_p50, 0.5), (r.latency_ms_p95, 0.95)):
+            assert abs(sum(x[6] <= value for x in own) / len(own) - point) < 0.03
+    batch.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = sketches.latency_sketches(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in"), "10 minutes", "0 seconds")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    last = out.agg(F.max("start")).first()[0]
+    assert out.agg(F.sum("requests")).first()[0] == stored.where(F.col("start") <= last).agg(F.sum("requests")).first()[0] > 10_000
+
+
+def test_pages_and_exceptions(spark):
+    rows = [(1, START, 1, "GET", "/a", None, 5.0), (2, START, 1, "GET", "/ui/x", 200, 7.0), (3, START, 1, "GET", "/a", 200, 1.0), (4, START, 1, "GET", None, 200, 1.0)]
+    out = {r.endpoint: r for r in jobs.request_metrics(spark.createDataFrame(rows, REQUESTS)).collect()}
+    assert out.keys() == {"*", "GET /a", "GET"} and out["GET /a"].error_rate == 0.5 and out["*"].requests == 3
 
 
 def test_streamed_metrics(spark, tmp_path):
