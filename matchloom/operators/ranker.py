@@ -1,4 +1,4 @@
-"""A pairwise ranker in Spark ML: training, search, scores, contributions and importance.
+"""A pairwise ranker: training, search, scores, contributions and importance.
 
 The loss is the logistic loss of pairs within an opening, each weighted by what swapping the two would
 change in DCG (gain of the labels times discount of the positions), on standardised features. Its model
@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.features import FEATURES
-from matchloom.operators.metrics import overall_metrics
+from matchloom.operators.metrics import overall_metrics, per_job_metrics
+from matchloom.sources.tables import written
 
 # Gain of labels 0 to 4.
 LABEL_GAIN = [0.0, 1.0, 2.0, 4.0, 8.0]
@@ -69,7 +71,7 @@ def gain(label: Column) -> Column:
 
 
 def training_pairs(rows: DataFrame, columns: list[str], scales: dict[str, float]) -> DataFrame:
-    """Differences of scaled features of pairs within an opening with different labels, better minus worse, each also turned round.
+    """diff (scaled features, better minus worse) and weight of every pair within an opening with different labels.
 
     A column `weight` of rows, if there is one, multiplies the weights of their pairs. Pools of an opening are bounded (a few hundred rows), so the self join on job_id is bounded by pool size times rows.
     """
@@ -79,22 +81,74 @@ def training_pairs(rows: DataFrame, columns: list[str], scales: dict[str, float]
     slim = rows.select("job_id", own.alias("own"), gain(F.col("final_label")).alias("gain"), (1 / F.log2(place + 1.0)).alias("discount"), vector.alias("x"))
     worse = slim.select("job_id", *[F.col(c).alias(f"{c}_w") for c in ("own", "gain", "discount", "x")])
     pairs = slim.join(worse, "job_id").where("gain > gain_w")
-    weighted = pairs.select(
+    return pairs.select(
         F.zip_with("x", "x_w", lambda a, b: a - b).alias("diff"), (F.col("own") * F.col("own_w") * F.abs((F.col("gain") - F.col("gain_w")) * (F.col("discount") - F.col("discount_w")))).alias("weight")
     ).where("weight > 0")
-    turned = F.explode(F.array(F.struct(F.col("diff").alias("x"), F.lit(1.0).alias("label")), F.struct(F.transform("diff", lambda a: -a).alias("x"), F.lit(0.0).alias("label"))))
-    return weighted.select(turned.alias("s"), "weight").select(array_to_vector("s.x").alias("features"), "s.label", "weight")
 
 
-def fit_ranker(rows: DataFrame, columns: list[str] = FEATURES, **params) -> LinearRanker:
-    """Fit on labelled pairs: job_id, resume_id, retrieval_rank, final_label, the feature columns, and perhaps row weights (weight)."""
+def pair_sums(blocks: DataFrame, shape: tuple[int, int], function: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all blocks of pairs of function(diffs, weights), a small matrix."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for diffs, weights in zip(batch.column(0), batch.column(1), strict=True):
+                w = np.frombuffer(weights.as_py())
+                total += function(np.frombuffer(diffs.as_py()).reshape(len(w), -1), w)
+        i, j = np.indices(shape).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], ["i", "j", "value"])
+
+    out = np.zeros(shape)
+    for r in blocks.mapInArrow(summed, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
+        out[r["i"], r["j"]] = r["value"]
+    return out
+
+
+def fit_rankers(rows: DataFrame, settings: list[dict], columns: list[str] = FEATURES) -> list[LinearRanker]:
+    """One ranker for each setting (regParam, elasticNetParam, maxIter), all fitted in the same passes.
+
+    rows: job_id, resume_id, retrieval_rank, final_label, the feature columns, and perhaps row weights (weight). The pairs are
+    made and packed once; an iteration adds up the gradients of all settings in one aggregate. Steps are accelerated proximal
+    ones, as long as the pairs' second moments allow; a setting stands still after its maxIter steps. Only sums over pairs, columns times settings, come to the driver.
+    """
     values = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
     stats = rows.agg(*[F.avg(v).alias(f"m_{c}") for c, v in values.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in values.items()]).first()
     scales = {c: stats[f"s_{c}"] or 1.0 for c in columns}
-    options = {"maxIter": 40, "regParam": 0.01, "elasticNetParam": 0.0} | params
-    model = LogisticRegression(fitIntercept=False, weightCol="weight", standardization=False, **options).fit(training_pairs(rows, columns, scales))
-    weights = {c: float(w) / scales[c] for c, w in zip(columns, model.coefficients.toArray(), strict=True)}
-    return LinearRanker(weights, {c: float(stats[f"m_{c}"] or 0.0) for c in columns})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(0).flatten().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["diffs", "weights"])
+
+    blocks = written(training_pairs(rows, columns, scales).mapInArrow(packed, "diffs binary, weights binary"), "pair-blocks")
+    width = len(columns)
+    # second moments, and in the last row the weights' sum
+    moments = pair_sums(blocks, (width + 1, width), lambda x, w: np.vstack([x.T @ (x * w[:, None]), np.full(width, w.sum())]))
+    total = moments[-1, 0] or 1.0
+    reach = float(np.linalg.eigvalsh(moments[:-1] / total)[-1]) / 4
+    options = [{"maxIter": 40, "regParam": 0.01, "elasticNetParam": 0.0} | s for s in settings]
+    reg, mix, most = (np.array([o[k] for o in options], float) for k in ("regParam", "elasticNetParam", "maxIter"))
+    step = 1 / (reach + reg * (1 - mix) + 1e-12)
+    now, ahead, momentum = np.zeros((width, len(options))), np.zeros((width, len(options))), 1.0
+    for turn in range(int(most.max(initial=0))):
+
+        def gradient(x: np.ndarray, w: np.ndarray, at: np.ndarray = ahead) -> np.ndarray:
+            return x.T @ (-w[:, None] / (1 + np.exp(np.clip(x @ at, -50, 50))))
+
+        slope = pair_sums(blocks, ahead.shape, gradient) / total + reg * (1 - mix) * ahead
+        moved = ahead - step * slope
+        shrunk = np.sign(moved) * np.maximum(np.abs(moved) - step * reg * mix, 0)
+        following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        live = turn < most
+        now, ahead = np.where(live, shrunk, now), np.where(live, shrunk + (momentum - 1) / following * (shrunk - now), ahead)
+        momentum = following
+    means = {c: float(stats[f"m_{c}"] or 0.0) for c in columns}
+    return [LinearRanker({c: float(w) / scales[c] for c, w in zip(columns, own, strict=True)}, means) for own in now.T]
+
+
+def fit_ranker(rows: DataFrame, columns: list[str] = FEATURES, **params) -> LinearRanker:
+    """The ranker of one setting; see fit_rankers."""
+    return fit_rankers(rows, [params], columns)[0]
 
 
 def score_pairs(rows: DataFrame, ranker: Ranker, score: str = "pred") -> DataFrame:
@@ -141,21 +195,38 @@ def feature_importance(spark: SparkSession, ranker: LinearRanker, rows: DataFram
     return spark.createDataFrame(table, "feature string, weight double, importance double")
 
 
-def random_search(train: DataFrame, valid: DataFrame, trials: int, columns: list[str] = FEATURES, seed: int = 42) -> tuple[list[dict], dict]:
-    """Seeded random search: (all trials, best parameters by ndcg_10 on valid). A trial that fails is recorded and skipped."""
-    chooser, table = random.Random(seed), []
+def trial_metrics(rows: DataFrame, rankers: dict[int, LinearRanker], metric: str = SEARCH_METRIC) -> dict[int, float]:
+    """The metric of every ranker on rows, in one pass: each opening comes once for every trial."""
+    scores = F.array(*[F.struct(F.lit(n).alias("trial"), F.round(r.score(), 9).alias("pred")) for n, r in rankers.items()])
+    scored = rows.select("job_id", "resume_id", "final_label", F.explode(scores).alias("s")).select(F.concat_ws("|", "s.trial", "job_id").alias("job_id"), "resume_id", "final_label", "s.pred")
+    per_job = per_job_metrics(scored).withColumn("trial", F.substring_index("job_id", "|", 1).cast("int"))
+    return {r["trial"]: r["metric"] for r in per_job.groupBy("trial").agg(F.round(F.coalesce(F.avg(metric), F.lit(0.0)), 6).alias("metric")).collect()}
+
+
+def random_search(train: DataFrame, valid: DataFrame, trials: int, columns: list[str] = FEATURES, seed: int = 42, space: dict[str, list] | None = None) -> tuple[list[dict], dict]:
+    """Seeded random search: (all trials, best parameters by ndcg_10 on valid), all trials fitted and scored together.
+
+    A trial with settings that cannot be fitted, or without finite weights, is recorded and skipped.
+    """
+    chooser, table, rankers, space = random.Random(seed), [], {}, space or SEARCH_SPACE
     for number in range(trials):
-        params = {k: chooser.choice(v) for k, v in SEARCH_SPACE.items()}
-        try:
-            metrics = overall_metrics(score_pairs(valid, fit_ranker(train, columns, **params))).first().asDict()
-            table.append({"trial": number, **params, "metric": metrics[SEARCH_METRIC], "error": None})
-        except Exception as error:  # a failed trial must not end the search
-            table.append({"trial": number, **params, "metric": None, "error": str(error)[:200]})
+        params = {k: chooser.choice(v) for k, v in space.items()}
+        fits = params["regParam"] >= 0 and 0 <= params["elasticNetParam"] <= 1 and params["maxIter"] > 0
+        table.append({"trial": number, **params, "metric": None, "error": None if fits else f"no such setting: {params}"})
+    usable = [t for t in table if t["error"] is None]
+    for t, ranker in zip(usable, fit_rankers(train, [{k: t[k] for k in space} for t in usable], columns) if usable else [], strict=True):
+        if np.isfinite(list(ranker.weights.values())).all():
+            rankers[t["trial"]] = ranker
+        else:
+            t["error"] = "the weights are not finite"
+    found = trial_metrics(valid, rankers) if rankers else {}
+    for t in table:
+        t["metric"] = found.get(t["trial"])
     done = [t for t in table if t["metric"] is not None]
     if not done:
         raise RuntimeError("every trial failed")
     best = max(done, key=lambda t: (t["metric"], -t["trial"]))
-    return table, {k: best[k] for k in SEARCH_SPACE}
+    return table, {k: best[k] for k in space}
 
 
 def refit(train: DataFrame, valid: DataFrame, params: dict, columns: list[str] = FEATURES) -> LinearRanker:

@@ -521,8 +521,8 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ranker_search")
 def ranker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trial table of a short seeded search."""
-    train, valid, _ = (part.persist() for part in _split_rows(spark, sf_dir))
-    trials, _ = ranker.random_search(train, valid, 3)
+    train, valid, _ = _split_rows(spark, sf_dir)
+    trials, _ = ranker.random_search(train, valid, 12)
     return spark.createDataFrame(trials, "trial int, regParam double, elasticNetParam double, maxIter int, metric double, error string")
 
 

@@ -297,8 +297,26 @@ def test_ranker(spark):
     assert metrics.overall_metrics(scored).first().ndcg_10 > 0.85
     with pytest.raises(ValueError, match="x"):
         ranker.score_pairs(pairs.drop("x"), model)
-    trials, best = ranker.random_search(pairs, pairs, 2, ["x", "z"])
-    assert len(trials) == 2 and best == ranker.random_search(pairs, pairs, 2, ["x", "z"])[1]
+    space = {"regParam": [0.001, 0.5, -1.0], "elasticNetParam": [0.0, 0.5], "maxIter": [3, 8]}
+    trials, best = ranker.random_search(pairs, pairs, 7, ["x", "z"], seed=3, space=space)
+    assert len(trials) == 7 and best == ranker.random_search(pairs, pairs, 7, ["x", "z"], seed=3, space=space)[1]
+    failed = [t for t in trials if t["regParam"] < 0]
+    assert failed and all(t["metric"] is None and t["error"] for t in failed)
+    for t in [t for t in trials if t not in failed][:2]:  # all trials at once give what each gives alone
+        alone = ranker.fit_ranker(pairs, ["x", "z"], **{k: t[k] for k in space})
+        assert t["metric"] == metrics.overall_metrics(ranker.score_pairs(pairs, alone)).first()["ndcg_10"]
+    with pytest.raises(RuntimeError, match="every trial failed"):
+        ranker.random_search(pairs, pairs, 2, ["x", "z"], space=space | {"regParam": [-1.0]})
+    # the fit is the minimum of the weighted logistic loss with its penalty
+    import numpy as np
+
+    fitted = ranker.fit_ranker(pairs, ["x", "z"], regParam=1.0, maxIter=40)
+    scales = {c: pairs.select(F.stddev_pop(c)).first()[0] for c in ("x", "z")}
+    rows = ranker.training_pairs(pairs, ["x", "z"], scales).collect()
+    diff, weight = np.array([r.diff for r in rows]), np.array([r.weight for r in rows])
+    w = np.array([fitted.weights[c] * scales[c] for c in ("x", "z")])
+    slope = -(diff * (weight / (1 + np.exp(diff @ w)))[:, None]).sum(0) / weight.sum() + 1.0 * w
+    assert np.abs(slope).max() < 1e-5
 
 
 def test_split_shares_no_opening(spark):
