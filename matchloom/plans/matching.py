@@ -462,6 +462,32 @@ def _share_sql(feature: int) -> str:
 TREE_IMPACTS_SQL = f"{L}, i as (" + " union all ".join(f"select job_id, resume_id, '{f}' as feature, {_share_sql(i)} as impact from labelled" for i, f in enumerate(FOREST.features)) + ")"
 
 
+OTHER = ranker.LinearRanker({"embedding_cosine": -1.0, "skill_overlap_ratio": 1.0, "title_overlap_ratio": 2.0, "years_gap": -0.2}, FIXED.means)
+
+
+def _linear_sql(model: ranker.LinearRanker) -> str:
+    return f"round({' + '.join(f'({w}::double) * {c}' for c, w in model.weights.items())}, 9)"
+
+
+@query("linear_scores", f"{L} select job_id, resume_id, round({_linear_sql(FIXED)}, 6) as pred, row_number() over (partition by job_id order by {_linear_sql(FIXED)} desc, resume_id)::int as final_rank from labelled")
+def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ranker.score_pairs(fx.labelled(spark, sf_dir).drop("pred"), FIXED)
+    return scored.select("job_id", "resume_id", F.round("pred", 6).alias("pred"), "final_rank")
+
+
+@query("linear_importance", f"{L} " + " union all ".join(f"select '{c}' as feature, {w}::double as weight, round(abs({w}::double) * stddev_pop({c}), 6) as importance from labelled" for c, w in FIXED.weights.items()))
+def linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranker.feature_importance(spark, FIXED, fx.labelled(spark, sf_dir)).withColumn("importance", F.round("importance", 6))
+
+
+@query("trial_metrics", f"""{L}, tried as ({" union all ".join(f"select concat('{i}|', job_id) as job_id, resume_id, final_label, {_linear_sql(m)} as pred from labelled" for i, m in enumerate((FIXED, OTHER)))}),
+    {_ndcg_sql('tried')} select job_id[1]::int as trial, round(coalesce(avg(ndcg_10), 0), 6) as metric from nd group by 1""")
+def trial_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's metric of two given rankers, scored in one pass."""
+    found = ranker.trial_metrics(fx.labelled(spark, sf_dir), {0: FIXED, 1: OTHER})
+    return spark.createDataFrame(sorted(found.items()), "trial int, metric double")
+
+
 @query("tree_scores", f"""{L}, s as (select job_id, resume_id, round({" + ".join(_known_sql(t, {0, 1, 2}) for t in FOREST.trees)}, 6) as pred from labelled)
     select *, row_number() over (partition by job_id order by pred desc, resume_id)::int as final_rank from s""")
 def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
