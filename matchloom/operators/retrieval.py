@@ -91,12 +91,18 @@ def bm25_terms(jobs: DataFrame, resumes: DataFrame, max_df_share: float = 1.0) -
     A term's part of the relevance is the product of both weights. jobs: job_id, text; resumes: resume_id, text.
     Each distinct term of an opening counts once; max_df_share leaves out terms that more of the profiles have.
     """
-    hashed = resumes.select("resume_id", F.transform(terms(F.col("text")), lambda t: F.xxhash64(F.lit(0), t)).alias("tokens"))
+    words = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), "[^a-z0-9]+")
+    hashed = resumes.select("resume_id", F.transform(words, lambda t: F.xxhash64(F.lit(0), t)).alias("tokens"))
+    # stop words, and the empty words at the ends, are told by their hashes
+    unused = resumes.sparkSession.range(1).select(F.array(*[F.xxhash64(F.lit(0), F.lit(w)) for w in ("", *ENGLISH_STOP_WORDS)])).first()[0]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             owner, flat = np.repeat(np.arange(len(lengths)), lengths), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            used = ~np.isin(flat, unused)
+            owner, flat = owner[used], flat[used]
+            lengths = np.bincount(owner, minlength=len(lengths))
             order = np.lexsort((flat, owner))
             owner, flat = owner[order], flat[order]
             starts = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])][: len(flat)])

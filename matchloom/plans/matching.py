@@ -127,7 +127,7 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_retrieval(spark: SparkSession, sf_dir: str, resumes: DataFrame | None = None) -> DataFrame:
     asked, others = _hybrid_vectors(spark, sf_dir)
     near = retrieval.topk_cosine(asked, others, 100)
-    return retrieval.hybrid_retrieval(near, fx.text_jobs(spark, sf_dir), _profiles(spark, sf_dir) if resumes is None else resumes, 100)
+    return retrieval.hybrid_retrieval(near, fx.text_jobs(spark, sf_dir), fx.text_resumes(spark, sf_dir) if resumes is None else resumes, 100)
 
 
 @query("pool_missing_ids", f"with {fx.COSINE_SQL} select distinct resume_id from nearest where resume_id not in (select doc_id from documents where doc_id % 3 <> 0)")

@@ -150,6 +150,7 @@ def test_search_by_bounds_skips_groups_and_misses_nothing(spark, monkeypatch):
 
     monkeypatch.setattr(sparse, "BLOCK_TERMS", 3000)
     monkeypatch.setattr(sparse, "GROUP", 4)
+    monkeypatch.setattr(sparse, "FLOOR_BLOCKS", 1)
     rng = random.Random(12)
     items = [(i, f, [f"t{t}" for t in own], [rng.choice([0.5, 1.0, 2.0]) for _ in own]) for i in range(900) for f in (0, 1) if (own := rng.sample(range(400), rng.randint(0, 6)) + [400])]
     asked = [(q, f, [f"t{t}" for t in {*rng.sample(range(400), 5), 400}]) for q in range(40) for f in (0, 1)] + [(99, 0, ["unseen"])]
