@@ -115,13 +115,24 @@ class Matcher:
 
 
 def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items (id, text) in blocks of bounded size; null and empty items are left out."""
+    """Normalised items (id, text) in blocks that end with the item that fills them; null and empty items are left out.
+
+    Rows are dealt out evenly, whatever ids repeat, and come to the driver one part at a time: it holds no more
+    than a block and a part. An item longer than a block is a block, as it must be searched whole.
+    """
     usable = items.where("item_id is not null and text is not null").select("item_id", "text")
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    for block in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        yield [(r["item_id"], t) for r in sorted(rows, key=lambda r: (r["item_id"], r["text"])) if (t := normal_text(r["text"]))]
+    parts = -(-total // block_chars)
+    rows = usable.collect() if parts == 1 else usable.repartition(parts).toLocalIterator() if parts else []
+    block, chars = [], 0
+    for row in rows:
+        block.append((row["item_id"], normal_text(row["text"])))
+        chars += len(row["text"])
+        if chars >= block_chars:
+            yield sorted(x for x in block if x[1])
+            block, chars = [], 0
+    if block:
+        yield sorted(x for x in block if x[1])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -98,7 +98,7 @@ def leaf_budgets(
 
 def _keyed(docs: DataFrame, seed: str, epoch: Column, tokens: Column | None) -> list[Column]:
     source, lang = F.col("source"), F.col("lang")
-    key = F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))).cast("binary"))
     return [
         domain_of(source).alias("domain"), F.coalesce(lang, F.lit("")).alias("language"), F.coalesce(source, F.lit("")).alias("leaf_source"),
         (token_estimate(F.col("text")) if tokens is None else tokens.cast("long")).alias("tokens"), key.alias("order_key"),
@@ -109,7 +109,7 @@ def select_prefixes(docs: DataFrame, *, epochs: int = EPOCHS, seed: str = SEED,
     """The mixed epochs: doc_id, domain, language, leaf_source, epoch, tokens, order_key, end_token, budget.
 
     end_token is the leaf's running token count over all epochs; a row is chosen if it is within the
-    budget. Rows of one id stand or fall together; null languages and sources count as ''; empty texts
+    budget. Rows of one id stand or fall together, and so do rows without an id that have the same text; null languages and sources count as ''; empty texts
     have no tokens and come with the prefix they lie in; an empty table gives no rows.
     """
     leaf = list(LEVELS)
@@ -158,12 +158,12 @@ def mixed_sql(epochs: int = EPOCHS, budget_percent: int = BUDGET_PERCENT, seed:
     number = "try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as bigint)"
     domain = "coalesce(case " + " ".join(f"when {number} % {len(DOMAINS)} = {i} then '{d}'" for i, d in enumerate(DOMAINS)) + " end, 'other')"
     return f"""with d as (select doc_id, {domain} as domain, coalesce(lang, '') as language, coalesce(source, '') as leaf_source,
-            ((coalesce(octet_length(encode(text)), 0) + 3) // 4)::bigint as tokens from documents),
+            ((coalesce(octet_length(encode(text)), 0) + 3) // 4)::bigint as tokens, case when doc_id is null then md5(coalesce(text, '')) end as text_key from documents),
         held as (select domain, language, leaf_source, sum(tokens)::bigint held, sum(tokens)::bigint * {epochs} cap from d group by all having sum(tokens) > 0),
         {poured("dom", f"select domain, sum(cap)::bigint cap, {case(DOMAIN_WEIGHTS, 'domain')} weight, ((select sum(held) from held) * {budget_percent} // 100)::bigint budget from held group by domain", "", "domain")},
         {poured("lng", f"select h.domain, h.language, sum(h.cap)::bigint cap, {case(LANGUAGE_WEIGHTS, 'h.language')} weight, any_value(dom.share) budget from held h join dom using (domain) group by h.domain, h.language", "domain", "language")},
         {poured("src", f"select h.*, {SOURCE_WEIGHT}::bigint weight, lng.share budget from held h join lng using (domain, language)", "domain, language", "leaf_source")},
-        p as (select d.*, e.epoch::int as epoch, md5('{seed}|' || e.epoch || '|' || coalesce(doc_id::varchar, '')) as order_key from d, range({epochs}) e(epoch)),
+        p as (select d.*, e.epoch::int as epoch, md5('{seed}|' || e.epoch || '|' || coalesce(doc_id::varchar, text_key)) as order_key from d, range({epochs}) e(epoch)),
         r as (select p.*, src.share as budget, p.epoch * src.held + sum(p.tokens) over (partition by p.domain, p.language, p.leaf_source, p.epoch order by p.order_key) as end_token
             from p join src using (domain, language, leaf_source))
         select doc_id, domain, language, leaf_source, epoch, tokens, order_key, end_token::bigint as end_token, budget::bigint as budget from r where end_token <= budget"""

@@ -28,6 +28,8 @@ TOP_K = 5
 PIVOTS = 48
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 4096
+#: Components in a block, which then has fewer rows: 8 MB as whole numbers.
+BLOCK_VALUES = 1 << 20
 SCALE = 256
 QUERY_STEP = 50
 FIRST_STEP = 64
@@ -122,6 +124,12 @@ def sampled(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return chosen
 
 
+def _blocks(rows: DataFrame, most_rows: int, most_values: int) -> int:
+    """How many blocks keep both bounds."""
+    held = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)).alias("values")).first()
+    return max(1, -(-held["rows"] // most_rows), -(-held["values"] // most_values))
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -130,17 +138,17 @@ def top_k(
     pivots: int = PIVOTS,
     vector_block: int = VECTOR_BLOCK,
     query_block: int = QUERY_BLOCK,
+    block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Each query's k best vectors other than those with its own id: query_id, rank, vec_id, score.
 
     Both tables have id (long) and v (array of long, not null); other columns are not looked at. A query is
     compared with the vectors of its own length. Repeated ids are scored row by row; ties go to the smaller
-    id; an empty table gives no rows. Null ids are left out.
+    id; an empty table gives no rows. Null ids are left out. Blocks hold about block_values components at
+    most, however long the vectors are.
     """
     vectors, queries = vectors.where("id is not null"), queries.where("id is not null")
-    count = vectors.count()
-    asked = queries.count()
-    v_blocks, q_blocks = -(-count // vector_block) or 1, -(-asked // query_block) or 1
+    v_blocks, q_blocks = _blocks(vectors, vector_block, block_values), _blocks(queries, query_block, block_values)
     chosen = sampled(vectors)
     v_packed = pack(vectors, F.pmod(F.xxhash64("id", "v"), F.lit(v_blocks)), chosen, pivots, k).drop("floor")
     q_packed = pack(queries, F.pmod(F.xxhash64("id"), F.lit(q_blocks)), chosen, pivots, k)

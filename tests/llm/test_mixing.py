@@ -84,3 +84,13 @@ def test_clashing_names_and_long_texts(spark):
     assert sorted(map(tuple, mixing.select_prefixes(table).collect())) == sorted(map(tuple, mixing.select_prefixes(plain).collect()))
     out = mixing.mix_documents(table, budget_percent=70)
     assert out.columns == table.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in mixing.mix_documents(plain, budget_percent=70).collect()}
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None if i % 2 else i, f"text {i} of ten bytes or more", "en", "src1", "x") for i in range(400)]
+    chosen = mixing.select_prefixes(spark.createDataFrame(rows, SCHEMA), epochs=1, budget_percent=50).collect()
+    without = sum(r.doc_id is None for r in chosen)
+    assert 60 <= without <= 140 and 180 <= len(chosen) <= 220
+    copies = spark.createDataFrame([(None, t, "en", "src1", "x") for t in ["same text here"] * 30 + [None] * 5 + [f"other text {i:02}" for i in range(30)]], SCHEMA)
+    out = [r.text for r in mixing.mix_documents(copies, budget_percent=60).collect()]
+    assert out.count("same text here") in (0, 30) and out.count(None) in (0, 5) and any("other" in t for t in out if t)

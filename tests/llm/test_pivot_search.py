@@ -57,3 +57,12 @@ def test_hundreds_of_equal_vectors_in_one_block():
         exact = vectors @ query[0]
         assert rows[0].tolist() == np.lexsort((ids, -exact))[:5].tolist()
         assert scores[0].tolist() == exact[rows[0]].tolist()
+
+
+def test_blocks_by_components(spark):
+    rows = vectors(120, 300, 3)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    table = table.selectExpr("vec_id as id", "embedding").select("id", pivot_search.quantised(table.embedding).alias("v")).where("v is not null")
+    assert pivot_search._blocks(table, 4096, 10_000) >= 120 * 300 // 10_000 and pivot_search._blocks(table.limit(0), 4096, 10_000) == 1
+    out = pivot_search.top_k(table, table.where("id % 10 = 0"), 3, block_values=10_000)
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()} == brute(rows, 3, 10)

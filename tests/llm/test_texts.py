@@ -204,3 +204,16 @@ def test_very_long_texts(spark):
 def test_empty(spark):
     assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), key=KEY).count() == 0
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blocks_of_repeated_and_long_items(spark):
+    texts = [f"passage number {i} on the making of bread and cheese" for i in range(40)] + ["one long item " * 60]
+    items = spark.createDataFrame([(7, t) for t in texts] + [(8, texts[0])] * 3 + [(9, None), (None, "x"), (10, "")], "item_id long, text string")
+    blocks = list(decontamination.item_blocks(items, 300))
+    assert len(blocks) > 5 and sum(map(len, blocks)) == 44
+    assert all(sum(len(t) for _, t in b) <= 300 + max(len(t) for _, t in b) for b in blocks)
+    docs = spark.createDataFrame([(1, texts[3]), (2, "nothing of the kind"), (3, texts[40]), (4, texts[0])], "doc_id long, text string")
+    wide, narrow = ({tuple(r) for r in decontamination.find_leaks(docs, items, block_chars=n).collect()} for n in (10**6, 700))
+    assert wide == narrow and {r[0] for r in wide} == {1, 3, 4}
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, items, block_chars=700).collect()} == {2}
+    assert list(decontamination.item_blocks(items.limit(0), 300)) == []
