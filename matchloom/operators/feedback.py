@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.functions.snapshots import snapshot_fields
+
 # Labels of decisions, snapshot keys a training pair must have, weights and the least number of rows.
 DECISION_LABEL = {"reject": 0, "maybe": 2, "accept": 3, "interview": 4}
 REQUIRED_KEYS = [
@@ -28,11 +30,11 @@ def group_key(*columns: str) -> Column:
 
 
 def feedback_pairs(feedback: DataFrame) -> DataFrame:
-    """Training pairs from feedback rows with feature_snapshot JSON; rows lacking a required key or a label go.
+    """Training pairs from feedback rows with a feature_snapshot (JSON or VARIANT); rows lacking a required key or a label go.
 
     feedback: run_id, vacancy_id, existing_job_id, resume_id, decision, final_rank, feature_snapshot.
     """
-    parsed = feedback.withColumn("snapshot", F.from_json("feature_snapshot", SNAPSHOT_SCHEMA))
+    parsed = feedback.withColumn("snapshot", snapshot_fields(feedback, SNAPSHOT_SCHEMA))
     pairs = parsed.select(
         group_key("existing_job_id", "vacancy_id", "run_id").alias("job_id"), F.col("resume_id").cast("string").alias("resume_id"),
         decision_label(F.col("decision")).alias("final_label"), *[F.col(f"snapshot.{k}").alias(k) for k in REQUIRED_KEYS],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions.snapshots import snapshot_fields
 from matchloom.functions.text import preview
 
 # Limits, statuses, buckets and thresholds of the reports.
@@ -73,7 +74,7 @@ def board(feedback: DataFrame) -> DataFrame:
     The snapshot holds the BOARD_FIELDS of the feedback's feature_snapshot, {} if it has none that can be read.
     """
     first, last = F.struct("created_at", "feedback_id"), F.struct("updated_at", "feedback_id")
-    kept = F.coalesce(F.to_json(F.from_json("feature_snapshot", BOARD_FIELDS)), F.lit("{}")).alias("candidate_snapshot")
+    kept = F.coalesce(F.to_json(snapshot_fields(feedback, BOARD_FIELDS)), F.lit("{}")).alias("candidate_snapshot")
     rows = feedback.groupBy("user_id", "run_id", "resume_id").agg(
         F.min_by(F.struct("score", "final_rank", "job_title", "feature_snapshot"), first).alias("first"), F.max_by(F.struct("decision", "note", "updated_at"), last).alias("last"), F.min("created_at").alias("created_at"),
     )
@@ -112,17 +113,36 @@ def match_bucket(flag: Column) -> Column:
 
 def bucketed(candidates: DataFrame, by: str) -> DataFrame:
     """Candidates with the snapshot parsed once and group_value of the grouping: experience, skill or match."""
-    parsed = candidates.withColumn("s", F.from_json("feature_snapshot", SNAPSHOT_FIELDS))
-    value = {"experience": experience_bucket(F.col("s.resume_years_experience")), "skill": skill_bucket(F.col("s.skill_overlap_count")), "match": match_bucket(F.col("s.experience_match_flag"))}[by]
-    return parsed.select("run_id", "candidate_id", "user_id", "final_rank", "score", F.col("s.embedding_cosine").alias("cosine"), F.col("s.resume_years_experience").alias("years"), value.alias("group_value"))
+    parsed = candidates.withColumn("s", snapshot_fields(candidates, SNAPSHOT_FIELDS))
+    return parsed.withColumn("group_value", _buckets()[by]).selectExpr(*_AUDITED, "group_value")
+
+
+_AUDITED = ["run_id", "candidate_id", "user_id", "final_rank", "score", "s.embedding_cosine as cosine", "s.resume_years_experience as years"]
+
+
+def _buckets() -> dict[str, Column]:
+    return {"experience": experience_bucket(F.col("s.resume_years_experience")), "skill": skill_bucket(F.col("s.skill_overlap_count")), "match": match_bucket(F.col("s.experience_match_flag"))}
 
 
 def fairness(candidates: DataFrame, feedback: DataFrame, cutoff: int, by: str) -> DataFrame:
     """Selection and feedback by group. feedback: candidate_id, user_id, decision (one row each)."""
     joined = bucketed(candidates, by).join(feedback.select("candidate_id", "user_id", "decision"), ["candidate_id", "user_id"], "left")
+    return _audited(joined, cutoff, "group_value")
+
+
+def fairness_groupings(candidates: DataFrame, feedback: DataFrame, cutoff: int) -> DataFrame:
+    """Selection and feedback by all three groupings at once, named in `grouping`: snapshots are read, and feedback joined, once."""
+    parsed = candidates.withColumn("s", snapshot_fields(candidates, SNAPSHOT_FIELDS))
+    groups = F.array(*[F.struct(F.lit(name).alias("grouping"), value.alias("group_value")) for name, value in _buckets().items()])
+    joined = parsed.selectExpr(*_AUDITED, "s").withColumn("groups", groups).drop("s")
+    joined = joined.join(feedback.select("candidate_id", "user_id", "decision"), ["candidate_id", "user_id"], "left")
+    return _audited(joined.select("*", F.inline("groups")), cutoff, "grouping", "group_value")
+
+
+def _audited(joined: DataFrame, cutoff: int, *keys: str) -> DataFrame:
     good, bad = F.col("decision").isin("accept", "interview"), F.col("decision") == "reject"
     chosen = F.count_if(F.col("final_rank") <= cutoff)
-    return joined.groupBy("group_value").agg(
+    return joined.groupBy(*keys).agg(
         F.count("*").alias("candidates_total"), chosen.alias("candidates_selected"), F.round(chosen / F.count("*"), 6).alias("selection_rate"),
         F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.avg("cosine"), 4).alias("mean_cosine"), F.round(F.avg("years"), 4).alias("mean_years"),
         F.count_if(good).alias("feedback_positive"), F.count_if(bad).alias("feedback_negative"),

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as tx
+from matchloom.functions.snapshots import parsed_snapshots, snapshot_fields
 from matchloom.operators import feedback as fb
 from matchloom.operators import quantiles, reports, shortlist
 from matchloom.plans import fixtures as fx
 from matchloom.sources import tables
 from matchloom.sources.tables import written
 from matchloom.streaming import jobs as st
-from matchloom.streaming import sketches
+from matchloom.streaming import sketches, versions
 
 QUERIES, ORACLES = {}, {}
 H = f"with {fx.HISTORY_SQL}"
@@ -74,6 +75,17 @@ def feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.feedback_latest(fx.feedback(spark, sf_dir))
 
 
+@query("upserted_feedback", f"{H}, {LATEST_SQL} select user_id, candidate_id, decision, rating, note, created_at, updated_at from latest")
+def upserted_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a table that three batches, out of order, have been merged into."""
+    path = tables.scratch_path(spark, "feedback")
+    rows = fx.feedback(spark, sf_dir).select("user_id", "candidate_id", "decision", "rating", "note", F.col("updated_at").alias("created_at"), "updated_at", "feedback_id")
+    write = versions.versioned_upserts(path, ["user_id", "candidate_id"], ["updated_at", "feedback_id"], {"created_at": "updated_at"}, bucket_rows=20_000)
+    for epoch in range(3):
+        write(rows.where(F.col("feedback_id") % 3 == 2 - epoch), epoch)
+    return versions.read_upserts(spark, path).drop("feedback_id")
+
+
 @query("feedback_by_run", f"{H}, {LATEST_SQL} select l.user_id, l.candidate_id, l.decision, c.run_id, c.final_rank from latest l join candidates c using (candidate_id) where l.candidate_id % 4 <> 0")
 def feedback_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = feedback_latest(spark, sf_dir)
@@ -140,6 +152,13 @@ def _fairness(by: str):
 GROUPS = {by: _fairness(by) for by in BUCKET}
 
 
+@query("fairness_stored", H + " " + " union all ".join(f"select '{by}' as grouping, * from (with {_fairness_sql(by)} select * from groups)" for by in BUCKET))
+def fairness_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three groupings of candidates whose snapshots were stored as VARIANT."""
+    stored = written(parsed_snapshots(fx.candidates(spark, sf_dir)), "candidates")
+    return reports.fairness_groupings(stored, feedback_latest(spark, sf_dir), 2)
+
+
 @query("parity_ratio", f"""{H}, {_fairness_sql("experience")}, able as (select * from groups where group_value <> 'unknown' and candidates_total >= 5)
     select count(*) as eligible_groups, case when count(*) >= 2 and max(selection_rate) > 0 then round(min(selection_rate) / max(selection_rate), 6) end as parity_ratio,
     case when count(*) >= 2 and max(selection_rate) > 0 then (select group_value from able order by selection_rate desc, group_value limit 1) end as reference_group,
@@ -223,8 +242,9 @@ def _prompts(mode: str):
         words = F.array().cast("array<string>")
         vacancies = fx.vacancies(spark, sf_dir).select("vacancy_id", "title", "description")
         about = fx.runs(spark, sf_dir).select("run_id", "vacancy_id").join(vacancies, "vacancy_id", "left").select("run_id", F.coalesce("title", F.lit("open vacancy")).alias("job_title"), F.col("description").alias("job_description"))
-        snapshot = F.from_json("feature_snapshot", "resume_years_experience double, job_years_required double, skill_overlap_ratio double")
-        cards = fx.candidates(spark, sf_dir).where("final_rank <= 3").withColumn("s", snapshot).join(about, "run_id").select(
+        shown = fx.candidates(spark, sf_dir).where("final_rank <= 3")
+        snapshot = snapshot_fields(shown, "resume_years_experience double, job_years_required double, skill_overlap_ratio double")
+        cards = shown.withColumn("s", snapshot).join(about, "run_id").select(
             "run_id", "job_title", "job_description", "final_rank", ((100 - F.col("final_rank")) / 100.0).alias("final_fusion_score"), "s.*", F.array(F.lit("sql"), F.lit("spark")).alias("matched_skills"),
             F.when(F.col("resume_id") % 2 == 0, F.array(F.lit("go"))).otherwise(words).alias("missing_skills"), F.when(F.col("resume_id") % 3 == 0, F.lit("Fits.")).alias("experience_summary"),
             F.when(F.col("resume_id") % 5 == 0, F.array(*map(F.lit, "abcx"))).alias("strengths"), F.when(F.col("resume_id") % 5 == 0, F.array(F.lit("d"))).alias("weaknesses"),

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SNAPSHOT_KEYS = [
@@ -97,16 +97,11 @@ def replay_hits(saved: DataFrame, top_k: int, group: str = "job_id") -> DataFram
     return ranked.withColumn("replay_order", F.row_number().over(order)).where(F.col("replay_order") <= top_k)
 
 
-def snapshot_json(columns: list[str] | None = None) -> Column:
-    """The feature snapshot of a candidate as JSON."""
-    return F.to_json(F.struct(*(columns or SNAPSHOT_KEYS)))
-
-
 def append_run(runs: DataFrame, candidates: DataFrame, runs_path: str, candidates_path: str) -> None:
-    """Append runs and their candidates, with the snapshot and the explanation as JSON columns."""
+    """Append runs and their candidates, with the snapshot as VARIANT, which reports read by path, and the explanation as JSON text."""
     runs.write.mode("append").parquet(runs_path)
     kept = ["run_id", "final_rank", "resume_id", "final_fusion_score", "model_score", "retrieval_rank"]
-    rows = candidates.select(*kept, snapshot_json().alias("feature_snapshot"), F.to_json("explanation").alias("explanation_json"))
+    rows = candidates.select(*kept, F.to_variant_object(F.struct(*SNAPSHOT_KEYS)).alias("feature_snapshot"), F.to_json("explanation").alias("explanation_json"))
     rows.write.mode("append").parquet(candidates_path)
 
 

@@ -74,24 +74,15 @@ def upsert_batch(path: str, keys: list[str], order: list[str], first: dict[str,
     first maps columns that keep the value of the key's first row to the columns they are taken from there
     (created_at from updated_at; score from score). Only the buckets that a batch touches are rewritten. The
     merged buckets are written beside the table first, so a run that ends between the two writes loses
-    nothing; a batch that is replayed changes nothing.
+    nothing; a batch that is replayed changes nothing. Any Parquet reader reads the table, but may meet half a
+    batch, and the buckets do not grow in number: versioned_upserts has neither limit.
     """
     first = first or {}
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        firsts = {c: f"_first_{i}" for i, c in enumerate(first)}
-
-        def merged(rows: DataFrame) -> DataFrame:
-            """rows: the columns of the table, and a first value for each column of `first`."""
-            moment = F.struct(*order)
-            others = [c for c in batch.columns if c not in keys and c not in first]
-            out = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), moment).alias("_last"), *[F.min_by(n, moment).alias(c) for c, n in firsts.items()], F.min(moment).alias("_moment"))
-            return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others], *first, bucket.alias("bucket"), F.col("_moment").alias("_first_moment"))
-
-        new = batch.select(*batch.columns, *[F.col(old).alias(firsts[c]) for c, old in first.items()])
-        table = merged(new).persist()
+        table = batch_rows(batch, keys, order, first).withColumn("bucket", bucket).persist()
         touched = [r["bucket"] for r in table.select("bucket").distinct().collect()]  # `buckets` numbers at most
         jvm = spark.sparkContext._jvm
         hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
@@ -99,7 +90,7 @@ def upsert_batch(path: str, keys: list[str], order: list[str], first: dict[str,
         result, staged = table, f"{path}-staged-{epoch}"
         if files.exists(hadoop_path):
             old = spark.read.schema(table.schema).parquet(path).where(F.col("bucket").isin(touched))
-            result = _newest(old.unionByName(table), keys, order, list(first)).withColumn("bucket", bucket)
+            result = newest_stored(old.unionByName(table), keys, order, list(first)).withColumn("bucket", bucket)
             # a table can't be overwritten while it is read
             result.write.mode("overwrite").parquet(staged)
             result = spark.read.schema(result.schema).parquet(staged)
@@ -110,7 +101,17 @@ def upsert_batch(path: str, keys: list[str], order: list[str], first: dict[str,
     return write
 
 
-def _newest(rows: DataFrame, keys: list[str], order: list[str], first: list[str]) -> DataFrame:
+def batch_rows(batch: DataFrame, keys: list[str], order: list[str], first: dict[str, str]) -> DataFrame:
+    """One row per key of a batch as the table stores it: the last by order, the columns of `first` from the first row, and its moment."""
+    firsts = {c: f"_first_{i}" for i, c in enumerate(first)}
+    moment = F.struct(*order)
+    others = [c for c in batch.columns if c not in keys and c not in first]
+    rows = batch.select(*batch.columns, *[F.col(old).alias(firsts[c]) for c, old in first.items()])
+    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), moment).alias("_last"), *[F.min_by(n, moment).alias(c) for c, n in firsts.items()], F.min(moment).alias("_moment"))
+    return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others], *first, F.col("_moment").alias("_first_moment"))
+
+
+def newest_stored(rows: DataFrame, keys: list[str], order: list[str], first: list[str]) -> DataFrame:
     """One row per key of stored rows: the last by order, the columns of `first` from the one with the earliest first moment."""
     others = [c for c in rows.columns if c not in (*keys, *first, "bucket", "_first_moment")]
     kept = F.min_by(F.struct(*first), "_first_moment").alias("_kept")
