@@ -1,6 +1,7 @@
 import math
-from collections import Counter
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,25 @@ def test_text_relevance_in_small_blocks(spark, monkeypatch):
     assert retrieval.bm25_scores(jobs, resumes.limit(0)).count() == 0
 
 
+def test_text_relevance_of_all_pairs(spark, monkeypatch):
+    import duckdb
+
+    from matchloom.operators import sparse
+
+    monkeypatch.setattr(sparse, "OUT_ROWS", 150)
+    folder, db = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("benchmark", "documents"):
+        db.execute(f"create view {name} as from '{folder}/{name}.parquet'")
+    wanted = {(j, r): score for j, r, score in db.execute(matching.ORACLES["bm25_scores"]).fetchall()}
+    rows = matching.bm25_scores(spark, folder).collect()
+    found = {(r.job_id, r.resume_id): r.text_score for r in rows}
+    assert len(rows) == len(found) and found.keys() == wanted.keys() and all(abs(found[x] - wanted[x]) < 1.1e-4 for x in wanted)
+    tables = [db.execute(f"select {key}, text from {name}").fetchall() for key, name in (("item_id", "benchmark"), ("doc_id", "documents"))]
+    asked, held = [{key: set(re.findall("[a-z0-9]+", (text or "").lower())) - set(retrieval.ENGLISH_STOP_WORDS) for key, text in rows} for rows in tables]
+    assert found.keys() == {(j, r) for j in asked for r in held if asked[j] & held[r]}
+    assert max(Counter(j for j, _ in found).values()) > 100
+
+
 def test_search_by_bounds_skips_groups_and_misses_nothing(spark, monkeypatch):
     import numpy as np
 
