@@ -9,7 +9,8 @@ Jaccard similarity is at least PERCENT / 100; classes are the connected componen
 2. The sets that go on meet in cells (tasks of bounded size) by their two least shared fingerprints.
    A cell indexes its sets and searches each of them with DivideSkip: short lists are merged by a
    heap, long ones probed by binary search, and sets with the overlap T that their sizes ask for are
-   linked. Sets that are already in one class are not compared again, so a group of copies costs a
+   linked. What cannot reach T by the parity marks of both sets, which differ in no more bits than the
+   sets in fingerprints, does not enter the heap. Sets that are already in one class are not compared again, so a group of copies costs a
    few comparisons for each copy.
 3. What could still be missing are links between different classes. Of each whole set the
    fingerprints that sets of other classes have too are counted; a set needs 0.8 n of them. Ordered
@@ -53,6 +54,8 @@ PROBED_ROOTS = 4
 #: Entries that the short lists of a set should hold at most: long lists are cut off until they do, as far as the
 #: threshold allows. Candidates that are probed together.
 HEAP_ENTRIES, PROBED_TOGETHER = 400, 256
+#: Bits of a set's mark for each fingerprint of the mean set of a cell; sets that are marked at a time.
+MARK_BITS, MARKED_TOGETHER = 8, 256
 #: Fingerprints that one task of the exchange holds on average.
 BUCKET_ENTRIES = 1 << 18
 #: One set in HEAVY_SAMPLE is looked at for fingerprints with HEAVY_HOLDERS holders or more.
@@ -272,6 +275,18 @@ def shared_fingerprints(rows: DataFrame, owner: str, group: str, hashes: str, le
     return second.repartitionById(count, F.col("bucket")).transform(map_batches, gathered, f"{owner} long, shared binary")
 
 
+def parity_marks(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set: the parities of how many of its fingerprints end in each pattern. Two rows differ in no more bits than the sets in fingerprints."""
+    width = 1 << max(6, int(MARK_BITS * sum(map(len, sets)) / len(sets)).bit_length())
+    rows = np.empty((len(sets), width // 64), np.uint64)
+    for i in range(0, len(sets), MARKED_TOGETHER):
+        part = sets[i : i + MARKED_TOGETHER]
+        at = (np.concatenate(part) & np.uint64(width - 1)).astype(np.int64) + np.repeat(np.arange(len(part)) * width, [len(x) for x in part])
+        parity = (np.bincount(at, minlength=len(part) * width) & 1).astype(bool).reshape(len(part), width)
+        rows[i : i + len(part)] = np.packbits(parity, axis=1).view(np.uint64)
+    return rows
+
+
 def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join the sets of one cell into their classes (a spanning forest); classes: as known so far."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -291,6 +306,7 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
     first_of = np.full(root.max() + 1, count)
     np.minimum.at(first_of, root, np.arange(count))
     root = first_of[root]
+    marks = parity_marks(sets)
     links: list[tuple[int, int]] = []
 
     def keys_hit(lists: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -310,6 +326,16 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
         starts = list_start[lists] - np.r_[0, np.cumsum(lengths)[:-1]] if len(lists) else lengths
         return ids[np.repeat(starts, lengths) + np.arange(int(lengths.sum()))], np.repeat(np.arange(len(lists)), lengths)
 
+    def within_reach(q: int, merged: np.ndarray) -> np.ndarray:
+        """Whether each entry is of a set that could still link to q by the marks of both."""
+        near = np.zeros(q, bool)
+        near[merged] = True
+        others = np.flatnonzero(near)
+        both = sizes[q] + sizes[others]
+        apart = np.bitwise_count(marks[others] ^ marks[q]).sum(1, dtype=np.int64)
+        near[others] = apart <= both - 2 * -(-percent * both // (100 + percent))
+        return near[merged]
+
     def similar(q: int, other: int, common: int) -> bool:
         return 100 * common >= percent * (sizes[q] + sizes[other] - common)
 
@@ -333,7 +359,7 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
         # the classes in the longest list first: most copies join theirs by one comparison
         longest = ids[list_start[lists[-1]] : list_start[lists[-1]] + lengths[-1]]
         for r in np.unique(root[longest[-64:]])[:PROBED_ROOTS]:
-            if r >= lowest and r < q and root[r] != root[q] and similar(q, r, int(keys_hit(lists, np.array([r])).sum())):
+            if r >= lowest and r < q and root[r] != root[q] and within_reach(q, np.array([r]))[0] and similar(q, r, int(keys_hit(lists, np.array([r])).sum())):
                 join(q, r)
         # DivideSkip's weight of the longest list, and more long lists where the short ones would still be long
         long_n = min(least - 1, int(least / (MU * np.log2(max(int(lengths[-1]), 2)) + 1)))
@@ -342,9 +368,11 @@ def search_cell(nodes: np.ndarray, classes: np.ndarray, sets: list[np.ndarray],
         short = len(lists) - long_n
         merged, which = entries(lists[:short], lengths[:short])
         open_ = (merged >= lowest) & (root[merged] != root[q])
-        if not open_.any():
+        merged, which = merged[open_], which[open_]
+        reached = within_reach(q, merged)
+        if not reached.any():
             continue
-        others, seen = merge(merged[open_], which[open_])
+        others, seen = merge(merged[reached], which[reached])
         likely = seen >= least - long_n
         others, seen = others[likely], seen[likely]
         while len(others):

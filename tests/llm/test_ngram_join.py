@@ -117,3 +117,33 @@ def test_exact_copies_travel_once(spark, monkeypatch):
     assert found(spark, texts) == brute_force(texts)
     assert rows_of[0] == (3, 3)
     assert all(rows == owners for rows, owners in rows_of)
+
+
+def test_marks_bound_the_difference():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 600).astype(np.uint64))
+    sets = [np.unique(np.r_[rng.choice(base, n, replace=False), rng.integers(0, 1 << 63, m).astype(np.uint64)]) for n, m in [(1, 0), (590, 3), (580, 40), (300, 900), (0, 1)]]
+    marks = ngram_join.parity_marks(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert int(np.bitwise_count(marks[i] ^ marks[j]).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_sets_that_share_much_but_too_little_do_not_enter_the_heap(monkeypatch):
+    from heapq import merge
+
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.sort(rng.choice(base, 240, replace=False)) for _ in range(150)]  # any two share about 144 of the 214 that a link needs
+    near = [np.sort(np.r_[np.delete(s, [3, 40, 100]), rng.integers(0, 1 << 63, 3).astype(np.uint64)]) for s in sets[:20]]
+    merged = []
+
+    def counted(*runs):
+        merged.append(sum(map(len, runs)))
+        return merge(*runs)
+
+    monkeypatch.setattr(ngram_join.heapq, "merge", counted)
+    every = sets + near
+    links = ngram_join.search_cell(np.arange(170), np.arange(170), every)
+    assert {tuple(sorted(x)) for x in links} == {(i, 150 + i) for i in range(20)}
+    assert sum(merged) < 170 * 20
