@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +82,27 @@ def test_query_and_empty_table(spark):
     docs = spark.createDataFrame([(2, "b"), (1, "a a")], "doc_id long, text string")
     assert [(r.doc_id, r.start, r.n_tokens) for r in tb.token_file_report(docs, PATH).orderBy("start").collect()] == [(1, 0, 3), (2, 3, 2)]
     assert tb.token_file_report(docs.limit(0), PATH).count() == 0
+
+
+ODD = " \n\t\r'’\"!<|>×÷é1²٣aZsñЖжҀДλ中丸鿿かカ한á́ั \u0085 　​\x1c\x00😀"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.one_of(st.sampled_from([*ODD, "  ", "\n\n", "'s", "'ll", "''", "word", "<|endoftext|>", "<|endof", "text|>"]), st.characters(codec="utf-8")), max_size=14).map("".join)), max_size=6))
+def test_pieces_end_where_pre_tokens_end(texts):
+    assert [e.tolist() for e in ENCODER.encode(texts)] == expected(texts)
+
+
+def test_every_word_goes_to_the_library_once():
+    encoder = tb.TextEncoder(LIBRARY.to_str().encode())
+    texts = [" ".join(f"word{'abc'[i % 3]}{mark}" for i in range(9)) for mark in (",", ".", ";", "!\n", "?", ":", "--", "1", "22")]
+    assert [e.tolist() for e in encoder.encode(texts)] == expected(texts)
+    assert len(encoder.known) <= 6 + 10  # words with and without a space in front, marks; not words times marks
+
+
+def test_texts_that_only_some_batches_have():
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"]) for ids, texts in (([], []), ([1, None], ["a b", None]), ([3], [""]), ([4, 5], ["ü" * 40_000, "<|endoftext|>"]))]
+    ((own, texts),) = tb.gathered(iter([*batches[:1], batches[3].slice(1), *batches[1:]]))
+    assert own.to_pylist() == [5, 1, None, 3, 4, 5]
+    ids, ends = ENCODER.encode_column(texts.slice(1))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == expected(texts.to_pylist()[1:])
