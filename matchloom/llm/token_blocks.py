@@ -440,14 +440,14 @@ class TextEncoder:
         return cls._shared[1]
 
     def __init__(self, spec: bytes):
-        """spec: the content of the vocabulary file."""
+        """spec: the content of a byte-level vocabulary file with the public pre-token pattern."""
         self.library = Tokenizer.from_buffer(spec)
         added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.added = regex.compile(b"|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         names = self.library.get_vocab(with_added_tokens=True)
         self.vocabulary = max(names.values()) + 1
         self.spaced = np.zeros(self.vocabulary, bool)
-        self.spaced[[i for name, i in names.items() if name[0] == "\u0120"]] = True  # the byte alphabet's space
+        self.spaced[[i for name, i in names.items() if name[:1] == "\u0120"]] = True  # the byte alphabet's space
         self.forget()
 
     def forget(self) -> None:
