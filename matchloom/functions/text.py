@@ -168,8 +168,8 @@ def text_to_encode(text: Column, is_query: bool, use_prefix: bool = True) -> Col
 
 
 def unit_vector(vector: Column) -> Column:
-    """A vector over its Euclidean length, in doubles; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    """A vector over its Euclidean length, in doubles; a zero vector stays. Null components stay null and add nothing to the length."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0))))
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 

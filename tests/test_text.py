@@ -61,3 +61,17 @@ def test_vacancy_title_and_skills(value):
     text = "Требования:\n• SQL, Go or Rust\nkubernetes\n\nignored, line\nWe use docker and Pandas. Benefits:\nwith friends"
     assert value(vc.vacancy_skills, text) == ["docker", "go", "kubernetes", "pandas", "rust", "sql"]
     assert value(vc.vacancy_skills, "nothing here") == [] and value(vc.vacancy_skills, None) == []
+
+
+def test_unit_vectors_equal_their_sql_to_the_sign_of_zero(spark, tmp_path):
+    import duckdb
+
+    from matchloom.plans import texts
+
+    odd = [[3.0, -4.0], [1.0, -1e-7], [-0.0, 2.0], [0.0, 0.0], [3.0, None, 4.0], [None, 0.0], [None], [], None, [float("nan"), 1.0], [float("inf"), -1.0], [0.75, -0.015625, 0.1]]
+    rows = spark.createDataFrame(list(enumerate(odd)), "vec_id long, embedding array<float>")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    wanted = {k: repr(v) for k, v in con.execute(texts.ORACLES["unit_vectors"]).fetchall()}
+    assert {r.vec_id: repr(r.v) for r in texts.unit_vectors(spark, str(tmp_path)).collect()} == wanted
