@@ -410,3 +410,29 @@ def test_quantiles_by_narrowing(spark, monkeypatch):
     wanted = {(r.g, p): v for r in exact for p, v in zip(points, r.q or [])}
     assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k], rel=1e-12) for k in wanted)
     assert quantiles.exact_quantiles(table.limit(0), "x", points, "g").count() == 0
+
+
+SMALL_HEAP = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from matchloom.operators import sparse
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.autoBroadcastJoinThreshold", "-1").getOrCreate()
+sparse.QUERY_BLOCK = 8
+items = spark.range(20_000).select("id", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("t"), (F.col("id") * 31 + i * i) % 5000)).alias("t"))
+rows = sparse.sparse_rows(items, "id", 0, F.array_distinct("t"))
+asked = sparse.sparse_rows(items.where("id < 3200").withColumnRenamed("id", "q"), "q", 0, F.array_distinct("t"))
+found = sparse.sparse_top_k(asked, rows, 3200, 1, lambda sums, _: (sums[0], sums[0] > 0), 1, key="q", item="id")
+print("queries answered:", found.select("q").distinct().count())
+"""
+
+
+def test_blocks_of_an_index_are_not_held_once_for_every_block_of_queries(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "search.py").write_text(SMALL_HEAP.format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    settings = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 700m pyspark-shell", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    ran = subprocess.run([sys.executable, str(tmp_path / "search.py")], env=settings, capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert "queries answered: 3200" in ran.stdout, ran.stderr[-2000:]
