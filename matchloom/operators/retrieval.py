@@ -47,33 +47,114 @@ def _blocks(rows: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame,
     return numbered.groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows")), blocks
 
 
+def meeting(held: DataFrame, coming: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `held` and of `coming` that have the same keys, the one row of held first: a task keeps it while the others come one by one.
+
+    The number of partitions is given, as tasks are long where rows are few: Spark would put small partitions together.
+    """
+    both = held.withColumn("turn", F.lit(0)).unionByName(coming.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    partitions = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(partitions, *keys).sortWithinPartitions(*keys, "turn").drop("turn")
+
+
+def sliced(held: DataFrame, blocks: int, others: int) -> tuple[DataFrame, int]:
+    """Each of `blocks` rows once a slice, where they are so few that some cores would have none; the number of slices, at most `others`."""
+    slices = min(others, max(1, -(-2 * held.sparkSession.sparkContext.defaultParallelism // max(blocks, 1))))
+    return held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), slices
+
+
+def first_of_each(own: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best of every owner are, by owner, score and id; NaN comes before all numbers, as in SQL."""
+    place = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((place, np.where(np.isnan(scores), -np.inf, -scores), own))
+    begins = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0][: len(own)])
+    turn = np.arange(len(own)) - np.repeat(begins, np.diff(np.r_[begins, len(own)]))
+    return order[turn < k]
+
+
+def least_best(scores: np.ndarray, k: int, group: int = 16) -> np.ndarray:
+    """A bound that the k-th largest score of every row reaches; less than any where there are no more than k.
+
+    It is the k-th largest score, or of the largest of each of many groups, which is about the same and found sooner.
+    """
+    n = scores.shape[1]
+    if n <= k:
+        return np.full(len(scores), -np.inf)
+    groups = n // group
+    if groups > 4 * k:
+        scores, n = scores[:, : groups * group].reshape(len(scores), group, groups).max(axis=1), groups
+    return np.partition(scores, n - k, axis=1)[:, n - k]
+
+
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true cells."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+class Nearest:
+    """The k best items so far of every query of a block; scores are rounded, ties go to the smaller id."""
+
+    CHUNK = 256
+
+    def __init__(self, names: np.ndarray, queries: np.ndarray, k: int):
+        self.names, self.queries, self.k = names, queries, k
+        self.own, self.ids, self.scores = np.empty(0, np.int64), None, np.empty(0)
+        self.floor = np.full(len(names), -np.inf)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        found = [(self.own, ids[:0] if self.ids is None else self.ids, self.scores)]
+        for first in range(0, len(self.names), self.CHUNK):
+            scores, floor = self.queries[first : first + self.CHUNK] @ vectors.T, self.floor[first : first + self.CHUNK]
+            # a score that rounds to the k-th best may be less by one unit of the last digit
+            open_ = floor == -np.inf
+            if open_.any():
+                floor = np.where(open_, least_best(scores, self.k), floor)
+            row, column = places(~(scores < floor[:, None] - 10.0**-DIGITS))
+            found.append((row + first, ids[column], np.round(scores[row, column], DIGITS)))
+        own, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = first_of_each(own, ids, scores, self.k)
+        self.own, self.ids, self.scores = own[best], ids[best], scores[best]
+        counts = np.bincount(self.own, minlength=len(self.names))
+        last = np.cumsum(counts) - 1
+        self.floor = np.where(counts == self.k, self.scores[np.maximum(last, 0)] if len(self.scores) else -np.inf, -np.inf)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if len(self.own):
+            yield pa.RecordBatch.from_arrays([pa.array(self.names[self.own]), pa.array(self.ids), pa.array(self.scores)], ["job_id", "resume_id", "embedding_cosine"])
+
+
 def topk_cosine(jobs: DataFrame, resumes: DataFrame, k: int = TOP_K, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
     """The k nearest profiles of every opening: job_id, resume_id, embedding_cosine, retrieval_rank.
 
     Openings and profiles are packed into blocks of bounded size; every block of profiles meets every block
-    of openings (an equi-join on the block number) in one matrix product that keeps k rows an opening. Neither
+    of openings in one matrix product. A task keeps the k best of a block of openings while blocks of profiles come by, so that
+    only scores beyond the k-th best so far are looked at, and k rows an opening leave it. Neither
     all pairs nor a whole table are ever in one task or in the driver.
     jobs: job_id, embedding; resumes: resume_id, embedding, all of one length. Rows without a vector are left out.
     """
     asked, blocks = _blocks(jobs, "job_id", query_block, "jobs")
-    items, _ = _blocks(resumes, "resume_id", item_block, "items")
-    met = items.withColumn("jobs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "jobs").select("jobs_rows", "items_rows")
+    items, others = _blocks(resumes, "resume_id", item_block, "items")
+    held, slices = sliced(asked, blocks, others)
+    coming = items.select((F.col("items") % slices).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("jobs"), "items_rows")
+    met = meeting(held, coming, ["jobs", "slice"]).select("jobs", "jobs_rows", "items_rows")
 
     def unpacked(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
         rows = cell.values
         ids = rows.field("id").to_numpy(zero_copy_only=False)
-        vectors = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        return ids[order], vectors[order]
+        return ids, rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, number = None, None
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                (names, queries), (ids, vectors) = unpacked(left), unpacked(right)
-                scores = np.round(queries @ vectors.T, DIGITS)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                columns = [np.repeat(names, best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["job_id", "resume_id", "embedding_cosine"])
+            for block, left, right in zip(*batch.columns, strict=True):
+                if left.is_valid:
+                    if best:
+                        yield from best.rows()
+                    best, number = Nearest(*unpacked(left), k), block.as_py()
+                elif block.as_py() == number:  # a block without openings has no row
+                    best.meet(*unpacked(right))
+        if best:
+            yield from best.rows()
 
     kinds = (jobs.schema["job_id"].dataType.simpleString(), resumes.schema["resume_id"].dataType.simpleString())
     found = met.mapInArrow(nearest, f"job_id {kinds[0]}, resume_id {kinds[1]}, embedding_cosine double")
