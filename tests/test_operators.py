@@ -436,3 +436,29 @@ def test_blocks_of_an_index_are_not_held_once_for_every_block_of_queries(tmp_pat
     settings = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 700m pyspark-shell", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
     ran = subprocess.run([sys.executable, str(tmp_path / "search.py")], env=settings, capture_output=True, text=True, timeout=300, cwd=tmp_path)
     assert "queries answered: 3200" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_index_keeps_its_recall_in_larger_tables(spark, monkeypatch):
+    import numpy as np
+
+    from matchloom.operators import vector_index
+    from matchloom.sources.tables import scratch_path
+
+    monkeypatch.setattr(vector_index, "CODE_BLOCK", 500)
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 16)
+    vectors = np.random.default_rng(4).normal(size=(6060, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[200:260] = vectors[70]  # copies: the smaller ids come first
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<float>")
+    jobs, resumes = rows.where("id < 60").withColumnRenamed("id", "job_id").union(spark.createDataFrame([(70, vectors[70].tolist())], "job_id long, embedding array<float>")), rows.where("id >= 60").withColumnRenamed("id", "resume_id")
+    index, path = vector_index.fit_index(resumes, 10), scratch_path(spark, "index")
+    vector_index.write_index(resumes, index, path)
+    shards = spark.read.parquet(path).selectExpr("size(ids) as n").collect()
+    assert sum(r.n for r in shards) == 6000 and len(shards) <= 24  # a search meets few large parts, not each cell in many
+    exact = {(r.job_id, r.resume_id, r.retrieval_rank) for r in retrieval.topk_cosine(jobs, resumes, 10, query_block=16, item_block=300).collect()}
+    scores = np.round(vectors[[*range(60), 70]].astype(np.float32).astype(float) @ vectors[60:].astype(np.float32).astype(float).T, 6)
+    wanted = np.argsort(-scores, axis=1, kind="stable")[:, :10] + 60
+    assert exact == {(j, int(r), n + 1) for j, own in zip([*range(60), 70], wanted) for n, r in enumerate(own)}
+    found = {(r.job_id, r.resume_id) for r in vector_index.search_index(jobs, resumes, index, path, 10, rescored=20).collect()}
+    assert len(found) == 610 and len(found & {x[:2] for x in exact}) >= 0.9 * 610
+    assert {r for j, r in found if j == 70} == {70, *range(200, 209)}
