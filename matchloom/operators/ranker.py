@@ -11,7 +11,7 @@ import json
 import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from typing import Protocol
 
 import numpy as np
@@ -27,6 +27,8 @@ from matchloom.sources.tables import written
 LABEL_GAIN = [0.0, 1.0, 2.0, 4.0, 8.0]
 SEARCH_SPACE = {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.2, 0.5], "maxIter": [20, 40]}
 SEARCH_METRIC = "ndcg_10"
+#: Rows of a block of openings, and pairs (of any rows of an opening) that are looked at together.
+BLOCK_ROWS, PAIRS = 20_000, 1 << 18
 
 
 @dataclass
@@ -86,15 +88,78 @@ def training_pairs(rows: DataFrame, columns: list[str], scales: dict[str, float]
     ).where("weight > 0")
 
 
-def pair_sums(blocks: DataFrame, shape: tuple[int, int], function: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all blocks of pairs of function(diffs, weights), a small matrix."""
+def opening_blocks(rows: DataFrame, columns: list[str], scales: dict[str, float]) -> DataFrame:
+    """Whole openings in blocks of about BLOCK_ROWS rows, written: sizes (rows of each opening), scaled features, gains, discounts, weights, as bytes.
+
+    From them training_pairs follow where they are needed; the pairs themselves, many times the rows, are never written.
+    """
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("retrieval_rank", "resume_id"))
+    vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / scales[c] for c in columns])
+    own = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
+    slim = rows.where("job_id is not null").select("job_id", vector.alias("x"), gain(F.col("final_label")).alias("gain"), (1 / F.log2(place + 1.0)).alias("discount"), own.alias("weight"))
+    grouped = slim.sortWithinPartitions("job_id").select(F.col("job_id").cast("string").alias("job"), "x", "gain", "discount", "weight")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            names = np.array(whole["job"].to_pylist(), object)
+            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, names[1:] != names[:-1]]), len(names)])
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in whole["x"].chunks])
+            others = [whole[c].to_numpy().astype(float) for c in ("gain", "discount", "weight")]
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (sizes.astype(np.int64), x, *others)], ["sizes", "x", "gains", "discounts", "weights"])
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            if held and size >= BLOCK_ROWS:
+                # the opening that the last batch ended with goes on to the end of its rows
+                last = held[-1].column(0)[-1].as_py()
+                ends = next((i for i, n in enumerate(names) if n != last), len(names))
+                if ends:
+                    held.append(batch.slice(0, ends))
+                if ends < len(names):
+                    yield block()
+                    held, size, batch = [], 0, batch.slice(ends)
+                else:
+                    continue
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+        if held:
+            yield block()
+
+    return written(grouped.mapInArrow(packed, "sizes binary, x binary, gains binary, discounts binary, weights binary"), "opening-blocks")
+
+
+def pair_places(sizes: np.ndarray, gains: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows (better, worse) of the pairs within openings with different gains, PAIRS or so at a time; openings lie one behind the other."""
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes):
+        own = starts[sizes == size]
+        step = max(1, PAIRS // int(size) ** 2)
+        for first in range(0, len(own), step):
+            rows = own[first : first + step, None] + np.arange(size)
+            y = gains[rows]
+            opening, better, worse = np.nonzero(y[:, :, None] > y[:, None, :])
+            if len(opening):
+                yield rows[opening, better], rows[opening, worse]
+
+
+def pair_sums(blocks: DataFrame, shape: tuple[int, int], function: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all pairs of function(x, better, worse, weights), a small matrix; x: the features of a block's rows, better and worse: the rows of some of its pairs."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            for diffs, weights in zip(batch.column(0), batch.column(1), strict=True):
-                w = np.frombuffer(weights.as_py())
-                total += function(np.frombuffer(diffs.as_py()).reshape(len(w), -1), w)
+            for row in zip(*batch.columns, strict=True):
+                sizes, x, gains, discounts, own = (np.frombuffer(c.as_py(), kind) for c, kind in zip(row, (np.int64, *[float] * 4), strict=True))
+                x = x.reshape(len(gains), -1)
+                for better, worse in pair_places(sizes, gains):
+                    weights = own[better] * own[worse] * np.abs((gains[better] - gains[worse]) * (discounts[better] - discounts[worse]))
+                    used = weights > 0
+                    total += function(x, better[used], worse[used], weights[used])
         i, j = np.indices(shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], ["i", "j", "value"])
 
@@ -104,26 +169,39 @@ def pair_sums(blocks: DataFrame, shape: tuple[int, int], function: Callable[[np.
     return out
 
 
+def _moments(x: np.ndarray, better: np.ndarray, worse: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Second moments of the pairs' differences, and in the last row the weights' sum."""
+    diffs = x[better] - x[worse]
+    return np.vstack([diffs.T @ (diffs * weights[:, None]), np.full(x.shape[1], weights.sum())])
+
+
+def _slopes(x: np.ndarray, better: np.ndarray, worse: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gradient of the pairs' loss at every column of weights `at`: what each row adds, by its scores, times its features."""
+    rows, place = np.unique(np.r_[better, worse], return_inverse=True)
+    own, other = np.split(place, 2)
+    x = x[rows]
+    scores = (x @ at).T
+    out = np.empty(at.shape)
+    for n, s in enumerate(scores):
+        pull = -weights / (1 + np.exp(np.clip(s[own] - s[other], -50, 50)))
+        out[:, n] = (np.bincount(own, pull, len(rows)) - np.bincount(other, pull, len(rows))) @ x
+    return out
+
+
 def fit_rankers(rows: DataFrame, settings: list[dict], columns: list[str] = FEATURES) -> list[LinearRanker]:
     """One ranker for each setting (regParam, elasticNetParam, maxIter), all fitted in the same passes.
 
-    rows: job_id, resume_id, retrieval_rank, final_label, the feature columns, and perhaps row weights (weight). The pairs are
-    made and packed once; an iteration adds up the gradients of all settings in one aggregate. Steps are accelerated proximal
+    rows: job_id, resume_id, retrieval_rank, final_label, the feature columns, and perhaps row weights (weight). Openings are
+    packed once, and their pairs made in the task that needs them; an iteration adds up the gradients of all settings in one aggregate. Steps are accelerated proximal
     ones, as long as the pairs' second moments allow; a setting stands still after its maxIter steps. Only sums over pairs, columns times settings, come to the driver.
     """
     values = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
     stats = rows.agg(*[F.avg(v).alias(f"m_{c}") for c, v in values.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in values.items()]).first()
     scales = {c: stats[f"s_{c}"] or 1.0 for c in columns}
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(0).flatten().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["diffs", "weights"])
-
-    blocks = written(training_pairs(rows, columns, scales).mapInArrow(packed, "diffs binary, weights binary"), "pair-blocks")
+    blocks = opening_blocks(rows, columns, scales)
     width = len(columns)
-    # second moments, and in the last row the weights' sum
-    moments = pair_sums(blocks, (width + 1, width), lambda x, w: np.vstack([x.T @ (x * w[:, None]), np.full(width, w.sum())]))
+    moments = pair_sums(blocks, (width + 1, width), _moments)
     total = moments[-1, 0] or 1.0
     reach = float(np.linalg.eigvalsh(moments[:-1] / total)[-1]) / 4
     options = [{"maxIter": 40, "regParam": 0.01, "elasticNetParam": 0.0} | s for s in settings]
@@ -131,11 +209,7 @@ def fit_rankers(rows: DataFrame, settings: list[dict], columns: list[str] = FEAT
     step = 1 / (reach + reg * (1 - mix) + 1e-12)
     now, ahead, momentum = np.zeros((width, len(options))), np.zeros((width, len(options))), 1.0
     for turn in range(int(most.max(initial=0))):
-
-        def gradient(x: np.ndarray, w: np.ndarray, at: np.ndarray = ahead) -> np.ndarray:
-            return x.T @ (-w[:, None] / (1 + np.exp(np.clip(x @ at, -50, 50))))
-
-        slope = pair_sums(blocks, ahead.shape, gradient) / total + reg * (1 - mix) * ahead
+        slope = pair_sums(blocks, ahead.shape, partial(_slopes, at=ahead)) / total + reg * (1 - mix) * ahead
         moved = ahead - step * slope
         shrunk = np.sign(moved) * np.maximum(np.abs(moved) - step * reg * mix, 0)
         following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2

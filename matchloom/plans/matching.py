@@ -518,8 +518,8 @@ def feature_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Training, validation and test rows with engineered features."""
-    rows = engineered(spark, sf_dir)
+    """Training, validation and test rows with engineered features, which are worked out once."""
+    rows = tables.written(engineered(spark, sf_dir), "engineered")
     split = rows.join(labels.group_split(rows), "job_id")
     return tuple(split.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test"))
 

@@ -462,3 +462,35 @@ def test_index_keeps_its_recall_in_larger_tables(spark, monkeypatch):
     found = {(r.job_id, r.resume_id) for r in vector_index.search_index(jobs, resumes, index, path, 10, rescored=20).collect()}
     assert len(found) == 610 and len(found & {x[:2] for x in exact}) >= 0.9 * 610
     assert {r for j, r in found if j == 70} == {70, *range(200, 209)}
+
+
+def test_ranker_writes_rows_and_no_pairs(spark, monkeypatch):
+    import numpy as np
+
+    rng, data = random.Random(8), []
+    for j in range(60):
+        for i in range(rng.choice([1, 2, 7, 30])):
+            x, z = rng.random(), rng.random()
+            data.append((None if j == 7 else j, i, i, None if rng.random() < 0.05 else min(4, int(4 * x + 2 * rng.random())), x, None if rng.random() < 0.1 else z, rng.choice([0.0, 0.5, 1.0, 2.0])))
+    rows = spark.createDataFrame(data, "job_id long, resume_id long, retrieval_rank int, final_label int, x double, z double, weight double")
+    sizes = []
+
+    def spied(made, name, plain=ranker.written):
+        out = plain(made, name)
+        sizes.append(sum(len(c) for r in out.collect() for c in r if isinstance(c, bytes | bytearray)))
+        return out
+
+    monkeypatch.setattr(ranker, "written", spied)
+    monkeypatch.setattr(ranker, "BLOCK_ROWS", 40, raising=False)
+    fitted = ranker.fit_ranker(rows, ["x", "z"], regParam=0.5, maxIter=40)
+    assert sum(sizes) <= len(data) * 8 * (2 + 4)  # features, gain, discount, weight, and a size for each opening
+    scales = {c: rows.select(F.stddev_pop(F.coalesce(c, F.lit(0.0)))).first()[0] for c in ("x", "z")}
+    pairs = ranker.training_pairs(rows, ["x", "z"], scales).collect()
+    diff, weight = np.array([r.diff for r in pairs]), np.array([r.weight for r in pairs])
+    w = np.array([fitted.weights[c] * scales[c] for c in ("x", "z")])
+    assert np.abs(-(diff * (weight / (1 + np.exp(diff @ w)))[:, None]).sum(0) / weight.sum() + 0.5 * w).max() < 1e-5
+
+
+def test_split_rows_are_worked_out_once(spark):
+    for part in matching._split_rows(spark, "/root/testdata/sf0.001"):
+        assert part.inputFiles() and not any("embeddings" in f for f in part.inputFiles())
